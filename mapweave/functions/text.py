@@ -10,6 +10,8 @@ from mapweave.params import STOP_WORDS
 
 # Every character that counts as white space.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# matches only what has to change, so a single blank between words costs no replacement
+WHITE_RUN = f"[{WHITE}]{{2,}}|[{WHITE}&&[^ ]]"
 TOKEN = "[a-zA-Z0-9_-]{2,}"
 GAP_TOKEN = "[a-zA-ZÀ-ÿ0-9]+"
 GENERIC_GAP_PHRASES = [
@@ -34,7 +36,7 @@ def literal_array(values) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs become one blank, ends are trimmed, null becomes ''."""
-    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), f"[{WHITE}]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), WHITE_RUN, " ")), F.lit(""))
 
 
 def casefold(c: Column) -> Column:
@@ -47,7 +49,8 @@ def category_norm(c: Column, case_sensitive: bool = False, trim_spaces: bool = T
 
 
 def tokens(c: Column, stop=STOP_WORDS) -> Column:
-    found = F.regexp_extract_all(F.lower(collapse(c)), F.lit(TOKEN), 0)
+    # white space never belongs to a token, so the text needs no collapsing first
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), 0)
     stop = list(stop)
     return F.filter(found, lambda t: ~t.isin(stop))
 

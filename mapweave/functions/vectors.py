@@ -13,9 +13,10 @@ def token_slot(token: Column, dims: int) -> Column:
     """Signed slot of a token: slot+1, negative when the sign bit of its hash is odd."""
     h16 = F.substring(F.sha2(F.concat(F.lit('"'), token, F.lit('"')), 256), 1, 16)
     if dims & (dims - 1) == 0 and dims <= 1 << 24:
-        # a power of two only needs the low bits, so plain long arithmetic is enough
-        low = F.conv(F.substring(h16, 9, 8), 16, 10).cast("long")
-        slot, odd = low % dims, F.floor(low / dims).cast("long") % 2
+        # a power of two needs only the last hex digits: the slot bits and the sign bit above them
+        digits = dims.bit_length() // 4 + 1
+        low = F.conv(F.substring(h16, 17 - digits, digits), 16, 10).cast("int")
+        slot, odd = low % dims, F.floor(low / dims).cast("int") % 2
     else:
         h = F.conv(h16, 16, 10).cast("decimal(20,0)")
         slot = F.pmod(h, F.lit(dims).cast("decimal(20,0)")).cast("long")

@@ -31,7 +31,8 @@ def atom_parts(text: Column, separators=SEPARATORS) -> Column:
     parts = F.array(text)
     for sep in separators:
         parts = F.flatten(F.transform(parts, _splitter(sep)))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    # the one-element transform binds the parts once instead of evaluating the whole chain twice
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))[0]
 
 
 def atomize(reqs: DataFrame, separators=SEPARATORS) -> DataFrame:
@@ -43,7 +44,7 @@ def atomize(reqs: DataFrame, separators=SEPARATORS) -> DataFrame:
 def _as_atoms(df: DataFrame) -> DataFrame:
     return (df.withColumnRenamed("source_id", "parent_id").withColumnRenamed("requirement", "parent_requirement")
             .withColumn("atomic_id", F.concat("parent_id", F.lit("#"), F.col("atom_no").cast("string")))
-            .withColumn("atomic_requirement", collapse(F.col("_t"))).drop("_t"))
+            .withColumnRenamed("_t", "atomic_requirement"))
 
 
 ATOM_LIST = "array<struct<text:string,rationale:string>>"
@@ -66,7 +67,7 @@ def atomize_from_lists(reqs: DataFrame, supplied: DataFrame, separators=SEPARATO
             (i + 1).alias("atom_no"), collapse(x["text"]).alias("text"),
             collapse(x["rationale"]).alias("rationale"))),
         lambda x: x["text"] != "")
-    whole = lambda why: F.array(F.struct(F.lit(1).alias("atom_no"), F.col("requirement").alias("text"),
+    whole = lambda why: F.array(F.struct(F.lit(1).alias("atom_no"), collapse(F.col("requirement")).alias("text"),
                                          F.lit(why).alias("rationale")))
     rule = F.transform(atom_parts(F.col("requirement"), separators), lambda x, i: F.struct(
         (i + 1).alias("atom_no"), x.alias("text"), F.lit("heuristic").alias("rationale")))

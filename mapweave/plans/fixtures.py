@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mapweave.operators.prepare import add_fields, add_matching_text, atomize
 from mapweave.plans import sqltext as X
+from mapweave.sources.tables import read_parquet
 
+# tables whose rows are worth spreading before heavy work on them
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "lineitem": "l_orderkey"}
 # Fixed fixture values
 SEPS = [";", " and shall ", ". ", " and "]
 FAMILIES = [("ntre", ["ntre ", "ntion"]), ("eaux", ["eaux", "heea"]), ("sch", ["ich ", "sch"])]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", key=SPREAD_KEYS.get(name))
 
 
 def pick(index: Column, items) -> Column:

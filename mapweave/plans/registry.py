@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mapweave.plans import text_queries
+from mapweave.plans import match_queries, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, match_queries]
 
 
 def queries() -> dict:
