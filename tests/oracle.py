@@ -90,7 +90,7 @@ def main():
         try:
             status, n, ts, td, note = compare(spark, con, name, fn, oracles.get(name), args.sf)
         except Exception as e:  # noqa: BLE001
-            status, n, ts, td, note = "ERROR", 0, 0, 0, str(e).split("JVM stacktrace")[0][:1500]
+            status, n, ts, td, note = "ERROR", 0, 0, 0, str(e).split("JVM stacktrace")[0][:400]
         failed += status in ("FAIL", "ERROR")
         if n == 0 and status != "ERROR":
             note += " EMPTY"
