@@ -43,8 +43,8 @@ GATE_NOTE = (": selected target has insufficient main action/object alignment fo
 class State:
     """The struct a rule reads; `put` gives the struct it leaves behind."""
 
-    def __init__(self, value: Column, names: list[str]):
-        self.value, self.names = value, names
+    def __init__(self, value: Column):
+        self.value = value
 
     def __call__(self, name: str) -> Column:
         return self.value[name]
@@ -53,15 +53,12 @@ class State:
         return F.coalesce(self.value["best"][name], F.lit(0.0))
 
     def put(self, cond: Column, **values) -> Column:
-        out = []
-        for n in self.names:
-            old = self.value[n]
-            if n in values:
-                v = values[n] if isinstance(values[n], Column) else F.lit(values[n])
-                out.append(F.when(cond, v.cast(TYPES[n]) if n in TYPES else v).otherwise(old).alias(n))
-            else:
-                out.append(old.alias(n))
-        return F.struct(*out)
+        out = self.value
+        for n, v in values.items():
+            v = v if isinstance(v, Column) else F.lit(v)
+            v = v.cast(TYPES[n]) if n in TYPES else v
+            out = out.withField(n, F.when(cond, v).otherwise(self.value[n]))
+        return out
 
     def put_or(self, name: str, default) -> Column:
         return F.when(self(name) == "", default).otherwise(self(name))
@@ -346,14 +343,13 @@ def correct(decisions: DataFrame, p: Params = DEFAULTS, cap: bool = True, when:
         *ruled, F.col("same_functional_domain"), F.col("candidates"), best_candidate(F.col("candidates")).alias("best"),
         F.lit(False).alias("done"), F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("selected_ao"),
         F.lit(None).cast("int").alias("upgrade"))
-    names = RULED + ["same_functional_domain", "candidates", "best", "done", "kind", "selected_ao", "upgrade"]
     for rule in cascade(p, cap):
-        state = _bind(state, rule, names, p)
+        state = _bind(state, rule, p)
     out = decisions.withColumn("_s", F.when(when, state) if when is not None else state)
     done = lambda n: F.col(f"_s.{n}") if when is None else F.when(when, F.col(f"_s.{n}")).otherwise(
         F.col(n).cast(TYPES[n]))
     return out.select(*[done(c).alias(c) if c in TYPES else F.col(c) for c in decisions.columns])
 
 
-def _bind(state: Column, rule, names: list[str], p: Params) -> Column:
-    return F.transform(F.array(state), lambda v: rule(State(v, names), p))[0]
+def _bind(state: Column, rule, p: Params) -> Column:
+    return F.transform(F.array(state), lambda v: rule(State(v), p))[0]

@@ -42,7 +42,8 @@ SPAN = {"combined": (0.30, 0.60), "semantic": (0.40, 0.55), "structured": (0.0,
 
 def rule_decisions(spark, d):
     k = FX.decisions(spark, d).select("source_id", "source_category", "decision_order", "k", "coverage_level", "gap_items",
-                                      "confidence", "same_functional_domain", "other_key", "source_parent_id")
+                                      "confidence", "same_functional_domain", "other_key", "source_parent_id",
+                                      "pre_review_coverage")
 
     def score(i, n):
         low, width = SPAN[n]
@@ -87,7 +88,7 @@ SHORT = {"combined": "c", "semantic": "s", "structured": "st", "action_object":
 RULE_DECISIONS = f"""SELECT *, CASE WHEN NOT has_c OR k % 4 = 0 THEN [] WHEN k % 4 = 1 THEN [id1] WHEN k % 4 = 2 THEN [id2]
     ELSE [id1, id2] END AS targets,
   CASE WHEN c1 > c2 OR (c1 = c2 AND s1 >= s2) THEN 1 ELSE 2 END AS bi FROM (
-  SELECT source_id, source_category, decision_order, k, confidence, same_functional_domain,
+  SELECT source_id, source_category, source_parent_id, pre_review_coverage, decision_order, k, confidence, same_functional_domain,
     CASE WHEN k % 6 = 0 THEN 0 ELSE (k * 7) % 21 * 5 END AS cov, {X.pick('k', EQS)} AS eq, {X.pick('k', RELS)} AS rel,
     {X.pick('k', GAPS)} AS gt, {X.pick('k', MATCHES)} AS mt, {X.pick('k', RISKS)} AS risk,
     k % 23 <> 0 AS has_c, 'T1.' || (k % 97) || '#1' AS id1, 'T2.' || (k % 97) || '#1' AS id2,

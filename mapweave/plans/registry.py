@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mapweave.plans import decision_queries, match_queries, text_queries
+from mapweave.plans import decision_queries, match_queries, report_queries, text_queries
 
-MODULES = [text_queries, match_queries, decision_queries]
+MODULES = [text_queries, match_queries, decision_queries, report_queries]
 
 
 def queries() -> dict:
