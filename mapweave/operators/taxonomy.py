@@ -116,11 +116,16 @@ def card_score(card: Row, text: Column, words: Column, rules=BUILTIN_RULES) -> C
 def with_scores(df: DataFrame, cards: list[Row], text: str = "full_text", rules=BUILTIN_RULES) -> DataFrame:
     """Adds `ranked`: array of (score, category), best first, card order among equals; scores to nine digits."""
     low = casefold(collapse(F.col(text)))
-    df = df.withColumn("_low", low).withColumn("_words", token_set(F.col("_low")))
-    entries = [F.struct((-F.round(card_score(c, F.col("_low"), F.col("_words"), rules), 9)).alias("k"), F.lit(i).alias("i"),
-                        F.lit(c.category).alias("category")) for i, c in enumerate(cards)]
-    ranked = F.transform(F.array_sort(F.array(*entries)), lambda e: F.struct((-e["k"]).alias("score"), e["category"].alias("category")))
-    return df.withColumn("ranked", ranked).drop("_words")
+
+    def rank(v: Column) -> Column:
+        entries = [F.struct((-F.round(card_score(c, v["low"], v["words"], rules), 9)).alias("k"), F.lit(i).alias("i"),
+                            F.lit(c.category).alias("category")) for i, c in enumerate(cards)]
+        return F.transform(F.array_sort(F.array(*entries)), lambda e: F.struct(
+            (-e["k"]).alias("score"), e["category"].alias("category")))
+
+    # bound once, so a filter pushed below this projection does not repeat the text work for every term
+    context = F.struct(low.alias("low"), token_set(low).alias("words"))
+    return df.withColumn("ranked", F.transform(F.array(context), rank)[0])
 
 
 def score_confidence(top: Column, second: Column) -> Column:
@@ -171,14 +176,14 @@ CONTEXTS = {"id": "control_id", "control_id": "control_id", "title": "title", "o
             "keywords": "keywords_text"}
 
 
-def override_decision(overrides: list[Row], cards: list[Row]) -> Column:
+def override_decision(overrides: list[Row], cards: list[Row], low: Column) -> Column:
     """The first rule, in priority order, whose pattern matches its context; null when none does."""
     out = F.lit(None).cast("struct<primary:string,secondary:array<string>,confidence:double,reason:string>")
     for o in reversed(overrides):
         primary = _resolve_here(o.primary_category, cards)
         if primary is None:
             continue
-        text = casefold(F.col(CONTEXTS[o.applies_to])) if o.applies_to in CONTEXTS else F.col("_low")
+        text = casefold(F.col(CONTEXTS[o.applies_to])) if o.applies_to in CONTEXTS else low
         cond = F.contains(text, F.lit(o.pattern.casefold()))
         if o.match_mode == "exact":
             cond = F.trim(text) == o.pattern.casefold().strip()
@@ -215,7 +220,7 @@ def classify(df: DataFrame, cards: list[Row], overrides: list[Row] = (), p: Para
     for c in reversed(cards):
         exact = F.when(key == c.card_key, c.category).otherwise(exact)
     exact = F.lit(None).cast("string") if p.category_force else exact
-    df = df.withColumns({"_exact": exact, "_over": override_decision(list(overrides), cards)})
+    df = df.withColumns({"_exact": exact, "_over": F.transform(F.array(casefold(F.col("full_text"))), lambda v: override_decision(list(overrides), cards, v))[0]})
     top, second = F.col("ranked")[0]["score"], F.coalesce(F.try_element_at("ranked", F.lit(2))["score"], F.lit(0.0))
     conf = score_confidence(top, second)
     by_exact, by_over = F.col("_exact").isNotNull(), F.col("_over").isNotNull()
@@ -232,7 +237,7 @@ def classify(df: DataFrame, cards: list[Row], overrides: list[Row] = (), p: Para
                 F.transform(F.slice("ranked", 1, 5), lambda e: F.struct(e["category"].alias("key"), F.round(e["score"], 4).alias("value"))))),
     })
     seconds = F.when(by_over & ~by_exact, F.col("_over.secondary")).otherwise(secondary_categories(F.col("primary_category"), p))
-    return df.withColumn("secondary_categories", seconds).drop("_exact", "_over", "_low", "full_text")
+    return df.withColumn("secondary_categories", seconds).drop("_exact", "_over", "full_text")
 
 
 def apply_supplied(df: DataFrame, supplied: DataFrame, cards: list[Row], p: Params = DEFAULTS) -> DataFrame:

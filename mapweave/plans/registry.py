@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mapweave.plans import decision_queries, match_queries, report_queries, text_queries
+from mapweave.plans import (decision_queries, match_queries, output_queries, report_queries, taxonomy_queries,
+                             text_queries)
 
-MODULES = [text_queries, match_queries, decision_queries, report_queries]
+MODULES = [text_queries, taxonomy_queries, match_queries, decision_queries, report_queries, output_queries]
 
 
 def queries() -> dict:

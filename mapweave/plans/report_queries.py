@@ -393,7 +393,10 @@ CACHE = ["miss", "hit", "obvious_gap_shortcut", "no_candidate_pool", "no_candida
 
 
 def run_log(spark, d):
-    e = table(spark, d, "events")
+    return log_of(table(spark, d, "events"))
+
+
+def log_of(e):
     k = F.get_json_object("props", "$.k").cast("int")
     step = F.lit("")
     for t, s in STEPS.items():
