@@ -262,7 +262,7 @@ def scored_sources(spark, d):
 
 _SCORED = f"""SELECT *, CASE WHEN k % 29 = 0 THEN 'No candidate for scope soft_enisa' WHEN NOT has_c THEN '{D.BELOW_THRESHOLD}'
     WHEN c < 0.10 AND s < 0.20 AND ao1 < 0.15 THEN '{D.OBVIOUS_GAP}' WHEN c < 0.45 THEN '{D.LOW_SCORE}' END AS gap_reason FROM (
-  SELECT source_id, k, has_c, ao1, id1, CASE WHEN k % 3 = 0 THEN round(c1 * 0.2, 4) ELSE c1 END AS c,
+  SELECT source_id, k, has_c, ao1, id1, id2, CASE WHEN k % 3 = 0 THEN round(c1 * 0.2, 4) ELSE c1 END AS c,
     CASE WHEN k % 3 = 0 THEN round(s1 * 0.3, 4) ELSE s1 END AS s FROM ({RULE_DECISIONS}))"""
 _HEUR = f"""SELECT *, CASE WHEN gap_reason IS NOT NULL THEN 0 WHEN c >= 0.72 AND ao1 >= 0.25 THEN 80 ELSE 50 END AS cov0
   FROM ({_SCORED})"""
