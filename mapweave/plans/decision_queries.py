@@ -377,12 +377,12 @@ def corrections(spark, d):
 _CORRECTED = f"""SELECT * REPLACE (CASE WHEN hit THEN 'partial' ELSE rel END AS rel, CASE WHEN hit THEN (k * 3) % 11 * 10 ELSE cov END AS cov,
     CASE WHEN hit AND k % 3 = 0 THEN 'Medium' WHEN hit THEN 'Low' ELSE risk END AS risk,
     CASE WHEN hit AND k % 3 = 0 THEN 0 ELSE n_items END AS n_items, CASE WHEN hit AND k % 3 = 0 THEN false ELSE material END AS material,
-    CASE WHEN hit AND k % 3 = 0 AND has_c THEN [id2] ELSE targets END AS targets), cov AS before
+    CASE WHEN hit AND k % 3 = 0 AND has_c THEN [id2] ELSE targets END AS targets), coalesce(pre_review_coverage, cov) AS before
   FROM (SELECT *, k % 4 <> 0 AS hit FROM ({RULE_DECISIONS}))"""
 
 
 @query("D20_apply_corrections", f"""SELECT {OUTCOME}, before AS pre_review_coverage FROM ({sql_cascade(_CORRECTED, cap=False)}) WHERE hit
-  UNION ALL SELECT {OUTCOME}, NULL FROM ({RULE_DECISIONS}) WHERE k % 4 = 0""")
+  UNION ALL SELECT {OUTCOME}, pre_review_coverage FROM ({RULE_DECISIONS}) WHERE k % 4 = 0""")
 def _(spark, d):
     r = D.apply_corrections(rule_decisions(spark, d), corrections(spark, d))
     return r.select(
