@@ -147,7 +147,7 @@ def _(spark, d):
 
 
 @query("K5_consolidated_table", f"""SELECT 'CONS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS consolidated_id, a AS source_id_a,
-  replace(b, ',', ', ') AS source_ids_b, origin, cov AS coverage_a_to_b FROM (SELECT *, row_number() OVER (ORDER BY pass_no, group_order) AS n FROM ({RQ.U_ROWS}))""")
+  replace(b, ',', ', ') AS source_ids_b, origin, cov AS coverage_a_to_b FROM (SELECT *, row_number() OVER (ORDER BY pass_no, group_order, a, b) AS n FROM ({RQ.U_ROWS}))""")
 def _(spark, d):
     return K.traceability_table(RQ.merged(spark, d)).select("consolidated_id", "source_id_a", "source_ids_b", "origin", "coverage_a_to_b")
 

@@ -299,7 +299,7 @@ def _(spark, d):
 
 
 @query("U5_consolidated_ids", f"""SELECT 'CONS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS consolidated_id, a, origin FROM (
-  SELECT *, row_number() OVER (ORDER BY pass_no, group_order) AS n FROM ({U_ROWS}))""")
+  SELECT *, row_number() OVER (ORDER BY pass_no, group_order, a, b) AS n FROM ({U_ROWS}))""")
 def _(spark, d):
     return merged(spark, d).select("consolidated_id", F.col("source_id_a").alias("a"), "origin")
 
