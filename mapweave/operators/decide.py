@@ -184,7 +184,7 @@ def review_selection(decisions: DataFrame, p: Params = DEFAULTS, order: str = "d
     df = decisions
     if p.review_only_ambiguous:
         df = df.filter(~((F.col("confidence") >= p.review_confidence) & (F.col("coverage_level") > 50)))
-    ranked = position_rank(df, ["source_category"], order, "_n", chunk=None)
+    ranked = position_rank(df, ["source_category"], order, "_n")
     return ranked.withColumn("batch_no", F.ceil(F.col("_n") / F.lit(p.review_batch)).cast("long")).drop("_n")
 
 

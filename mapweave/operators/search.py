@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import types as T
 
 from mapweave.operators import blocks as B
 from mapweave.params import DEFAULTS, FAMILY_AFFINITY, STRUCTURED_WEIGHTS, Params
+from mapweave.sources.shared import saved
 
 SIGNALS = ["semantic", "keyword", "structured", "action_object", "control_type", "category_prior", "combined"]
 # everything that decides a score, an affinity or a pool; equal values mean the same profile
@@ -33,12 +33,8 @@ BITS = 32768  # bits of a cell's token bitmap (the size Spark's bitmap aggregate
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's checkpoint folder, so lost executors do not replay the whole lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    """Write to the shared folder and read back, so lost executors do not replay the whole lineage."""
+    return saved(df, "search")
 
 
 def _present(df: DataFrame) -> list[str]:

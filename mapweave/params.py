@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 
 # Default numbers, word lists and ordered tables that results depend on.
-STOP_WORDS = (
-    "the and for with that this shall must should from into des les une dans pour avec qui que sur "
-    "aux du de la le et ou un en au par est sont doit doivent"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "with", "that", "this", "shall", "must", "should", "from", "into", "des", "les", "une",
+    "dans", "pour", "avec", "qui", "que", "sur", "aux", "du", "de", "la", "le", "et", "ou", "un", "en", "au", "par",
+    "est", "sont", "doit", "doivent",
+]
 SEPARATORS = [";", " and shall ", " and must ", " et doit ", " et doivent "]
 OBLIGATION_WORDS = ["shall", "must", "doit", "doivent"]
 STRUCTURED_WEIGHTS = {
@@ -29,14 +30,26 @@ CONTROL_FAMILIES = [
     ("asset_inventory", ["asset", "inventory", "inventaire", "actif", "cartographie", "information systems"]),
 ]
 FAMILY_AFFINITY = {
-    "GV": "PSSI ROLE RISKS COMPLIANCE ECOSYSTEM CONTRACT AUDIT".split(),
-    "ID": "IS_INVENTORY MAPPING ECOSYSTEM CONTRACT RISKS MCO_MCS AUDIT COMPLIANCE EXERCISES".split(),
-    "PR": ("SEGMENTATION FILTERING AUTHENTICATION ACCESS_RIGHTS ADMIN_ACCOUNT ADMINISTRATION CONFIGURATION "
-           "PROT_MALICIOUS_CODE PHYSICAL_ACCESS REMOTE_ACCESS DIRECTORIES HR RH BUSINESS_CONTINUITY "
-           "IDENTIFICATION IS_INVENTORY MCO_MCS").split(),
-    "DE": "MONITORING AUDIT INCIDENT MCO_MCS".split(),
-    "RS": "INCIDENT CRISIS_MANAGEMENT".split(),
-    "RC": "BUSINESS_CONTINUITY CRISIS_MANAGEMENT EXERCISES INCIDENT".split(),
+    "GV": [
+        "PSSI", "ROLE", "RISKS", "COMPLIANCE", "ECOSYSTEM", "CONTRACT", "AUDIT",
+    ],
+    "ID": [
+        "IS_INVENTORY", "MAPPING", "ECOSYSTEM", "CONTRACT", "RISKS", "MCO_MCS", "AUDIT", "COMPLIANCE", "EXERCISES",
+    ],
+    "PR": [
+        "SEGMENTATION", "FILTERING", "AUTHENTICATION", "ACCESS_RIGHTS", "ADMIN_ACCOUNT", "ADMINISTRATION",
+        "CONFIGURATION", "PROT_MALICIOUS_CODE", "PHYSICAL_ACCESS", "REMOTE_ACCESS", "DIRECTORIES", "HR", "RH",
+        "BUSINESS_CONTINUITY", "IDENTIFICATION", "IS_INVENTORY", "MCO_MCS",
+    ],
+    "DE": [
+        "MONITORING", "AUDIT", "INCIDENT", "MCO_MCS",
+    ],
+    "RS": [
+        "INCIDENT", "CRISIS_MANAGEMENT",
+    ],
+    "RC": [
+        "BUSINESS_CONTINUITY", "CRISIS_MANAGEMENT", "EXERCISES", "INCIDENT",
+    ],
 }
 MODEL_PRICES = {
     "gpt-5.4-nano": (0.10, 0.40),
