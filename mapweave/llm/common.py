@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,37 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U = np.uint64
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A folder of its own is made only where that is unset and the master is local."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mapweave-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+from mapweave.sources.shared import saved, shared_folder
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U = np.uint64
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by saved() that no later plan reads."""
+    """Delete the files of a table made by saved() that no later plan reads, and let Spark drop the shuffles of ended jobs."""
     spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getParent().toUri().getPath() == spark.sparkContext._jvm.java.net.URI(shared_folder(spark)).getPath():
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).toUri().getPath():
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import Rolling, U, raw, slices, sliding_min
+from mapweave.llm.common import Rolling, U, raw, saved, slices, sliding_min
 
 #: Byte -> lower-case word byte, or 0 outside words: ASCII letters and digits and all bytes beyond ASCII are words.
 WORD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
@@ -169,7 +169,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: in
         return pa.RecordBatch.from_arrays(cols + [pa.array(x, t) for x, t in zip(zip(*judged) if judged else [[]] * 5, [pa.int64()] * 3 + [pa.string(), pa.bool_()])], names=names + NAMES)
 
     source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text"))
-    parts = []
+    parts, numbered = [], None
     for alone, rows in blocks(benchmark, item=item, text="text", block_bytes=block_bytes):
         sent = spark.sparkContext.broadcast(Block(rows, k, window))
         if alone:
@@ -178,17 +178,19 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: in
                     texts = b.column("__text")
                     yield answer(b, texts, [verdict(*x) for x in _scan(texts, sent.value)])
             return source.mapInArrow(run, schema)
+        if numbered is None:  # row numbers must be the same for every block, so they are written once
+            numbered = saved(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
         def run(batches, sent=sent):
             for b in batches:
                 found = [(r, n, x, sorted(i)) for r, (n, x, i) in zip(b.column("__row").to_pylist(), _scan(b.column("__text"), sent.value))]
                 yield pa.RecordBatch.from_pylist([{"__row": r, "n": n, "runs": [{"a": p, "b": q} for p, q in x], "items": i} for r, n, x, i in found], schema=PART)
-        parts.append(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(text).cast("string").alias("__text")).mapInArrow(run, "__row long, n long, runs array<struct<a: long, b: long>>, items array<long>"))
+        parts.append(numbered.select("__row", "__text").mapInArrow(run, "__row long, n long, runs array<struct<a: long, b: long>>, items array<long>"))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
     every = every.groupBy("__row").agg(F.max("n").alias("n"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
-    joined = docs.select(*[F.col(f"`{n}`") for n in names], F.monotonically_increasing_id().alias("__row")).join(every, "__row")
+    joined = numbered.drop("__text").join(every, "__row")
 
     def finish(batches):
         for b in batches:

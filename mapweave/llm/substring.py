@@ -5,8 +5,8 @@ with the same trigger is a phrase; phrases overlap by span - 1 bytes, so each wi
 has the same trigger wherever it stands. The phrases make a dictionary with the first place of each.
 
 * A trigger with a single phrase in the whole corpus: all its places but the first are repeats, window by window.
-* A trigger with several phrases: the windows of these phrases are put in suffix order inside a batch, equal neighbours are
-  merged to their first place, and what is left is merged by window hash across batches.
+* A trigger with several phrases: their windows are parsed again with longer triggers, which leaves few of them open. These are put in
+  suffix order inside a batch, equal neighbours are merged to their first place, and the rest is merged by window hash across batches.
 
 Places are ordered by (doc_id, row, start), as the corpus is. Each batch sends just its first place of a trigger or window, so a passage in a third
 of all documents is a row for each batch, not for each document. Texts are never gathered by key.
@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import Rolling, U, discard, raw, saved, slices, sliding_min
 
 TRIGGER, PHRASE, FIRST, SECOND = Rolling(21), Rolling(22), Rolling(23), Rolling(24)
-SLICE, PLACE = 1 << 21, 26
+#: Bytes parsed at once, bits of a place in them, and windows sorted at once.
+SLICE, PLACE, WINDOWS = 1 << 20, 26, 200_000
 NO_KEY = -(2**63)
 #: Kinds of rows of the parse: the first place of a trigger in a batch, a further phrase of it there, a repeat inside the batch.
 HEAD, MORE, DONE = 0, 1, 2
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
-    """Phrases of rows of text: row, start in the row, windows, hash of the trigger, hash of the phrase."""
+def parse(data: np.ndarray, offsets: np.ndarray, span: int, k: int, allowed: np.ndarray | None = None):
+    """Phrases of rows of text: row, start in the row, windows, hash of the trigger, hash of the phrase; of the allowed windows only."""
     n = len(data) - span + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -41,11 +42,12 @@ def parse(data: np.ndarray, offsets: np.ndarray, span: int, k: int):
     packed = h >> U(PLACE) << U(PLACE) | at.astype(np.uint64)
     trigger = (sliding_min(packed, span - k + 1) & U((1 << PLACE) - 1)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    valid = np.nonzero(row[:n] == row[span - 1:])[0]
+    valid = row[:n] == row[span - 1:]
+    valid = np.nonzero(valid if allowed is None else valid & allowed[:n])[0]
     if not len(valid):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     t, r = trigger[valid], row[valid]
-    new = np.concatenate([[0], np.nonzero((t[1:] != t[:-1]) | (r[1:] != r[:-1]))[0] + 1])
+    new = np.concatenate([[0], np.nonzero((t[1:] != t[:-1]) | (r[1:] != r[:-1]) | (valid[1:] != valid[:-1] + 1))[0] + 1])
     start, windows = valid[new], np.diff(np.append(new, len(valid)))
     q = PHRASE.prefix(data)
     return r[new], start - offsets[r[new]], windows, h[t[new]], PHRASE.of(q, start, start + windows + span - 1)
@@ -77,6 +79,16 @@ def runs_of(rank: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[n
     return rank[new], start[new], np.add.reduceat(windows, new) if len(new) else windows
 
 
+def marked(phrases: pa.Array, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes begin a window of the given runs."""
+    count, flat = np.diff(phrases.offsets.to_numpy()), phrases.flatten()
+    at = np.repeat(offsets[:-1], count) + flat.field("start").to_numpy()
+    step = np.zeros(int(offsets[-1]) + 1, np.int32)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + flat.field("windows").to_numpy(), -1)
+    return np.cumsum(step)[:-1] > 0
+
+
 PARSED = "kind byte, trigger long, phrase long, doc_id long, number long, start long, windows long"
 PLACED = [("doc_id", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())]
 
@@ -89,9 +101,11 @@ def _parse(span: int, k: int):
             ids = b.column("doc_id").fill_null(NO_KEY).to_numpy()
             numbers = b.column("number").to_numpy()
             data, offsets = raw(b.column("text"))
+            allowed = marked(b.column("phrases"), offsets) if "phrases" in b.schema.names else None
             parts = []
             for a, z in slices(offsets, SLICE):
-                r, *rest = parse(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a], span, k)
+                some = slice(int(offsets[a]), int(offsets[z]))
+                r, *rest = parse(data[some], offsets[a:z + 1] - offsets[a], span, k, None if allowed is None else allowed[some])
                 parts.append((r + a, *rest))
             if not parts:
                 continue
@@ -122,8 +136,10 @@ def _windows(span: int):
 
     def run(batches):
         for big in batches:
-            for o in range(0, big.num_rows, 1000):
-                yield from some(big.slice(o, 1000))
+            phrases = big.column("phrases")
+            n = np.add.reduceat(np.append(phrases.flatten().field("windows").to_numpy(), 0), phrases.offsets.to_numpy()[:-1] - phrases.offsets[0].as_py()) if big.num_rows else []
+            for a, z in slices(np.concatenate([[0], np.cumsum(n)]), WINDOWS):
+                yield from some(big.slice(a, z - a))
 
     def some(b):
         ids, numbers = b.column("doc_id").fill_null(NO_KEY).to_numpy(), b.column("number").to_numpy()
@@ -183,37 +199,45 @@ def _cut(span: int, texts: bool):
     return run
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = 100, k: int = 24) -> DataFrame:
-    """(number, runs) of the rows of docs that hold repeats: number is the row's, runs are (start, windows), in bytes."""
-    spark = docs.sparkSession
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = 100, triggers: tuple[int, ...] = (32, 88)) -> DataFrame:
+    """(number, runs) of the rows of docs that hold repeats: number is the row's, runs are (start, windows), in bytes.
+
+    triggers: lengths of the triggers of one parse after the other, at most span.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"), F.col(text).cast("string").alias("text"))
-    parsed = saved(rows.mapInArrow(_parse(span, k), PARSED), "parse")
     place = F.struct("doc_id", "number", "start")
     own = Window.partitionBy("trigger")
-    heads = parsed.where(F.col("kind").isin(HEAD, HEAD + 10)).select("kind", "trigger", "phrase", "doc_id", "number", "start", "windows")
-    heads = heads.withColumn("first", F.min(place).over(own)).withColumn("open", (F.min("phrase").over(own) != F.max("phrase").over(own)) | (F.max("kind").over(own) > HEAD))
-    found = saved(heads.where(F.col("open") | (place != F.col("first"))).select("number", "start", "windows", "open"), "found")
-    open_ = found.where("open").select("number", "start", "windows").union(parsed.where(F.col("kind") == MORE).select("number", "start", "windows"))
-    open_ = open_.groupBy("number").agg(F.collect_list(F.struct("start", "windows")).alias("phrases"))
+    settled, open_ = [], None
+    for k in triggers:
+        parsed = saved((rows if open_ is None else rows.join(open_, "number")).mapInArrow(_parse(span, k), PARSED), "parse")
+        heads = parsed.where(F.col("kind").isin(HEAD, HEAD + 10))
+        heads = heads.withColumn("first", F.min(place).over(own)).withColumn("open", (F.min("phrase").over(own) != F.max("phrase").over(own)) | (F.max("kind").over(own) > HEAD))
+        heads = heads.where(F.col("open") | (place != F.col("first"))).select("number", "start", "windows", "open")
+        others = parsed.where(F.col("kind").isin(MORE, DONE)).select("number", "start", "windows", (F.col("kind") == MORE).alias("open"))
+        settled.append(saved(heads.union(others), "settled"))
+        discard(parsed)
+        open_ = settled[-1].where("open").groupBy("number").agg(F.collect_list(F.struct("start", "windows")).alias("phrases"))
     windows = saved(rows.join(open_, "number").mapInArrow(_windows(span), "first long, second long, doc_id long, number long, start long, windows long"), "windows")
     same = Window.partitionBy("first", "second")
     again = windows.where("first is not null").withColumn("least", F.min(place).over(same)).where(place != F.col("least"))
-    done = found.where("not open").select("number", "start", "windows").union(parsed.where(F.col("kind") == DONE).select("number", "start", "windows"))
-    done = done.union(windows.where("first is null").select("number", "start", "windows")).union(again.select("number", "start", "windows"))
+    done = again.select("number", "start", "windows").union(windows.where("first is null").select("number", "start", "windows"))
+    for t in settled:
+        done = done.union(t.where("not open").select("number", "start", "windows"))
     out = saved(done.groupBy("number").agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "runs")
-    for t in (parsed, found, windows):
+    for t in (*settled, windows):
         discard(t)
     return out
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = 100, k: int = 24, texts: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = 100, texts: bool = False, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs, and with texts the kept bytes.
 
     Every byte covered by a string of span bytes that also starts earlier is removed: in a smaller doc_id, or earlier in the
     same row. Null and empty texts have no bytes. A null doc_id comes before all others; rows that repeat a doc_id are
-    ordered as they are read. Other columns are not read.
+    ordered as they are read. Other columns are not read. docs is read several times and must give its rows in the same order
+    each time, as a table of files does.
     """
-    runs = repeats(docs, text, key, span, k)
+    runs = repeats(docs, text, key, span, **options)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"), F.col(text).cast("string").alias("text"))
     joined = rows.join(runs, "number", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_cut(span, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import saved, shared_folder
+from mapweave.llm.common import saved
+from mapweave.sources.shared import shared_folder
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
