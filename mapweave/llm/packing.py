@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.common import partitions, saved
 
-#: Words kept by a task, about 0.3 GB; then it begins anew.
-CACHE_WORDS = 1_000_000
+#: Words kept by a task, about 0.4 GB; then it begins anew.
+CACHE_WORDS = 2_000_000
 PUNCTUATION = ".,!?;:%&*$#|"
 _state: dict[str, "Tokens"] = {}
 
@@ -42,7 +42,7 @@ class Tokens:
 
     def clear(self) -> None:
         self.entry: dict[str, int] = {"": 0}  # piece -> number; number 0 is empty
-        self.words: dict[str, tuple[int, int]] = {}
+        self.words: dict[str, int] = {}  # word -> numbers of its two pieces in one
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def parts(self, word: str) -> tuple[str, ...]:
@@ -70,7 +70,7 @@ class Tokens:
             self.flat = np.concatenate([self.flat, *[np.asarray(x, dtype=np.uint32) for x in found]])
             self.entry.update(zip(single + whole, range(len(self.size) - len(found), len(self.size))))
         entry = self.entry
-        self.words.update((w, (entry[c[0]], entry[c[1]] if len(c) == 2 else 0)) for w, c in zip(words, cut))
+        self.words.update((w, entry[c[0]] << 32 | (entry[c[1]] if len(c) == 2 else 0)) for w, c in zip(words, cut))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each ended by id 0, and the len + 1 offsets."""
@@ -80,8 +80,8 @@ class Tokens:
         if len(self.words) > CACHE_WORDS:
             self.clear()
         self.learn([w for w in names if w not in self.words])
-        code = np.array([self.words[w] for w in names], dtype=np.int64).reshape(-1, 2)
-        code = code[coded.indices.to_numpy()].ravel()
+        code = np.array([self.words[w] for w in names], dtype=np.int64)[coded.indices.to_numpy()]
+        code = np.stack([code >> 32, code & 0xFFFFFFFF], axis=1).ravel()
         size = self.size[code]
         ends = np.concatenate([[0], np.cumsum(size)])
         bounds = split.offsets.to_numpy()
