@@ -6,11 +6,13 @@ Spark keeps them as consecutive projects inside one stage and nothing is shuffle
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mapweave.functions import labels as L
 from mapweave.functions.text import split_list
-from mapweave.functions.values import (GAP_ITEM, content_hash, first_text, gap_items, number_to_int,
+from mapweave.functions.values import (GAP_ITEM, first_text, gap_items, number_to_int,
                                        tolerant_float, tolerant_int,
                                        tri_bool)
 from mapweave.operators.ranking import position_rank
@@ -206,6 +208,12 @@ OVERWRITABLE = ["relation_type", "equivalence_level", "match_type", "gap_type",
                 "combine_controls", "recommendation", "mapping_risk", "scoring_rationale"]
 
 
+def _whole(text: Column) -> Column:
+    """Number text cut to an integer; null for other text and for numbers no level can have."""
+    x = text.try_cast("double")
+    return F.when(F.abs(x) < 1e6, x).cast("int")
+
+
 def apply_corrections(decisions: DataFrame, corrections: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Supplied corrections (source_id, batch_no, position, correction JSON) on top of decisions.
 
@@ -231,7 +239,7 @@ def apply_corrections(decisions: DataFrame, corrections: DataFrame, p: Params =
     ids = id_list(first_text(F.col("_selected_candidate_ids"), F.col("_target_ids")))
     shown = F.transform("candidates", lambda c: c["candidate_id"])
     j = j.withColumn("_ids", F.filter(ids, lambda i: F.array_contains(shown, i)))
-    j = put(j, hit, coverage_level=F.coalesce(F.col("_coverage_level").try_cast("int"), F.col("coverage_level")),
+    j = put(j, hit, coverage_level=F.coalesce(_whole(F.col("_coverage_level")), F.col("coverage_level")),
             confidence=F.coalesce(F.col("_confidence").try_cast("double"), F.col("confidence")),
             gap_items=F.when(F.startswith(F.trim(items), F.lit("[")), gap_items(items)).otherwise(
                 F.col("gap_items").cast(f"array<{GAP_ITEM}>")))
@@ -240,10 +248,17 @@ def apply_corrections(decisions: DataFrame, corrections: DataFrame, p: Params =
     return correct(j.select(*keep), p, cap=False, when=hit)
 
 
+LAYOUT = ("target_block_rows", "source_block_rows", "max_pivots")
+
+
 # ---- reuse and referential check -----------------------------------------------------------------
 def decision_key(p: Params, *content: Column) -> Column:
-    """Key of everything a decision depends on: source, candidates with their scores, and the parameters."""
-    return content_hash(F.lit(repr(p)), *content)
+    """Key of everything a decision depends on: source, candidates with their scores, and the parameters.
+
+    The full SHA-256, since a shared key reuses a wrong decision. Parameters of layout alone do not enter.
+    """
+    told = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in LAYOUT}
+    return F.sha2(F.to_json(F.struct(F.lit(repr(told)), *content), {"ignoreNullFields": "false"}), 256)
 
 
 def reuse(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

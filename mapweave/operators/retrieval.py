@@ -69,8 +69,3 @@ def guideline_passages(queries: DataFrame, chunks: DataFrame, p: Params = GUIDEL
             empty.alias("atomic_requirement"), fields.alias("fields")), p)
     return search(bare(queries), bare(chunks), p).select(
         "source_id", "candidate_id", F.col("combined_score").alias("cosine"), "rank")
-
-
-def best_per_source(candidates: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source_id").orderBy("rank")
-    return candidates.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -265,24 +265,42 @@ def apply_to_atoms(df: DataFrame) -> DataFrame:
                            "subcategory": F.lit("")})
 
 
+CATEGORY_COLUMNS = ["primary_category", "secondary_categories", "category_confidence", "category_status", "category_method", "category_margin", "category_scores"]
+
+
+def is_weak(p: Params = DEFAULTS) -> Column:
+    return (F.col("category_confidence") < p.category_strong) | (F.coalesce("primary_category", F.lit("")) == "")
+
+
 def repair(atoms: DataFrame, decisions: DataFrame, cards: list[Row], overrides: list[Row] = (), p: Params = DEFAULTS,
-           rules=BUILTIN_RULES) -> DataFrame:
-    """Reclassify only weak atoms. Known decisions (key, primary_category, category_confidence) are reused by key.
+           rules=BUILTIN_RULES, order: str = "log_order") -> DataFrame:
+    """Reclassify only weak atoms. Known decisions are reused by key, whole: of a key the last by `order` counts.
 
-    Adds category_source: kept, reused or classified. Atoms carry key, primary_category, category_confidence.
+    decisions: key, order and category columns, which replace those of the atom; category columns that only the atom has are
+    emptied, so nothing of an older decision stays. Adds category_source: kept, reused or classified.
     """
-    weak = (F.col("category_confidence") < p.category_strong) | (F.coalesce("primary_category", F.lit("")) == "")
+    weak = F.coalesce(is_weak(p), F.lit(True))
     kept = atoms.filter(~weak).withColumn("category_source", F.lit("kept"))
-    known = decisions.groupBy("key").agg(F.first("primary_category").alias("_p"), F.max("category_confidence").alias("_c"))
+    told = [c for c in decisions.columns if c not in ("key", order)]
+    known = decisions.groupBy("key").agg(F.max_by(F.struct(*told), order).alias("_known"))
     todo = atoms.filter(weak)
-    hits = todo.join(known, "key").withColumns({"primary_category": F.col("_p"), "category_confidence": F.col("_c"),
-                                                "category_source": F.lit("reused")}).drop("_p", "_c")
-    misses = classify(todo.join(known, "key", "left_anti").drop("primary_category", "category_confidence"), cards, overrides, p, rules)
+    stale = [c for c in CATEGORY_COLUMNS if c in atoms.columns and c not in told]
+    hits = todo.join(known, "key").withColumns({
+        **{c: F.col(f"_known.{c}") for c in told}, **{c: F.lit(None).cast(atoms.schema[c].dataType) for c in stale},
+        "category_source": F.lit("reused")}).drop("_known")
+    misses = classify(todo.join(known, "key", "left_anti").drop(*CATEGORY_COLUMNS), cards, overrides, p, rules)
     misses = misses.withColumn("category_source", F.lit("classified"))
     cols = kept.columns
     return kept.unionByName(hits.select(*cols)).unionByName(misses.select(*cols))
 
 
+def repair_counts(before: DataFrame, after: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(measure, n): weak atoms before and after a repair, and atoms by category_source."""
+    count = lambda df, c, name: df.agg(F.count_if(F.coalesce(c, F.lit(True))).alias("n")).select(F.lit(name).alias("measure"), "n")
+    by_source = after.groupBy(F.concat(F.lit("source_"), "category_source").alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    return count(before, is_weak(p), "weak_before").unionByName(count(after, is_weak(p), "weak_after")).unionByName(by_source)
+
+
 def quality_report(atoms: DataFrame) -> DataFrame:
     """One row per framework with counts and rates to four digits."""
     conf, n = F.coalesce("category_confidence", F.lit(0.0)), F.count(F.lit(1))

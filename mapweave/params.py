@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 # Default numbers, word lists and ordered tables that results depend on.
 STOP_WORDS = [
@@ -134,12 +134,10 @@ class Params:
     # texts
     chunk_words: int = 400
     chunk_overlap: int = 80
-    guideline_top_k: int = 3
     embedding_dims: int = 128
     # consolidation and plan
     orphan_threshold: int = 40
     supplement_below: int = 70
-    max_actions: int = 4
     invalid_target_policy: str = "raise"
     # tables passed by value
     separators: tuple = tuple(SEPARATORS)
@@ -148,7 +146,6 @@ class Params:
     target_block_rows: int = 4096
     source_block_rows: int = 1024
     max_pivots: int = 256
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.match_scope not in MATCH_SCOPES:

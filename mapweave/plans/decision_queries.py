@@ -367,7 +367,7 @@ def corrections(spark, d):
     kk = F.col("k")
     first = r.select("source_id", F.lit(1).alias("batch_no"), F.lit(1).alias("position"), F.concat(
         F.lit('{"relation_type": "partial", "coverage_level": '), ((kk * 3) % 11 * 10).cast("string"),
-        F.lit(', "mapping_risk": "Low"}')).alias("correction"))
+        F.when(kk % 2 == 0, ".5").otherwise(""), F.lit(', "mapping_risk": "Low"}')).alias("correction"))
     second = r.filter("k % 3 = 0").select("source_id", F.lit(1).alias("batch_no"), F.lit(2).alias("position"), F.concat(
         F.lit('{"corrected_mapping_risk": "Medium", "gap_items": [], "selected_candidate_ids": "nope, T2.'),
         (kk % 97).cast("string"), F.lit('#1"}')).alias("correction"))

@@ -17,6 +17,7 @@ from mapweave.plans import taxonomy_queries as TQ
 from mapweave.plans.fixtures import table
 from mapweave.plans.text_queries import _POINTS, sql_dimension
 from mapweave.sources import sinks as K
+from mapweave.sources import shared as SH
 from mapweave.streaming import runlog_stream as XS
 
 Q, S = {}, {}
@@ -159,13 +160,13 @@ def _(spark, d):
     return K.category_examples(a, "multi", order="doc_id").select("control_id", "category", F.replace("secondary", F.lit("; "), F.lit(",")).alias("secondary"))
 
 
-@query("K7_keyed_append", """SELECT user_id AS key, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1""")
+@query("K7_keyed_append", """SELECT user_id AS key, arg_min(event_type, event_id) AS decision, count(DISTINCT user_id) AS n FROM events GROUP BY 1""")
 def _(spark, d):
-    path = XS.new_folder(spark, "keyed") + "/t"
-    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("decision"))
+    path = SH.new_folder(spark, "keyed") + "/t"
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("decision"), F.col("event_id").alias("log_order"))
     K.append_new(e.filter("key % 2 = 0"), None, path)
-    K.append_new(e, spark.read.parquet(path), path)
-    return spark.read.parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    K.append_new(e.withColumn("decision", F.when(F.col("key") % 2 == 0, "later").otherwise(F.col("decision"))), spark.read.parquet(path), path)
+    return spark.read.parquet(path).groupBy("key", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("K8_run_report", f"""SELECT 'steps.' || step || '.' || status || '.n' AS metric, count(*)::VARCHAR AS value FROM ({RQ.LOG}) GROUP BY step, status
@@ -186,6 +187,6 @@ def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = RQ.log_of(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    out = XS.new_folder(spark, "windows") + "/t"
-    XS.stream_counts(log, out, XS.new_folder(spark, "offsets")).awaitTermination()
+    out = SH.new_folder(spark, "windows") + "/t"
+    XS.stream_counts(log, out, SH.new_folder(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

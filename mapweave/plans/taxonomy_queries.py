@@ -215,17 +215,37 @@ def _(spark, d):
     return T.apply_to_atoms(classified(spark, d)).select("doc_id", "category", "category_key", "original_category")
 
 
-@query("C11_incremental_repair", f"""{FULL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 3 = 1 THEN 'reused' ELSE 'classified' END AS source,
-  CASE WHEN doc_id % 3 = 0 THEN 'old' WHEN doc_id % 3 = 1 THEN 'stored' ELSE primary_category END AS category FROM z""")
-def _(spark, d):
+def repaired(spark, d):
+    """Every third atom is strong; every third has two stored decisions, of which the later counts; the rest is classified."""
     cards, over = dims(spark)
     a = inputs(spark, d).withColumns({
         "key": F.col("control_id"), "primary_category": F.when(F.col("doc_id") % 3 == 0, "old").otherwise(""),
-        "category_confidence": F.when(F.col("doc_id") % 3 == 0, 0.9).otherwise(0.95)})
+        "category_confidence": F.when(F.col("doc_id") % 3 == 0, 0.9).otherwise(0.95), "category_status": F.lit("stale"),
+        "category_method": F.lit("stale"), "secondary_categories": F.array(F.lit("stale"))})
     known = table(spark, d, "documents").filter("doc_id % 3 = 1").select(
-        F.col("doc_id").cast("string").alias("key"), F.lit("stored").alias("primary_category"), F.lit(0.8).alias("category_confidence"))
-    return T.repair(a, known, cards, over, rules=RULES).select("doc_id", F.col("category_source").alias("source"),
-                                                               F.col("primary_category").alias("category"))
+        F.col("doc_id").cast("string").alias("key"), F.explode(F.array(F.lit(1), F.lit(2))).alias("log_order")).select(
+        "key", "log_order", F.when(F.col("log_order") == 2, "stored").otherwise("earlier").alias("primary_category"),
+        F.when(F.col("log_order") == 2, 0.8).otherwise(0.97).alias("category_confidence"), F.lit("kept_status").alias("category_status"),
+        F.array(F.lit("s"), F.col("log_order").cast("string")).alias("secondary_categories"))
+    return a, T.repair(a, known, cards, over, rules=RULES)
+
+
+@query("C11_incremental_repair", f"""{FULL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 3 = 1 THEN 'reused' ELSE 'classified' END AS source,
+  CASE WHEN doc_id % 3 = 0 THEN 'old' WHEN doc_id % 3 = 1 THEN 'stored' ELSE primary_category END AS category,
+  CASE WHEN doc_id % 3 = 0 THEN 0.9 WHEN doc_id % 3 = 1 THEN 0.8 ELSE round(confidence, 6) END AS confidence,
+  CASE WHEN doc_id % 3 = 0 THEN 'stale' WHEN doc_id % 3 = 1 THEN 'kept_status' ELSE status END AS status,
+  CASE WHEN doc_id % 3 = 0 THEN 'stale' WHEN doc_id % 3 = 1 THEN 's,2' ELSE secondary END AS secondary FROM z""")
+def _(spark, d):
+    return repaired(spark, d)[1].select(
+        "doc_id", F.col("category_source").alias("source"), F.col("primary_category").alias("category"), F.round("category_confidence", 6).alias("confidence"),
+        F.col("category_status").alias("status"), F.array_join("secondary_categories", ",").alias("secondary"))
+
+
+@query("C11_repair_counts", f"""{FULL} SELECT 'weak_before' AS measure, count(*) FILTER (doc_id % 3 <> 0) AS n FROM z
+  UNION ALL SELECT 'weak_after', count(*) FILTER (doc_id % 3 = 1 OR (doc_id % 3 = 2 AND (confidence < 0.85 OR primary_category = ''))) FROM z
+  UNION ALL SELECT 'source_' || CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 3 = 1 THEN 'reused' ELSE 'classified' END, count(*) FROM z GROUP BY 1""")
+def _(spark, d):
+    return T.repair_counts(*repaired(spark, d))
 
 
 @query("C12_quality_report", f"""{FULL} SELECT 'A' AS framework, count(*) AS total, count(*) FILTER (confidence < 0.6) AS low, count(*) FILTER (confidence >= 0.6 AND

@@ -14,12 +14,17 @@ def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def append_new(df: DataFrame, stored: DataFrame | None, path: str, key: str = "key") -> None:
-    """Append-only keyed table: rows whose key is already stored, or comes later in the batch, are left out."""
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
-    fresh = first if stored is None else first.join(stored.select(key).distinct(), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+def append_new(df: DataFrame, stored: DataFrame | None, path: str, key: str = "key", order: str = "log_order") -> None:
+    """Append-only keyed table: of the rows of a key the first by `order` is kept, and none if the key is stored already.
+
+    The order column is not stored. Null keys are one key.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    if stored is not None:
+        known = stored.select(F.col(key).alias("_k")).distinct()
+        first = first.join(known, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    first.write.mode("append").parquet(path)
 
 
 def parent_table(rows: DataFrame, source: str, target: str) -> DataFrame:
