@@ -41,7 +41,7 @@ def drop_near_duplicates(items: DataFrame, group: list[str] = ("parent", "dimens
     firsts = items.groupBy(*g, "gap").agg(F.min_by(F.struct(order, "severity"), order).alias("_f"))
     rows = firsts.select(*g, "gap", F.col(f"_f.{order}").alias(order), "_f.severity").withColumn("_t", F.array_distinct(gap_tokens(F.col("gap"))))
     key = F.array_join(F.slice(gap_tokens(F.col("gap")), 1, KEY_TOKENS), " ")
-    rows = checkpointed(rows.withColumns({"_key": key, "_id": F.xxhash64(*g, "gap"), "_n": F.size("_t")}))
+    rows = checkpointed(rows.withColumns({"_key": key, "_id": F.md5(F.to_json(F.struct(*g, "gap"))), "_n": F.size("_t")}))
     freq = rows.select(*g, F.explode("_t").alias("tok")).groupBy(*g, "tok").agg(F.count(F.lit(1)).alias("_df"))
     sorted_tokens = (rows.select(*g, "_id", "_n", F.explode("_t").alias("tok")).join(freq, [*g, "tok"])
                      .groupBy(*g, "_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "tok"))).alias("_o")))

@@ -46,17 +46,30 @@ def talk(spark, d):
         F.col("text").alias("gap"))
 
 
-@query("A18_gap_items", f"""SELECT parent, i::INT AS item, dimension, md5(gap) AS gap, severity FROM (
-  SELECT 'C' || conv_id AS parent, turn, 0 AS i, {sql_dimension('role', L.DIMENSIONS, L.DIMENSION_ALIASES)} AS dimension, {X.clean_gap('text')} AS gap,
-    'material' AS severity FROM conversations WHERE turn % 2 = 0 AND turn * 10 % 110 < 100 AND trim(text) <> '' AND NOT {X.generic('text')}
-  UNION ALL SELECT parent, turn, i - 1, {X.first_rule(X.fold('p[i]'), L.DIMENSION_WORDS, 'explicitness')}, p[i], CASE WHEN turn * 10 % 110 <= 25 THEN 'material'
-    WHEN turn * 10 % 110 <= 50 THEN 'moderate' ELSE 'minor' END FROM (SELECT 'C' || conv_id AS parent, turn, {_POINTS} AS p FROM conversations
-    WHERE turn % 2 = 1 AND turn * 10 % 110 < 100), unnest(range(1, len(p) + 1)) AS u(i)) WHERE gap <> ''""")
+_TALK_DIMENSION = sql_dimension("role", L.DIMENSIONS, L.DIMENSION_ALIASES)
+#: Gap items of the conversations: c, s and i order them.
+_ITEMS = f"""SELECT * FROM (SELECT 'C' || conv_id AS parent, turn * 10 % 110 AS c, 'C' || conv_id || '#' || turn AS s, 0 AS i, {_TALK_DIMENSION} AS dimension,
+    {X.clean_gap('text')} AS gap, 'material' AS severity FROM conversations WHERE turn % 2 = 0 AND turn * 10 % 110 < 100 AND trim(text) <> '' AND NOT {X.generic('text')}
+  UNION ALL SELECT parent, turn * 10 % 110, parent || '#' || turn, i - 1, {X.first_rule(X.fold('p[i]'), L.DIMENSION_WORDS, 'explicitness')}, p[i],
+    CASE WHEN turn * 10 % 110 <= 25 THEN 'material' WHEN turn * 10 % 110 <= 50 THEN 'moderate' ELSE 'minor' END FROM (
+    SELECT 'C' || conv_id AS parent, turn, {_POINTS} AS p FROM conversations WHERE turn % 2 = 1 AND turn * 10 % 110 < 100), unnest(range(1, len(p) + 1)) AS u(i))
+  WHERE gap <> ''"""
+#: The greedy pass as a fold over the items of a group in order; an element is a list of one item.
+_NEAR = """CASE WHEN len(list_filter(acc, lambda e: e.k = x[1].k OR len(list_intersect(e.t, x[1].t)) >=
+    0.78::DOUBLE * (len(e.t) + len(x[1].t) - len(list_intersect(e.t, x[1].t))) - 1e-12 AND len(list_intersect(e.t, x[1].t)) > 0)) > 0
+  THEN acc ELSE list_concat(acc, x) END"""
+_KEPT = f"""SELECT parent, dimension, e.gap AS gap, e.severity AS severity, e.o AS o FROM (SELECT parent, dimension, unnest(list_reduce(l, lambda acc, x: {_NEAR})) AS e FROM (
+  SELECT parent, dimension, list([{{'gap': gap, 'severity': severity, 'k': array_to_string(w[1:16], ' '), 't': list_distinct(w), 'o': o}}] ORDER BY o) AS l FROM (
+    SELECT parent, dimension, gap, arg_min(severity, (c, s, i)) AS severity, min((c, s, i)) AS o, {X.gap_toks('gap')} AS w FROM ({_ITEMS}) GROUP BY parent, dimension, gap)
+  GROUP BY parent, dimension))"""
+
+
+@query("A18_gap_items", f"SELECT parent, i::INT AS item, dimension, md5(gap) AS gap, severity FROM ({_ITEMS})")
 def _(spark, d):
     return G.collect_gap_items(talk(spark, d)).select("parent", F.col("item_order._i").alias("item"), "dimension", F.md5("gap").alias("gap"), "severity")
 
 
-@query("A19_near_duplicates")
+@query("A19_near_duplicates", f"SELECT parent, dimension, gap, severity FROM ({_KEPT})")
 def _(spark, d):
     return G.drop_near_duplicates(G.collect_gap_items(talk(spark, d))).select("parent", "dimension", "gap", "severity")
 
@@ -79,7 +92,25 @@ def own_summaries(spark, d):
     return agg, G.summaries(agg, G.drop_near_duplicates(G.collect_gap_items(t)), "Target")
 
 
-@query("A21_gap_summary")
+_RANKS = "CASE dimension " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(L.DIMENSION_ORDER)) + f" ELSE {len(L.DIMENSION_ORDER)} END"
+_TALK_AGG = f"""SELECT 'C' || conv_id AS parent, round(sum(c) / count(*)::DOUBLE, 1) AS m, min(c) AS low, count(*) FILTER (c >= 40) / count(*)::DOUBLE AS direct,
+  count(*) FILTER (c >= 80) / count(*)::DOUBLE AS strong, count(*) FILTER (c > 0 AND c < 40) / count(*)::DOUBLE AS indirect,
+  count(*) FILTER (c <= 0) / count(*)::DOUBLE AS none, list(DISTINCT {_TALK_DIMENSION}) FILTER (turn % 2 = 0) AS dims
+  FROM (SELECT *, turn * 10 % 110 AS c FROM conversations) GROUP BY conv_id"""
+
+
+@query("A21_gap_summary", f"""WITH kept AS (SELECT parent, count(*) FILTER (severity IN ('material', 'moderate')) AS n,
+    string_agg('• ' || gap, chr(10) ORDER BY {_RANKS}, CASE severity WHEN 'material' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, o) AS b FROM ({_KEPT}) GROUP BY parent),
+  agg AS (SELECT *, CASE WHEN m >= 99.5 THEN 'none' ELSE {RQ.ladder('m')} END AS gt FROM ({_TALK_AGG})),
+  told AS (SELECT parent, low, b, CASE WHEN m <= 0 THEN 'Not covered' WHEN m >= 99.5 AND gt = 'none' THEN 'Exact coverage' WHEN gt = 'implementation_detail_gap' THEN 'Implementation details missing'
+      WHEN m >= 80 THEN 'Mostly covered' WHEN m >= 60 THEN 'Largely covered' WHEN m >= 40 THEN 'Partially covered' WHEN m >= 20 THEN 'Indirectly covered'
+      WHEN m >= 10 THEN 'Very weakly covered' ELSE 'Not covered' END AS rel, coalesce(n, 0) AS n FROM agg LEFT JOIN kept USING (parent))
+  SELECT parent, CASE WHEN low >= 100 THEN 'Target fully covers this requirement.' ELSE CASE rel
+    WHEN 'Not covered' THEN 'Target does not identify a direct equivalent obligation for the source requirement.'
+    WHEN 'Indirectly covered' THEN 'Target provides related or supportive provisions, but they do not establish equivalent direct coverage.'
+    WHEN 'Partially covered' THEN 'Target partially covers the source requirement, with ' || n || ' substantive residual difference(s).'
+    WHEN 'Mostly covered' THEN 'Target mostly covers the source requirement, with residual differences requiring interpretation or complementary evidence.'
+    ELSE 'Target covers the main objective, but residual differences remain.' END || coalesce(chr(10) || chr(10) || b, '') END AS gap FROM told""")
 def _(spark, d):
     return own_summaries(spark, d)[1]
 
