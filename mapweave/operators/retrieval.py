@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from mapweave.operators.search import search
 from mapweave.operators.similarity import with_features
@@ -44,7 +44,7 @@ SCORES = ["semantic_score", "keyword_score", "structured_score", "action_object_
 def payloads(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source: its candidates in rank order as an array of structs, scores to four digits.
 
-    The array holds the shown and injected candidates only, so its length is bounded by the parameters.
+    The array holds the candidates of the review cut and the injected ones only, so its length is bounded by the parameters.
     Target texts join here, after the cut.
     """
     t = targets.select(F.col("atomic_id").alias("candidate_id"), "parent_id",
@@ -52,7 +52,7 @@ def payloads(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     entry = F.struct("rank", "candidate_id", "parent_id", "requirement", "parent_requirement", "category",
                      *[F.round(s, 4).alias(s) for s in SCORES], "hard_gate",
                      F.col("injected").alias("affinity_injected"))
-    return candidates.join(t, "candidate_id").groupBy("source_id").agg(
+    return candidates.where("in_review").join(t, "candidate_id").groupBy("source_id").agg(
         F.array_sort(F.collect_list(entry)).alias("candidates"))
 
 

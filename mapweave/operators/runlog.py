@@ -101,14 +101,19 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 def match_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Longest price key contained in the model name, ignoring case; no match costs nothing.
 
-    Both sides are short dimension tables (one row per model name), so the theta join stays small.
+    A name is spread into its parts, so keys are found by an equi-join whatever the number of prices; the number of parts is
+    bounded by the length of a name.
     """
-    k = prices.select(F.col("model").alias("_key"), "input", "output", F.col("pos").alias("_pos"))
-    j = models.join(k, F.contains(F.lower("model"), F.lower("_key")), "left")
-    w = Window.partitionBy("model").orderBy(F.desc(F.length("_key")), "_pos")
-    best = j.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return best.select(*models.columns, F.coalesce("input", F.lit(0.0)).alias("input_price"),
-                       F.coalesce("output", F.lit(0.0)).alias("output_price"))
+    k = prices.select(F.lower("model").alias("_part"), F.col("model").alias("_key"), "input", "output", F.col("pos").alias("_pos"))
+    names = models.select(F.col("model").alias("_name")).distinct().where("_name <> ''")
+    low = F.lower("_name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.length(low) - i + 1), lambda n: F.substring(low, i, n))))
+    found = names.select("_name", F.explode(F.array_distinct(parts)).alias("_part")).join(k, "_part")
+    best = found.groupBy("_name").agg(F.min_by(F.struct("input", "output"), F.struct(-F.length("_key"), "_pos")).alias("_best"))
+    j = models.join(best, F.col("model") == F.col("_name"), "left")
+    return j.select(*models.columns, F.coalesce("_best.input", F.lit(0.0)).alias("input_price"),
+                    F.coalesce("_best.output", F.lit(0.0)).alias("output_price"))
 
 
 def costs(priced: DataFrame) -> DataFrame:

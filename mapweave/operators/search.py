@@ -304,7 +304,8 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
 
     Inputs come from similarity.with_features; `affinity` is (key, families). Returned per source: the first
     max(top_k, review_limit) candidates with their rank, plus up to affinity_count injected ones (the next best
-    affine candidates). Rank is by combined score, then reciprocal-rank fusion, then input order. The fusion
+    affine candidates below the review cut). in_scoring marks the first top_k, in_review the first review_limit and the
+    injected ones; the two cuts do not depend on each other. Rank is by combined score, then reciprocal-rank fusion, then input order. The fusion
     score only breaks ties, so exact pool ranks are counted just for candidates whose score ties across
     different contents (for all of them with all_rrf).
     """
@@ -335,10 +336,11 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
     order = [F.desc("combined"), F.desc_nulls_last("rrf_score"), F.col("order_no")]
     overall = Window.partitionBy("profile").orderBy(*order)
     ranked = ranked.withColumn("rank", F.row_number().over(overall))
-    late = F.col("affine") & (F.col("rank") > shown)
+    late = F.col("affine") & (F.col("rank") > p.review_limit)
     nth = Window.partitionBy("profile", late).orderBy(*order)
     ranked = (ranked.withColumn("injected", late & (F.row_number().over(nth) <= p.affinity_count))
               .filter((F.col("rank") <= shown) | F.col("injected"))
+              .withColumns({"in_scoring": F.col("rank") <= p.top_k, "in_review": (F.col("rank") <= p.review_limit) | F.col("injected")})
               # beyond the shown part the pool rank is unknown, so injected rows are numbered on
               .withColumn("rank", F.row_number().over(overall)))
     gate = F.when(F.lit(p.gate_enabled) & (F.col("action_object") < p.gate_cap75),
@@ -348,7 +350,7 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
     return per_source.join(ranked, "profile").select(
         "source_id", "source_order", F.col("atomic_id").alias("candidate_id"),
         F.col("order_no").alias("candidate_order"), *[F.col(s).alias(f"{s}_score") for s in SIGNALS], "rrf_score",
-        gate.alias("hard_gate"), "rank", "injected")
+        gate.alias("hard_gate"), "rank", "injected", "in_scoring", "in_review")
 
 
 # ---- BM25 ---------------------------------------------------------------------------------------

@@ -240,7 +240,15 @@ def sql_grouped(dec: str) -> str:
     return (f"SELECT *, {_distinct('ts0')} AS ts, {_distinct('bc0')} AS bc, {_distinct('g0')} AS g FROM ({sql_groups(dec)})")
 
 
-GROUPS_A, GROUPS_B = sql_grouped(FX.DECISIONS), sql_grouped(FX.DECISIONS_REVERSED)
+#: The reverse direction, in which every seventh parent is hardly covered.
+BACKWARD = f"""SELECT * REPLACE (CASE WHEN TRY_CAST(regexp_extract(source_parent_id, '\\d+') AS BIGINT) % 7 = 0 THEN coverage_level % 40 ELSE coverage_level END
+  AS coverage_level) FROM ({FX.DECISIONS_REVERSED})"""
+GROUPS_A, GROUPS_B = sql_grouped(FX.DECISIONS), sql_grouped(BACKWARD)
+
+
+def backward(spark, d):
+    weak = F.regexp_extract("source_parent_id", r"\d+", 0).try_cast("long") % 7 == 0
+    return FX.decisions(spark, d, True).withColumn("coverage_level", F.when(weak, F.col("coverage_level") % 40).otherwise(F.col("coverage_level")))
 
 
 @query("U1_parent_groups", f"""SELECT parent, coverage, requirement, category, array_to_string(ts, ',') AS targets,
@@ -275,7 +283,7 @@ U_ROWS = U_ROWS.replace("contains(parent, '__') OR substr(parent, 2)::BIGINT % 4
 
 
 def merged(spark, d):
-    return C.consolidate(FX.decisions(spark, d), FX.decisions(spark, d, True), supplied(spark, d), supplements(spark, d))
+    return C.consolidate(FX.decisions(spark, d), backward(spark, d), supplied(spark, d), supplements(spark, d))
 
 
 def u_rows(df):
@@ -290,12 +298,12 @@ def _(spark, d):
 
 @query("U3_b_only", f"SELECT a, b, text, cov, gap, category FROM ({U_ROWS}) WHERE pass_no = 2")
 def _(spark, d):
-    return u_rows(C.b_only(C.parent_groups(FX.decisions(spark, d, True))))
+    return u_rows(C.b_only(C.parent_groups(backward(spark, d))))
 
 
 @query("U4_b_supplemental", f"SELECT a, b, text, cov, gap, category FROM ({U_ROWS}) WHERE pass_no = 3")
 def _(spark, d):
-    return u_rows(C.b_supplemental(C.parent_groups(FX.decisions(spark, d, True)), supplements(spark, d)))
+    return u_rows(C.b_supplemental(C.parent_groups(backward(spark, d)), supplements(spark, d)))
 
 
 @query("U5_consolidated_ids", f"""SELECT 'CONS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS consolidated_id, a, origin FROM (
@@ -332,8 +340,8 @@ _SQL_ID = f"({X.pick('doc_id', FUNCTIONS)} || '.AM-' || (doc_id % 50) || '.' ||
 
 
 def agent(spark, d):
-    x = table(spark, d, "documents").filter("doc_id % 10 <> 0")
-    return E.agent_side(x, F.concat(F.lit("> "), _id(F.col("doc_id"))), (F.col("n_chars") % 101).cast("string"), "doc_id")
+    cell = F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("> "), _id(F.col("doc_id")))).otherwise("no id in this cell")
+    return E.agent_side(table(spark, d, "documents"), cell, (F.col("n_chars") % 101).cast("string"), "doc_id")
 
 
 def gold(spark, d):
