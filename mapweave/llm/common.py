@@ -10,21 +10,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.sources.shared import saved, shared_folder
+from mapweave.sources import shared
 
 U = np.uint64
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; then Spark may drop the shuffles of the ended job.
+
+    Spark keeps shuffle files until the driver's garbage is collected, which a driver with little to do puts off for long.
+    """
+    out = shared.saved(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by saved() that no later plan reads, and let Spark drop the shuffles of ended jobs."""
+    """Delete the files of a table made by saved() that no later plan reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).toUri().getPath():
+        if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(shared.shared_folder(spark)).toUri().getPath():
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

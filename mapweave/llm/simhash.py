@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import U, components, forest, mixed, partitions, raw, saved, slices
+from mapweave.llm.common import U, components, discard, forest, mixed, partitions, raw, saved, slices
 from mapweave.llm.decontam import Words
 
 #: Fixed vantage point and the levels of the tree: number of blocks -> bits of a distance in the shard key.
@@ -181,6 +181,8 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2, capacity: int = 4096) -
         light = visits.join(heavy, "place", "left_anti") if more else visits
         found = light.repartition(partitions(spark), "place").sortWithinPartitions("place").mapInArrow(_solve(radius), "u long, v long")
         found = saved(found, "links")
+        if not more:
+            discard(visits)
         edges = found if edges is None else edges.union(found)
         if not more:
             return edges
@@ -355,6 +357,8 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     sets = saved(texts.mapInArrow(_sets(shingle), "id long, s binary"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     links = saved(joined.mapInArrow(_alike(similarity), "u long, v long"), "alike")
+    for t in (pairs, sets):
+        discard(t)
     roots = components(links, "similar")
     placed = classes.join(roots, classes.id == roots.node, "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
     return prints.join(placed, ["a", "b"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
