@@ -82,6 +82,7 @@ def drop_equal_keys(items: DataFrame, group: str = "parent", order: str = "item_
         group, "dimension", *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
+# The texts below are results that are compared as they stand.
 def synthesis_sentence(relationship: Column, coverage: Column, target: str, n_substantive: Column) -> Column:
     t = F.lit(target)
     return (F.when((coverage <= 0) | (relationship == "Not covered"), F.concat(t, F.lit(

@@ -276,6 +276,7 @@ def entity_gaps(rows: DataFrame, source_flags: DataFrame, target_flags: DataFram
                .agg(F.array_sort(F.collect_list("_t")).alias("not_important")))
     j = rows.join(s, "parent", "left").join(missing, "parent", "left")
     gap = F.coalesce("source_important", F.lit(False)) & F.col("not_important").isNotNull()
+    # The text of the note.
     note = F.concat(F.lit("• Important entities: coverage relies on target requirement "), F.array_join("not_important", ", "), F.lit(
         " which applies to essential entities only (Important=False). At "), L.bucket(F.col("coverage_level")).cast("string"), F.lit(
         "% overlap, this obligation is not enforced for important entities."))

@@ -148,6 +148,7 @@ def rescue_kind(s: State, p: Params) -> Column:
     return s.put(F.lit(True), kind=F.when(allowed, kind))
 
 
+# The texts below are results that are compared as they stand.
 def rescue(s: State, p: Params, cond: Column) -> Column:
     """Where cond holds and the best candidate is strong enough, keep it as partial or indirect coverage."""
     kind, best = s("kind"), s("best")
@@ -258,6 +259,7 @@ def find_upgrade(s: State, p: Params) -> Column:
     return s.put(F.lit(True), upgrade=F.when(exact, 100).when(most, 80))
 
 
+# The texts below are results that are compared as they stand.
 def apply_upgrade(s: State, p: Params) -> Column:
     """Under-scored decisions with a strong best candidate: 100 without gap items, otherwise 80."""
     u = s("upgrade")
@@ -280,6 +282,7 @@ def _can_lift(s: State) -> Column:
     return ~s("done") & has_target(s) & (casefold(s("mapping_risk")) != "high") & has_best(s)
 
 
+# The texts below are results that are compared as they stand.
 def lift_to_50(s: State, p: Params) -> Column:
     combined = s.best("combined_score")
     note = F.concat(F.lit("Coverage floor (50%): strong combined score ("), two_digits(combined), F.lit(
@@ -304,6 +307,7 @@ def lift_to_80(s: State, p: Params) -> Column:
                  .otherwise(g), scoring_rationale=append(s("scoring_rationale"), note))
 
 
+# The texts below are results that are compared as they stand.
 def label_not_covered(s: State, p: Params) -> Column:
     """Very weak indirect decisions get the label; their coverage is kept."""
     cov, combined, semantic = s("coverage_level"), s.best("combined_score"), s.best("semantic_score")

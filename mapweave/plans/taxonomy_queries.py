@@ -136,18 +136,20 @@ _TOP = """t AS (SELECT doc_id, max(category) FILTER (rk = 1) AS best, max(score)
 FULL = f"{_WITH}, {_TOP}"
 
 
-@query("S9_taxonomy_cards", "SELECT * FROM (VALUES " + ", ".join(
-    f"({X.q(r[0])}, {X.q(_card(r).number)}, {X.q('|'.join(_card(r).positive_en + _card(r).positive_fr))}, {X.q('|'.join(_card(r).negative))}, n.n)"
-    for r in CARDS) + ") AS v(category, number, positive, negative, n_docs), (SELECT count(*) AS n FROM documents) AS n")
-def _(spark, d):
-    total = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
-    return cards_table(spark).select("category", "number", F.array_join(F.concat("positive_en", "positive_fr"), "|").alias("positive"),
-                                     F.array_join("negative", "|").alias("negative")).join(F.broadcast(total))
+_TERMS = "array_to_string(list_filter([trim(t) FOR t IN regexp_split_to_array({}, '[;|,]+')], lambda t, i: t <> ''), '|')"
 
 
-S["S9_taxonomy_cards"] = "SELECT v.*, n AS n_docs FROM (VALUES " + ", ".join(
-    f"({X.q(r[0])}, {X.q(_card(r).number)}, {X.q('|'.join(_card(r).positive_en + _card(r).positive_fr))}, {X.q('|'.join(_card(r).negative))})"
-    for r in CARDS) + ") AS v(category, number, positive, negative), (SELECT count(*) AS n FROM documents)"
+@query("S9_taxonomy_cards", f"""SELECT p_partkey::INT AS card_pos, category, trim(regexp_replace(lower(category), '[^a-z0-9]+', ' ', 'g')) AS card_key,
+  regexp_extract(category, '^(\\d+)', 1) AS number, {_TERMS.format("lower(p_brand) || ';;' || p_type")} AS positive, {_TERMS.format("'not ' || p_type || ' ,| '")} AS negative
+  FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 13) || '. ' || p_name ELSE p_name END AS category FROM part) WHERE p_partkey % 9 <> 0""")
+def _(spark, d):
+    """A sheet made of parts: every ninth row lacks a category, terms repeat and hold empty entries."""
+    k, brand = F.col("p_partkey"), F.lower("p_brand")
+    sheet = table(spark, d, "part").select(
+        k.alias("pos"), F.when(k % 9 == 0, "  ").when(k % 2 == 0, F.concat((k % 13).cast("string"), F.lit(".  "), "p_name")).otherwise(F.col("p_name")).alias("CATEGORY"),
+        F.concat(brand, F.lit(";; "), "p_type", F.lit(" , "), brand, F.lit("|")).alias("keywords_en"),
+        F.concat(F.lit("not  "), "p_type", F.lit(" ,| ")).alias("Exclusion keywords"))
+    return R.load_cards(sheet).select("card_pos", "category", "card_key", "number", F.array_join("positive_en", "|").alias("positive"), F.array_join("negative", "|").alias("negative"))
 
 
 @query("S10_override_rules", """SELECT source AS pattern, 100 + (min(doc_id) % 3)::INT AS priority, 'contains' AS match_mode, least(1.0, 0.5 + min(doc_id) / 10.0)::DOUBLE
