@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from mapweave.operators import blocks as B
-from mapweave.params import DEFAULTS, FAMILY_AFFINITY, STRUCTURED_WEIGHTS, Params
+from mapweave.params import DEFAULTS, FAMILY_AFFINITY, GLOBAL_SCOPES, STRUCTURED_WEIGHTS, Params
 from mapweave.sources.shared import saved
 
 SIGNALS = ["semantic", "keyword", "structured", "action_object", "control_type", "category_prior", "combined"]
@@ -170,6 +170,25 @@ RESULT = T.StructType([T.StructField("profile", T.StringType()), T.StructField("
                       + [T.StructField(s, T.DoubleType()) for s in SIGNALS])
 
 
+def _best_pairs(p: Params, k: int):
+    """Scores a block of sources with a block of targets; keeps the k best of each source, ties included."""
+    def kernel(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or t.empty:
+            return pd.DataFrame(columns=[f.name for f in RESULT.fields])
+        parts = B.signals(s, t, p)
+        score = np.where(B.in_pool(s, t, p), parts["combined"], -1.0)
+        keep = B.best_cells(score, k, p.min_combined)
+        affine = np.zeros(score.shape, dtype=bool)
+        if p.affinity_enabled:
+            affine = B.affine(s, t)
+            keep |= B.best_cells(np.where(affine, score, -1.0), k, p.min_combined)
+        i, j = np.nonzero(keep)
+        out = {"profile": s["profile"].to_numpy()[i], "target": t["target"].to_numpy()[j], "affine": affine[i, j]}
+        return pd.DataFrame(out | {name: parts[name][i, j] for name in SIGNALS})
+
+    return kernel
+
+
 def _score_blocks(routes: DataFrame, sources: DataFrame, cells: Cells, k: int) -> DataFrame:
     """Meet the routed sources with the blocks of their cells; k best (ties included) per source and block."""
     p = cells.p
@@ -190,21 +209,25 @@ def _score_blocks(routes: DataFrame, sources: DataFrame, cells: Cells, k: int) -
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
              .select(*key, F.col("profile").alias("target"), *feats))
 
-    def kernel(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if s.empty or t.empty:
-            return pd.DataFrame(columns=[f.name for f in RESULT.fields])
-        parts = B.signals(s, t, p)
-        score = np.where(B.in_pool(s, t, p), parts["combined"], -1.0)
-        keep = B.best_cells(score, k, p.min_combined)
-        affine = np.zeros(score.shape, dtype=bool)
-        if p.affinity_enabled:
-            affine = B.affine(s, t)
-            keep |= B.best_cells(np.where(affine, score, -1.0), k, p.min_combined)
-        i, j = np.nonzero(keep)
-        out = {"profile": s["profile"].to_numpy()[i], "target": t["target"].to_numpy()[j], "affine": affine[i, j]}
-        return pd.DataFrame(out | {name: parts[name][i, j] for name in SIGNALS})
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_pairs(p, k), RESULT)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(kernel, RESULT)
+
+def _score_keys(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
+    """Category scopes: sources meet only targets that share a key with them. Large keys are cut into blocks on both sides.
+
+    A pair that shares several keys is scored once for each; its rows are equal and collapse.
+    """
+    feats, own = [c for c in FEATURES if c in targets.columns], _present(sources)
+    t, s = (df.withColumn("_key", F.explode(F.array_distinct("keys"))) for df in (targets, sources))
+    sizes = t.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / p.target_block_rows).cast("int").alias("n_blocks")).join(
+        s.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / p.source_block_rows).cast("int").alias("n_chunks")), "_key")
+    key = ["_key", "block", "chunk"]
+    left = (s.join(sizes, "_key").withColumn("chunk", F.pmod(F.xxhash64("profile"), F.col("n_chunks")).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*key, "profile", *own))
+    right = (t.join(sizes, "_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "profile"), F.col("n_blocks")).cast("int"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+             .select(*key, F.col("profile").alias("target"), *feats))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_pairs(p, k), RESULT).dropDuplicates(["profile", "target"])
 
 
 def _with_bits(sources: DataFrame) -> DataFrame:
@@ -221,7 +244,15 @@ def _within(df: DataFrame, k: int, ranker) -> DataFrame:
 
 def top_profiles(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
     """Per source profile the target profiles with the k best combined scores, all ties included, and with
-    injection the k best affine ones as well."""
+    injection the k best affine ones as well. In category scopes only sources without a key search the whole pool."""
+    if p.match_scope not in GLOBAL_SCOPES:
+        keyed = _within(checkpointed(_score_keys(sources.filter(F.size("keys") > 0), targets, p, k)), k, F.rank)
+        rest = sources.filter(F.size("keys") == 0)
+        return keyed if rest.limit(1).count() == 0 else keyed.unionByName(_pool_profiles(rest, targets, p, k))
+    return _pool_profiles(sources, targets, p, k)
+
+
+def _pool_profiles(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
     cells = Cells(targets, p)
     sources = _with_bits(sources)
     first = checkpointed(_score_blocks(_route(sources, cells, k), sources, cells, k))

@@ -15,10 +15,12 @@ from mapweave.functions import vectors as VE
 from mapweave.operators import decide as D
 from mapweave.operators import gaps as G
 from mapweave.operators import rules
+from mapweave.operators import runlog as RL
 from mapweave.operators import search as SE
 from mapweave.operators.ranking import position_rank
 from mapweave.params import Params
 from mapweave.sources import requirements as R
+from mapweave.sources import sinks as SI
 
 
 def one(spark, column):
@@ -60,11 +62,49 @@ def test_sources(spark):
         Params(match_scope="nowhere")
 
 
-def test_position_rank_is_chunk_independent(spark):
-    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("g"), (F.col("id") * 7).alias("pos"))
-    want = {(r.g, r.pos): r.n for r in position_rank(df, ["g"], "pos", "n", chunk=10 ** 9).collect()}
-    for chunk in (1, 50, None):
-        assert {(r.g, r.pos): r.n for r in position_rank(df, ["g"], "pos", "n", chunk=chunk).collect()} == want
+def test_position_rank_keeps_all_rows(spark):
+    """Null groups and positions, ties, one hot group and an outlier position; any number of partitions gives the same ranks."""
+    rows = [("a", i * 7, 0) for i in range(600)] + [("a", 10 ** 15, 0), (None, 5, 0), (None, 3, 0), ("b", None, 0), ("b", 1, 2), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, pos long, t int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = position_rank(df, ["g"], "pos", "n", ties=("t",))
+            assert got.columns == ["g", "pos", "t", "n"]
+            found = {(r.g, r.pos, r.t): r.n for r in got.collect()}
+            assert len(found) == len(rows)
+            assert all(found["a", i * 7, 0] == i + 1 for i in range(600)) and found["a", 10 ** 15, 0] == 601
+            assert (found[None, 3, 0], found[None, 5, 0]) == (1, 2)
+            assert (found["b", None, 0], found["b", 1, 1], found["b", 1, 2]) == (1, 2, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_review_keeps_null_categories(spark):
+    df = spark.createDataFrame([("x", 0.1, 10, 1), (None, 0.1, 10, 2), (None, 0.1, 10, 3)], "source_category string, confidence double, coverage_level int, decision_order long")
+    assert sorted(r.batch_no for r in D.review_selection(df, Params(review_batch=1)).collect()) == [1, 1, 2]
+
+
+def test_append_keeps_the_first_by_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", "late", 9), ("a", "early", 2), (None, "n", 1), ("b", "b", 3)], "key string, decision string, log_order int")
+    SI.append_new(df, None, path)
+    SI.append_new(df.withColumn("decision", F.lit("again")).union(spark.createDataFrame([("c", "c", 1)], df.schema)), spark.read.parquet(path), path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("key", "decision").collect()), key=str) == [("a", "early"), ("b", "b"), ("c", "c"), (None, "n")]
+
+
+def test_prices_match_the_longest_part(spark):
+    models = spark.createDataFrame([("My-Big-Model",), ("other",), ("",), ("xa",)], "model string")
+    prices = spark.createDataFrame([("big", 1.0, 2.0, 0), ("BIG-MODEL", 3.0, 4.0, 1), ("a", 5.0, 6.0, 2), ("A", 7.0, 8.0, 3)], "model string, input double, output double, pos int")
+    got = {r.model: (r.input_price, r.output_price) for r in RL.match_prices(models, prices).collect()}
+    assert got == {"My-Big-Model": (3.0, 4.0), "other": (0.0, 0.0), "": (0.0, 0.0), "xa": (5.0, 6.0)}
+
+
+def test_decision_key_ignores_layout(spark):
+    df = spark.createDataFrame([("s", [1.0, 2.0])], "source string, scores array<double>")
+    key = lambda p: df.select(D.decision_key(p, F.col("source"), F.col("scores")).alias("k")).first().k
+    assert len(key(Params())) == 64 and key(Params()) == key(Params(max_pivots=8)) != key(Params(top_k=3))
 
 
 # ---- cascade
@@ -108,7 +148,7 @@ def test_cascade_branches(spark):
 
 def test_corrections_latest_wins(spark):
     d = decision(spark, target_ids=["t#1"], selected_ids=["t#1"], coverage_level=40, cand={})
-    c = spark.createDataFrame([("s", 1, 1, '{"coverage_level": 70, "mapping_risk": "Low"}'), ("s", 2, 1, '{"coverage_level": 60}')],
+    c = spark.createDataFrame([("s", 1, 1, '{"coverage_level": 70, "mapping_risk": "Low"}'), ("s", 2, 1, '{"coverage_level": 60.9}')],
                               "source_id string, batch_no int, position int, correction string")
     r = D.apply_corrections(d, c).first()
     assert (r.coverage_level, r.pre_review_coverage, r.mapping_risk) == (60, 40, "Low")
@@ -161,6 +201,18 @@ def test_injection_never_removes(spark):
     assert with_it == without
 
 
+@pytest.mark.parametrize("top_k, review_top_k", [(8, 3), (3, 8)])
+def test_cuts_are_independent(spark, top_k, review_top_k):
+    p = Params(target_block_rows=20, max_pivots=8, top_k=top_k, review_top_k=review_top_k)
+    s, t = features(spark, 6, 1, "s"), features(spark, 120, 2, "t")
+    rows = SE.search(s, t, p).collect()
+    for source in {r.source_id for r in rows}:
+        own = [r for r in rows if r.source_id == source]
+        assert sum(r.in_scoring for r in own) == top_k
+        assert sum(r.in_review and not r.injected for r in own) == review_top_k
+        assert sum(r.injected for r in own) <= p.affinity_count
+
+
 # ---- near duplicates ----------------------------------------------------------------------------
 def test_near_duplicates_equal_greedy(spark):
     rng = np.random.default_rng(3)
