@@ -75,7 +75,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_warc": r"""
 WITH RECURSIVE hex AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-digests AS (SELECT page_id, payload_bytes, h, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31, 1), '' ORDER BY k) FROM range(32) AS r(k)) AS payload_digest FROM hex),
+digests AS (SELECT page_id, payload_bytes, h, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31), 1), '' ORDER BY k) FROM range(32) AS r(k)) AS payload_digest FROM hex),
 ranked AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM digests)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM ranked""",

@@ -196,6 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return _scored(rows, grammar, "text").select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
-def detoxified(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.3, **sizes) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns as they are."""
-    return _scored(docs, learned(docs, labels, text, key, **sizes), text).where(F.col("__score") < threshold).drop("__score")
+def detoxified(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, text: str = "text", key: str = "doc_id", threshold: float = 0.3, **sizes) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; all columns as they are. labelled: the table that labels speak of, else docs."""
+    grammar = learned(docs if labelled is None else labelled, labels, text, key, **sizes)
+    return _scored(docs, grammar, text).where(F.col("__score") < threshold).drop("__score")
