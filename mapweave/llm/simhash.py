@@ -166,13 +166,10 @@ def _solve(radius: int):
     return run
 
 
-def linked_fingerprints(fps: DataFrame, radius: int = 2, capacity: int = 4096) -> DataFrame:
+def linked_fingerprints(fps: DataFrame, radius: int = 2, capacity: int = 1 << 16) -> DataFrame:
     """Edges (u, v) that span every group of distinct fingerprints fp linked at radius or fewer differing bits."""
     spark = fps.sparkSession
-    n = fps.count()
     level = 4
-    while level < 16 and n * {4: 1.5e-3, 8: 3.1e-5}[level] * 41 > capacity:  # share of the fullest shard for random bits
-        level *= 2
     rows, edges, inside = fps.select(F.lit(0).cast("long").alias("place"), "fp", F.lit(True).alias("home")), None, False
     while True:
         visits = saved(rows.mapInArrow(_visits(level, radius, inside), "place long, fp long, home boolean"), "visits")
@@ -189,13 +186,13 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2, capacity: int = 4096) -
         rows, level, inside = visits.join(heavy, "place", "left_semi").select("place", "fp", "home"), 2 * level, True
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, capacity: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, capacity: int = 1 << 16) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Fingerprints link at radius or fewer differing bits; component_id is the smallest key reachable. Null and empty texts
     have fingerprint zero and are linked like any other. A row with a null key gets its fingerprint and no component, and
     its text joins nothing; repeated keys give repeated rows. Other columns are not read, so their names cannot clash.
-    capacity: rows of a shard, above which it is split.
+    capacity: rows of a shard, above which it is split; rows are 17 bytes and a shard is compared within one task.
     """
     prints = saved(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
                    .mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "prints")
