@@ -17,7 +17,7 @@ ROUNDS = 8
 #: Marks that no text holds after escaping: ESC before and after a value.
 ESC, STAND_IN = "\u0001", "\u0002"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9./-]?[0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
@@ -162,9 +162,10 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", length: str
     """
     value = F.col(f"`{text}`").cast("string")
     safe = F.replace(F.replace(value, F.lit(STAND_IN), F.lit(STAND_IN + "b")), F.lit(ESC), F.lit(STAND_IN + "a"))
-    pieces = F.split(F.regexp_replace(safe, f"({EVERY})", f"{ESC}$1{ESC}"), ESC)
+    # every value holds a digit or an at sign
+    pieces = F.split(F.when(value.rlike("[0-9@]"), F.regexp_replace(safe, f"({EVERY})", f"{ESC}$1{ESC}")).otherwise(safe), ESC)
     marked = docs.withColumn("__pieces", pieces)
-    # only every second piece is a value; texts without one have a single piece
+    # every second piece is a value; texts without one have a single piece
     named = F.transform("__pieces", lambda x, i: F.struct(x.alias("x"), F.when(i % 2 == 1, kind_of(x)).alias("k")))
     marked = marked.withColumn("__pieces", F.when(F.size("__pieces") > 1, named))
 
