@@ -37,7 +37,7 @@ def parent_aggregates(decisions: DataFrame, order: str = "decision_order") -> Da
     kind = L.parent_gap_label(F.when(F.col("gap_type") == "", L.gap_type_from_coverage(cov, F.col("relation_type")))
                               .otherwise(F.col("gap_type")))
     d = with_parent(decisions).withColumns({
-        "_kind": kind, "_dims": F.transform("gap_items", lambda g: L.dimension(g["dimension"])),
+        "_kind": kind, "_dims": F.array_sort(F.array_distinct(F.transform("gap_items", lambda g: L.dimension(g["dimension"])))),
         "_rel": casefold(F.coalesce("relation_type", F.lit(""))), "_risk": F.lower("mapping_risk")})
     weak = (cov > 0) & (cov <= 30)
     return d.groupBy("parent").agg(
@@ -46,7 +46,7 @@ def parent_aggregates(decisions: DataFrame, order: str = "decision_order") -> Da
         F.count_if(cov >= 75).alias("n_strong"), share(cov < 40).alias("uncovered"), share(cov >= 40).alias("direct"),
         share(cov >= 80).alias("strong"), share((cov > 0) & (cov < 40)).alias("indirect"), share(cov <= 0).alias("none"),
         F.bool_or(F.col("_kind") == "conflict_gap").alias("conflict"),
-        # at most ten dimension names
+        # sorted sets of ten dimension names: at most 2 ** 10 of them
         F.array_distinct(F.flatten(F.collect_set("_dims"))).alias("dims"),
         F.count_if(weak).alias("n_weak"), F.count_if(weak & (F.col("_rel") == "not_covered")).alias("n_weak_not"),
         F.bool_or(F.col("_risk") == "high").alias("any_high"), F.bool_or(F.col("_risk") == "medium").alias("any_medium"),

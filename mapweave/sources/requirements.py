@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from mapweave.functions.text import (casefold, category_key, category_norm, collapse, column_key_of,
                                      split_terms)
 from mapweave.functions.values import cell_bool
-from mapweave.operators.ranking import first_position, position_rank
+from mapweave.operators.ranking import position_rank
 
 REQUIRED = ["ID", "Title", "Requirement", "Category"]
 
@@ -75,14 +75,14 @@ def scan_requirements(df: DataFrame, cmap: ColumnMap, framework: str | Column, m
 def disambiguate_ids(reqs: DataFrame) -> DataFrame:
     """Second and later rows of an id become id__row_N.
 
-    The first position per id is aggregated map-side and joined back, so an id that repeats over a
-    large part of the table is never sorted in one task.
+    Only ids with more than one row are joined back, with their first position; the side of the rows may be split, so an id
+    that repeats over a large part of the table does not meet in one task.
     """
-    firsts = first_position(reqs, ["framework", "source_id"], "pos")
-    again = F.col("pos") > F.col("_first")
+    keys = ["framework", "source_id"]
+    firsts = reqs.groupBy(*keys).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    again = F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
     renamed = F.concat(F.col("source_id"), F.lit("__row_"), F.col("pos") + 2)
-    return (reqs.join(firsts, ["framework", "source_id"])
-            .withColumn("source_id", F.when(again, renamed).otherwise(F.col("source_id"))).drop("_first")
+    return (reqs.join(firsts, keys, "left").withColumn("source_id", F.when(again, renamed).otherwise(F.col("source_id")))
             .select(*reqs.columns))
 
 
