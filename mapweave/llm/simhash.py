@@ -9,6 +9,7 @@ into two at level 2L, so shards over the capacity are split further, down to sin
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -206,57 +207,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                       F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Eight slices of 16 bits; pairs of 128-bit hashes that differ in more than NEAR bits are no candidates.
+#: Eight slices of 16 bits; pairs of 128-bit hashes that meet in one and differ in at most NEAR bits are tried first.
 SLICE_BITS, NEAR = 16, 34
 
 
-def wide_fingerprints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHashes of 128 bits (two numbers a row) of the word shingles of texts, and how many words each has."""
+def shingle_sets(texts: pa.Array, shingle: int):
+    """The distinct shingle hashes of each text, as sorted numbers; a text of fewer words is one shingle."""
     data, offsets = raw(texts)
-    prints, counts = [], []
-    for a, b in slices(offsets, 1 << 20):
-        w = Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-        out = np.zeros((b - a, 2), np.uint64)
-        for short in np.unique(np.minimum(w.count, shingle)).tolist():
-            at = w.runs(short)
-            at = at[np.minimum(w.count, shingle)[w.row[at]] == short] if len(at) else at
-            if len(at):
-                h = w.hashes(at, short)
-                begin = np.nonzero(np.concatenate([[True], w.row[at][1:] != w.row[at][:-1]]))[0]
-                n = np.diff(np.append(begin, len(at)))
-                for half in range(2):
-                    bits = np.unpackbits((h if not half else mixed(h ^ U(0xA5A5A5A5A5A5A5A5))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    sums = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-                    out[w.row[at][begin], half] = np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        prints.append(out)
-        counts.append(w.count)
-    return (np.concatenate(prints), np.concatenate(counts)) if prints else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+    for s, e in slices(offsets, 1 << 20):
+        w = Words(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
+        for first, n in zip(w.first.tolist(), w.count.tolist()):
+            k = min(n, shingle)
+            yield np.unique(w.hashes(np.arange(first, first + n - k + 1), k)) if k else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(s: np.ndarray) -> list[int]:
+    """SimHash of 128 bits, as two numbers, of a set of shingle hashes: each counts once, however often the text repeats it."""
+    out = []
+    for h in (s, mixed(s ^ U(0xA5A5A5A5A5A5A5A5))):
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(bits * 2 > len(s), bitorder="little").view("<i8")[0]))
+    return out
 
 
 def _wide(shingle: int):
+    """Rows (doc_id, text) -> digest and size of the set of shingles, and its SimHash."""
     def run(batches):
         for b in batches:
-            fp, _ = wide_fingerprints(b.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp[:, 0].copy().view(np.int64)), pa.array(fp[:, 1].copy().view(np.int64))], names=["doc_id", "a", "b"])
+            out = []
+            for s in shingle_sets(b.column("text"), shingle):
+                sums = [int(mixed(s ^ U(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                out.append((*sums, len(s), *wide_fingerprint(s)))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "d", "e", "n", "a", "b"])
     return run
 
 
 def _slice_visits(batches):
-    """Shards of the slices of each fingerprint: vantage points at every bit, so a place is the slice itself; radius 1."""
+    """A row for each slice of each fingerprint."""
     for b in batches:
         ids, lo, hi = (b.column(n).to_numpy() for n in ("id", "a", "b"))
-        parts = [x.view(np.uint64) >> U(16 * i) & U(0xFFFF) for x in (lo, hi) for i in range(4)]
-        for s, part in enumerate(parts):
-            places, rows, home = [part], [np.arange(len(ids))], [np.ones(len(ids), bool)]
-            for bit in range(SLICE_BITS):
-                other = part ^ U(1 << bit)
-                up = np.nonzero(other > part)[0]  # two homes meet once, in the larger place
-                places.append(other[up])
-                rows.append(up)
-                home.append(np.zeros(len(up), bool))
-            r = np.concatenate(rows)
-            place = np.concatenate(places).astype(np.int64) | s << SLICE_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids[r]), pa.array(lo[r]), pa.array(hi[r]), pa.array(np.concatenate(home))], names=["place", "id", "a", "b", "home"])
+        for i in range(8):
+            part = (hi if i > 3 else lo).view(np.uint64) >> U(16 * (i % 4)) & U(0xFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64) | i << SLICE_BITS), pa.array(ids), pa.array(lo), pa.array(hi)], names=["place", "id", "a", "b"])
 
 
 def tree_of(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -279,43 +272,104 @@ def tree_of(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else at
 
 
+def grouped(batches):
+    """Columns of the runs of equal first values of batches sorted by it; runs of one row are left out."""
+    for cols in by_place(batches):
+        bounds = np.concatenate([[0], np.nonzero(np.diff(cols[0]))[0] + 1, [len(cols[0])]])
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if e - s > 1:
+                yield [c[s:e] for c in cols]
+
+
 def _slice_pairs(chunk: int):
     """Shards in order -> of each shard a forest of its nearest pairs."""
-    def shard(cols):
-        _, ids, a, b, home = cols
-        own = np.nonzero(home)[0]
-        for o in range(0, len(own), chunk):
-            for p in range(0, len(ids), chunk):
-                m, n = own[o:o + chunk], np.arange(p, min(p + chunk, len(ids)))
-                d = np.bitwise_count(a[m].view(np.uint64)[:, None] ^ a[n].view(np.uint64)) + np.bitwise_count(b[m].view(np.uint64)[:, None] ^ b[n].view(np.uint64))
-                i, j = np.nonzero(d <= NEAR)
-                x, y = ids[m][i], ids[n][j]
-                keep = x != y
-                if keep.any():
-                    x, y, e = x[keep], y[keep], d[i, j][keep]
-                    t = tree_of(x, y, e)
-                    yield np.minimum(x[t], y[t]), np.maximum(x[t], y[t])
+    def run(batches):
+        for _, ids, a, b in grouped(batches):
+            a, b = a.view(np.uint64), b.view(np.uint64)
+            for o in range(0, len(ids), chunk):
+                for p in range(0, o + 1, chunk):
+                    m, n = slice(o, o + chunk), slice(p, p + chunk)
+                    d = np.bitwise_count(a[m, None] ^ a[None, n]) + np.bitwise_count(b[m, None] ^ b[None, n])
+                    i, j = np.nonzero(d <= NEAR)
+                    x, y, e = ids[m][i], ids[n][j], d[i, j]
+                    keep = x < y if o == p else x != y
+                    if keep.any():
+                        x, y = x[keep], y[keep]
+                        t = tree_of(x, y, e[keep])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[t], y[t])), pa.array(np.maximum(x[t], y[t]))], names=["u", "v"])
+    return run
 
+
+def _shingles(shingle: int):
     def run(batches):
-        for cols in by_place(batches):
-            bounds = np.concatenate([[0], np.nonzero(np.diff(cols[0]))[0] + 1, [len(cols[0])]])
-            out = [pair for s, e in zip(bounds[:-1], bounds[1:]) if e - s > 1 for pair in shard([c[s:e] for c in cols])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["u", "v"])
+        for b in batches:
+            for s in shingle_sets(b.column("text"), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+    return run
+
+
+def common_shingles(texts: DataFrame, shingle: int, rows: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample hold, and how many; they only order the shingles, so they bear on time, not on results."""
+    part = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0).select("text")
+    counts = part.mapInArrow(_shingles(shingle), "token long").groupBy("token").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "token").limit(most).toArrow()  # at most `most` rows
+    token, n = (found.column(i).to_numpy() for i in range(2))
+    at = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[at], n[at]
+
+
+def least_common(a, b, similarity: float):
+    """How many shingles sets of the sizes a and b share at least at this similarity."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
+
+
+def prefix(s: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets as similar as asked share one of them."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+    return s[:len(s) - math.ceil(similarity * len(s) - 1e-6) + 1] if len(s) else s
+
+
+def _postings(shingle: int, similarity: float, known: np.ndarray, counts: np.ndarray):
+    """Rows (id, root, text) -> (token, id, root, size, place) of each shingle of the prefix."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                c = b.slice(at, 500)
+                sets = list(shingle_sets(c.column("text"), shingle))
+                firsts = [prefix(s, known, counts, similarity) for s in sets]
+                n = [len(f) for f in firsts]
+                cols = [np.concatenate(firsts).view(np.int64), *(np.repeat(c.column(k).to_numpy(), n) for k in ("id", "root")),
+                        np.repeat(np.array([len(s) for s in sets], np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "id", "root", "size", "place"])
+    return run
+
+
+def _prefix_pairs(similarity: float, chunk: int):
+    """Postings in order -> all pairs of different roots whose places and sizes allow the similarity."""
+    def run(batches):
+        for _, ids, roots, size, place in grouped(batches):
+            if (roots == roots[0]).all():
+                continue
+            rest = size - place  # shingles from this one on
+            for o in range(0, len(ids), chunk):
+                for p in range(0, o + 1, chunk):
+                    m, n = slice(o, o + chunk), slice(p, p + chunk)
+                    ok = np.minimum(rest[m, None], rest[None, n]) >= least_common(size[m, None], size[None, n], similarity)
+                    i, j = np.nonzero(ok & (roots[m, None] != roots[None, n]))
+                    x, y = ids[m][i], ids[n][j]
+                    keep = x < y if o == p else x != y
+                    if keep.any():
+                        x, y = x[keep], y[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
     return run
 
 
 def _sets(shingle: int):
-    """The distinct shingle hashes of each text, as sorted numbers."""
     def run(batches):
         for b in batches:
-            data, offsets = raw(b.column("text"))
-            sets = []
-            for s, e in slices(offsets, 1 << 20):
-                w = Words(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
-                for first, n in zip(w.first.tolist(), w.count.tolist()):
-                    k = min(n, shingle)
-                    sets.append(np.unique(w.hashes(np.arange(first, first + n - k + 1), k)).tobytes() if k else b"")
+            sets = [s.tobytes() for s in shingle_sets(b.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "s"])
     return run
 
@@ -333,32 +387,53 @@ def _alike(similarity: float):
     return run
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, chunk: int = 4096) -> DataFrame:
-    """(doc_id, component_id) of the distinct non-null keys of docs, linked by shared word shingles.
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
+    """The pairs (u, v) whose texts (id, text) have the similarity, each tested by its sets of shingles."""
+    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = saved(texts.join(nodes, "id").select("id", "text").mapInArrow(_sets(shingle), "id long, s binary"), "sets")
+    joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+    links = saved(joined.mapInArrow(_alike(similarity), "u long, v long"), name)
+    discard(sets)
+    return links
+
 
-    At a similarity of 0.8 a SimHash of 64 bits differs in ten bits, beyond what a tree can prune. So the hash has 128 bits in
-    eight slices, each with its own tree of radius 1; pairs that meet in any and differ in at most NEAR bits are candidates, the
-    nearest ones are kept as a forest, and each kept pair is checked by the true share of common shingles. A pair at 0.8 meets
-    with a chance of 0.92, one at 0.9 of 0.997. Texts without words are equal to each other. Repeated keys count as one
-    document with the text that sorts first.
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, chunk: int = 2048) -> DataFrame:
+    """(doc_id, component_id) of the distinct non-null keys of docs, linked by shared word shingles. Links are exact.
+
+    Texts with the same set of distinct shingles are one class, named by a 128-bit digest of the set. SimHashes of 128 bits of
+    these sets that share a 16-bit slice give first pairs, in each shard a forest of the nearest; those that pass the test of their
+    sets join classes. Then every class sends its prefix, the rarest of its shingles, at least one of which any partner at the
+    similarity has in its own prefix. All pairs that meet, are not joined yet and whose sizes and places allow the similarity are
+    tested by their sets. Texts without words are equal to each other. Repeated keys count as one document with the text that
+    sorts first.
     """
+    spark = docs.sparkSession
+    n = partitions(spark)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = saved(rows.mapInArrow(_wide(shingle), "doc_id long, a long, b long"), "wide")
-    classes = saved(prints.groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
-    visits = classes.mapInArrow(_slice_visits, "place long, id long, a long, b long, home boolean")
-    n = partitions(docs.sparkSession)
-    pairs = visits.repartition(n, "place").sortWithinPartitions("place").mapInArrow(_slice_pairs(chunk), "u long, v long").distinct()
+    repeated = saved(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        rows = rows.join(repeated, "doc_id", "left_anti").union(rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text")))
+    prints = saved(rows.mapInArrow(_wide(shingle), "doc_id long, d long, e long, n long, a long, b long"), "wide")
+    classes = saved(prints.groupBy("d", "e", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    texts = rows.withColumnRenamed("doc_id", "id")
+
+    visits = classes.where("n > 0").mapInArrow(_slice_visits, "place long, id long, a long, b long")
+    pairs = saved(visits.repartition(n, "place").sortWithinPartitions("place").mapInArrow(_slice_pairs(chunk), "u long, v long").distinct(), "nearest")
+    links = verified(pairs, texts, shingle, similarity, "alike")
+    discard(pairs)
+    roots = components(links, "similar")
+    placed = saved(classes.where("n > 0").join(roots, classes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root")), "placed")
+
+    texts = texts.join(placed, "id").select("id", "root", "text")
+    known, counts = common_shingles(texts, shingle, placed.count())
+    postings = texts.mapInArrow(_postings(shingle, similarity, known, counts), "token long, id long, root long, size int, place int")
+    pairs = postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_prefix_pairs(similarity, chunk), "u long, v long").distinct()
     pairs = saved(pairs, "candidates")
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = rows.withColumnRenamed("doc_id", "id").join(nodes, "id").groupBy("id").agg(F.min("text").alias("text"))
-    sets = saved(texts.mapInArrow(_sets(shingle), "id long, s binary"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    links = saved(joined.mapInArrow(_alike(similarity), "u long, v long"), "alike")
-    for t in (pairs, sets):
-        discard(t)
+    links = links.union(verified(pairs, texts, shingle, similarity, "alike"))
+    discard(pairs)
     roots = components(links, "similar")
-    placed = classes.join(roots, classes.id == roots.node, "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(placed, ["a", "b"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = classes.join(roots, classes.id == roots.node, "left").select("d", "e", "n", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(named, ["d", "e", "n"]).select("doc_id", "component_id")
 
 
 def similar_removed(docs: DataFrame, **options) -> DataFrame:

@@ -98,6 +98,26 @@ def test_similar_documents(spark):
     assert simhash.similar_removed(empty(spark)).count() == 0
 
 
+def similar_roots(spark, rows):
+    """Components of similar() and those of brute force, over rows of texts."""
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = [shingles(t) for t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = dict(simhash.similar(docs).collect())
+    return [got[i] for i in range(len(rows))], linked(len(rows), pairs)
+
+
+def test_similar_texts_of_one_template(spark):
+    """Most pairs share about 0.76, so a real pair often has nearer neighbours that are no copies."""
+    rng = random.Random(12)
+    passage, rows = prose(rng, 175), []
+    for _ in range(60):
+        own = prose(rng, 25).split()
+        rows += [" ".join([passage, *own]), " ".join([passage, *own[:8], prose(rng, 17)])]
+    got, want = similar_roots(spark, rows)
+    assert len(set(want)) == 60 and got == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 16))
