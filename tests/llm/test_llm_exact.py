@@ -118,6 +118,13 @@ def test_similar_texts_of_one_template(spark):
     assert len(set(want)) == 60 and got == want
 
 
+def test_similar_texts_with_much_filler(spark):
+    """One repeated word makes up most of each text; the rest differs."""
+    rng = random.Random(13)
+    got, want = similar_roots(spark, ["na " * 400 + prose(rng, 60) for _ in range(20)])
+    assert want == list(range(20)) and got == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 16))
