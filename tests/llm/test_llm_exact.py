@@ -125,6 +125,19 @@ def test_similar_texts_with_much_filler(spark):
     assert want == list(range(20)) and got == want
 
 
+def test_similar_texts_of_repeated_passages(spark):
+    """Nearly equal sets of shingles, one text repeats a passage; and many lone pairs just above the similarity."""
+    rng, rows = random.Random(14), []
+    for _ in range(10):
+        t = prose(rng, 100)
+        rows += [t, t + " " + " ".join(t.split()[-10:] * 100)]
+    for _ in range(150):
+        t = prose(rng, 100)
+        rows += [t, " ".join(t.split()[:90] + prose(rng, 10).split())]
+    got, want = similar_roots(spark, rows)
+    assert len(set(want)) == 160 and got == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 16))
