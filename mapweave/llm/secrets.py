@@ -1,9 +1,11 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests on other long tokens.
 
-A candidate is a maximal run of base64 or URL-safe characters. Its encoding is inferred from its characters. Under the null
-hypothesis that it is text, chi-squared distance from uniform use of the alphabet, the number of runs and the serial
-correlation are unlike those of random strings; a candidate's p-value is a bound on the chance that ordinary text looks as random. The
-candidates of a document share a false-discovery budget that is weighted by length, since short strings say little.
+A candidate is a maximal run of base64 or URL-safe characters, and each of its parts of 16 or more characters between the
+signs of one encoding or of both, so that a token in a path is also tested by itself. The encoding is inferred from the
+characters. Chi-squared distance from uniform use of the alphabet, the number of runs and the serial correlation only gate: a
+candidate that is unlike a random string in one of them is left out. The p-value that is ranked is another statistic, a bound on
+the chance that ordinary text changes its character class as often. The candidates of a document share a false-discovery
+budget that is weighted by length, since short strings say little.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ["assign", "access", "hex", "random"]
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters between the signs of base64, of its URL-safe form, and of both.
+PARTS = [re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9]{16,}")]
 #: Encodings from narrow to wide: name and alphabet.
 ENCODINGS = {
     "hex": "0123456789abcdef",
@@ -87,12 +91,25 @@ def text_chance(token: str) -> float:
     return math.exp(-n * (f * math.log(f / q) + (1 - f) * math.log((1 - f) / (1 - q))))
 
 
-def extra(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of other candidates that pass the battery, under false-discovery control with weights by length."""
-    tests = []
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the runs and of their parts, each once; padding belongs to what it follows."""
+    out = {}
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        token = m[0].rstrip("=")
+        end = a + len(m[0].rstrip("="))
+        out[a, b] = True
+        if encoding(m[0][:end - a]) in (None, "base64", "base64url"):
+            for part in PARTS:
+                for x in part.finditer(text, a, end):
+                    out[x.start(), b if x.end() == end else x.end()] = True
+    return list(out)
+
+
+def extra(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of other candidates that pass the battery, under false-discovery control with weights by length; those that overlap are one."""
+    tests = []
+    for a, b in candidates(text):
+        token = text[a:b].rstrip("=")
         if any(a < y and x < b for x, y in taken) or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
             continue
         name = encoding(token)
@@ -103,7 +120,13 @@ def extra(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     weight = sum(n for _, n, _, _ in tests) / len(tests)
     ranked = sorted((p * weight / n, a, b) for p, n, a, b in tests)
     last = max((i for i, (p, _, _) in enumerate(ranked, 1) if p <= RATE * i / len(ranked)), default=0)
-    return [(a, b) for _, a, b in ranked[:last]]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in ranked[:last]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def spans(text: str | None) -> tuple[list, list]:

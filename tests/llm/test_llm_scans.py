@@ -91,6 +91,17 @@ def brute_base(text):
     return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
 
 
+def test_random_tokens_in_paths():
+    rng = random.Random(21)
+    found = 0
+    for prefix in ("/reset-password/", "/hooks/T0_x/", "a+b/c_d-"):
+        for _ in range(50):
+            token = "".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(40))
+            found += token not in secrets.redacted_text(f"see https://x.example{prefix}{token} now", "*")
+    assert found >= 120
+    assert secrets.spans("see https://x.example/some-long-path_name/and+another/part-of-it-2024/index now") == ([], [])
+
+
 def test_secrets_against_plain_patterns(spark):
     rng = random.Random(5)
     hexes = "".join(rng.choice("0123456789abcdef") for _ in range(64))
