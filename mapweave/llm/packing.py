@@ -165,29 +165,28 @@ def best_fit(counts: dict[int, int], limit: int) -> Counter:
     return bins
 
 
-def local_search(bins: Counter, limit: int, rounds: int = 200) -> Counter:
+def local_search(bins: Counter, limit: int) -> Counter:
     """Moves and swaps between underfull bins that raise the sum of squared fills, until no bin can go.
 
     The emptiest bin gives: a piece moves to a bin with room (fullest result first), else one piece is exchanged for a
     smaller one, or one piece for two smaller ones. Each step makes the receiving bin the fuller of the two, so the sum of
     squares grows, and bins that lose their last piece vanish. Equal bins step together. A bin that can give nothing is
-    set aside. rounds bounds the steps; it does not depend on the input.
+    set aside until a bin appears that it can give to. The steps end where none gains, since the sum of squares is bounded.
     """
     bins = Counter({tuple(sorted(p, reverse=True)): n for p, n in bins.items()})
     least = -(-sum(sum(p) * n for p, n in bins.items()) // limit)
     stuck: set[Pattern] = set()
-    for _ in range(rounds):
-        if sum(bins.values()) == least:
-            break
+    while sum(bins.values()) > least:
         open_ = sorted((p for p in bins if sum(p) < limit), key=lambda p: (sum(p), p))
         giver = next((p for p in open_ if p not in stuck), None)
-        if giver is None or len(open_) < 2 and bins[giver] < 2:
+        if giver is None:
             break
         step = best_step(giver, open_, bins, limit)
         if step is None:
             stuck.add(giver)
             continue
         other, out, back = step
+        before = {p: bins[p] for p in (replaced(giver, out, back), replaced(other, back, out)) if p}
         n = bins[giver] // 2 if other == giver else min(bins[giver], bins[other])
         for p in (giver, other):
             bins[p] -= n
@@ -196,6 +195,8 @@ def local_search(bins: Counter, limit: int, rounds: int = 200) -> Counter:
         for p in (replaced(giver, out, back), replaced(other, back, out)):
             if p:
                 bins[p] += n
+        fresh = sorted((p for p, had in before.items() if sum(p) < limit and had < 2), key=lambda p: (sum(p), p))
+        stuck = {p for p in stuck if p in bins and p not in fresh and best_step(p, fresh, bins, limit) is None}
     return bins
 
 
@@ -260,7 +261,7 @@ def _assign(table: dict[int, np.ndarray]):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", key: str = "doc_id", rounds: int = 200) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each row of docs.
 
     A null or empty text is the end token alone. Rows are documents of their own, also where keys repeat or are null. An
@@ -274,7 +275,7 @@ def packed(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text
     counts = pieces.groupBy("length", salt).count()
     offsets = saved(counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"), "count"), "counts")
     lengths = {r[0]: r[1] for r in offsets.groupBy("length").agg(F.sum("count")).collect()}  # at most limit rows
-    bins = local_search(best_fit(lengths, limit), limit, rounds)
+    bins = local_search(best_fit(lengths, limit), limit)
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = pieces.withColumn("salt", salt).withColumn("nth", F.row_number().over(order)).join(offsets.drop("count"), ["length", "salt"])
     numbered = numbered.withColumn("number", F.col("before") + F.col("nth") - 1).drop("salt", "nth", "before")

@@ -205,6 +205,20 @@ def test_local_search_empties_bins():
     assert after == pieces and sum(end.values()) < sum(start.values())
 
 
+def test_local_search_ends_where_no_step_gains():
+    rng = random.Random(1)
+    start = Counter()
+    for _ in range(600):
+        p = []
+        while (x := rng.randint(30, 400)) + sum(p) <= 1000:
+            p.append(x)
+        start[tuple(sorted(p, reverse=True))] += 1
+    end = packing.local_search(start, 1000)
+    least = -(-sum(sum(p) * n for p, n in start.items()) // 1000)
+    open_ = sorted((p for p in end if sum(p) < 1000), key=lambda p: (sum(p), p))
+    assert sum(end.values()) == least or all(packing.best_step(p, open_, end, 1000) is None for p in open_)
+
+
 def brute_repeats(rows, span):
     """rows in corpus order -> kept bytes and number of removed runs of each."""
     seen, out = set(), []
