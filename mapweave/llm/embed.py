@@ -42,39 +42,88 @@ def _sort_key(seed: int):
     return run
 
 
-def _windows(window: int, cosine: float):
-    """Rows in order -> verified links of each with the next `window` rows; the last rows of a batch are carried over."""
+FOUND = "pass int, u long, v long, key long, x array<double>"
+
+
+def _near(ids: np.ndarray, xs: np.ndarray, old: int, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links of rows in order with the next `window` rows; pairs within the first `old` rows are known."""
+    us, vs = [], []
+    for o in range(max(0, old - window), len(ids), 512):
+        rows = xs[o:o + 512 + window]
+        near = rows[:512] @ rows.T >= cosine
+        i, j = np.nonzero(near)
+        keep = (j > i) & (j <= i + window) & (j + o >= old)
+        us.append(ids[o + i[keep]])
+        vs.append(ids[o + j[keep]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _windows(number: int, window: int, cosine: float):
+    """Rows in order -> links of each with the next `window` rows, and the first and last `window` rows of the partition (v null)."""
+    def links(u, v):
+        n = len(u)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(u), pa.array(v), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64()))], names=["pass", "u", "v", "key", "x"])
+
+    def edges(ids, keys, xs):
+        n = len(ids)
+        x = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * xs.shape[1]), pa.array(xs.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(ids), pa.nulls(n, pa.int64()), pa.array(keys), x], names=["pass", "u", "v", "key", "x"])
+
     def run(batches):
-        ids, xs = np.zeros(0, np.int64), None
+        ids, keys, xs, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             x, _ = unit_rows(b.column("x"))
             old = len(ids)
-            ids = np.concatenate([ids, b.column("id").to_numpy()])
+            new = b.column("id").to_numpy(), b.column("key").to_numpy()
+            if seen < window:
+                first = slice(0, window - seen)
+                yield edges(new[0][first], new[1][first], x[first])
+            seen += len(x)
+            ids, keys = np.concatenate([ids, new[0]]), np.concatenate([keys, new[1]])
             xs = x if xs is None else np.concatenate([xs, x])
-            us, vs = [], []
-            for o in range(max(0, old - window), len(ids), 512):
-                rows = xs[o:o + 512 + window]
-                near = rows[:512] @ rows.T >= cosine
-                i, j = np.nonzero(near)
-                keep = (j > i) & (j <= i + window) & (j + o >= old)
-                us.append(ids[o + i[keep]])
-                vs.append(ids[o + j[keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-            ids, xs = ids[-window:], xs[-window:]
+            yield links(*_near(ids, xs, old, window, cosine))
+            ids, keys, xs = ids[-window:], keys[-window:], xs[-window:]
+        last = min(len(ids), seen - window)  # rows that are not among the first
+        if last > 0:
+            yield edges(ids[-last:], keys[-last:], xs[-last:])
     return run
 
 
+def _borders(window: int, cosine: float):
+    """First and last rows of all partitions by pass and order -> links; between two rows over a border no row is missing."""
+    def run(batches):
+        ids, xs = np.zeros(0, np.int64), None
+        for b in batches:
+            if b.num_rows:
+                x, _ = unit_rows(b.column("x"))
+                old = len(ids)
+                ids, xs = np.concatenate([ids, b.column("u").to_numpy()]), x if xs is None else np.concatenate([xs, x])
+                u, v = _near(ids, xs, old, window, cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                ids, xs = ids[-window:], xs[-window:]
+    return run
+
+
+def passes_for(rows: int, cosine: float, window: int, recall: float = 0.98, least: int = 12) -> int:
+    """Passes in which a pair at the cosine, among evenly spread vectors, shares enough leading bits once with this chance."""
+    bits = math.log2(max(2.0, rows / window))
+    meets = (1 - math.acos(cosine) / math.pi) ** bits
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+
+
 def passes(vectors: DataFrame, cosine: float, n_passes: int, window: int) -> DataFrame:
-    """Verified links (u, v) between the rows (id, x) of unit vectors, over all passes."""
-    out = None
+    """Verified links (u, v) between the rows (id, x) of unit vectors, over all passes; windows go over the borders of partitions."""
+    n, out = partitions(vectors.sparkSession), None
     for p in range(n_passes):
         keyed = vectors.mapInArrow(_sort_key(1000 + p), "key long, id long, x array<double>")
-        ordered = keyed.repartitionByRange(partitions(vectors.sparkSession), "key", "id").sortWithinPartitions("key", "id")
-        found = ordered.mapInArrow(_windows(window, cosine), "u long, v long")
+        ordered = keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+        found = ordered.mapInArrow(_windows(p, window, cosine), FOUND)
         out = found if out is None else out.union(found)
-    return out
+    out = saved(out, "passes")
+    edges = out.where("v is null").select("pass", "key", "u", "x").repartition(n, "pass").sortWithinPartitions("pass", "key", "u")
+    return out.where("v is not null").select("u", "v").union(edges.mapInArrow(_borders(window, cosine), "u long, v long"))
 
 
 def _compare(cosine: float):
@@ -101,7 +150,7 @@ def near_duplicates(vectors: DataFrame, vector: str = "embedding", key: str = "v
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. So do vectors whose number of
-    components is not the most frequent one. Rows that repeat a key are rows of their own with links to each other; a row
+    components is not the most frequent one. n_passes is the least number of passes; it grows with the rows. Rows that repeat a key are rows of their own with links to each other; a row
     with a null key has no links and null in component_id and kept.
     """
     spark = vectors.sparkSession
@@ -115,6 +164,7 @@ def near_duplicates(vectors: DataFrame, vector: str = "embedding", key: str = "v
     usual = rows.where("e is not null").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()  # one row
     usual = usual[0].n if usual else 0
     classes = saved(rows.where(F.size("e") == usual).groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).select("id", F.col("e").alias("x"), "size"), "classes")
+    n_passes = passes_for(classes.count(), cosine, window, least=n_passes)
     links = saved(passes(classes.select("id", "x"), cosine, n_passes, window), "pairs")
     roots = components(links, "vectors")
     groups = classes.join(roots.withColumnRenamed("node", "id"), "id")

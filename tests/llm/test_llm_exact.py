@@ -161,6 +161,21 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_windows_go_over_the_borders_of_partitions(spark):
+    """150 rows in 8 partitions, fewer than a window in each: one pass compares each row with the next 24 in order."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {tuple(sorted(r)) for r in embed.passes(df, 0.8, 1, 24).collect()}
+    bits = (x @ np.random.default_rng(1000).normal(size=(4, embed.BITS)) > 0).astype(np.int64)
+    key = bits @ (1 << np.arange(embed.BITS - 1, -1, -1, dtype=np.int64))
+    order = np.lexsort((np.arange(150), key)).tolist()
+    want = {tuple(sorted((a, b))) for n, a in enumerate(order) for b in order[n + 1:n + 25] if x[a] @ x[b] >= 0.8}
+    assert want <= got and all(x[a] @ x[b] >= 0.8 for a, b in got)
+    assert [embed.passes_for(n, 0.95, 24) for n in (1_000, 10**6)] == [12, 19]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
