@@ -66,9 +66,8 @@ def slots(fanout: int, name: str) -> list[str]:
 
 def pivoted(nodes: DataFrame, fanout: int, carry: list[str]) -> DataFrame:
     """One row per parent of nodes (g, n, at, node, carry...): its children's nodes and carried values as columns, and its own node."""
-    slot = F.col("at") % fanout
-    each = [F.max(F.when(slot == i, F.col(c))).alias(f"{c}{i}") for c in ["node", *carry] for i in range(fanout)]
-    up = nodes.where("n > 1").groupBy("g", F.expr(f"at div {fanout}").alias("at")).agg(F.max("n").alias("below"), *each)
+    each = [F.expr(f"max(CASE WHEN at % {fanout} = {i} THEN {c} END) AS {c}{i}") for c in ["node", *carry] for i in range(fanout)]
+    up = nodes.where("n > 1").groupBy("g", F.expr(f"at div {fanout} AS at")).agg(F.max("n").alias("below"), *each)
     return up.withColumn("n", F.expr(f"(below + {fanout - 1}) div {fanout}")).withColumn("node", F.sha2(F.concat_ws("", *slots(fanout, "node")), 256))
 
 
@@ -89,11 +88,11 @@ def tops(nodes: DataFrame, levels: list[DataFrame]) -> DataFrame:
 
 def children(parents: DataFrame, fanout: int, carry: list[str]) -> DataFrame:
     """A row per child of parents (g, subroot, at, slots, path): its place, node, carried values and path."""
-    def child(i: int) -> Column:
-        left, right = (F.concat_ws("", *s) for s in (slots(fanout, "node")[:i], slots(fanout, "node")[i + 1:]))
-        step = F.struct(left.alias("left"), right.alias("right"))
-        return F.struct((F.col("at") * fanout + i).alias("at"), F.col(f"node{i}").alias("node"), F.concat(F.array(step), "path").alias("path"), *[F.col(f"{c}{i}").alias(c) for c in carry])
-    one = F.explode(F.filter(F.array(*[child(i) for i in range(fanout)]), lambda c: c["node"].isNotNull())).alias("c")
+    def child(i: int) -> str:
+        left, right = (", ".join(["''", *x]) for x in (slots(fanout, "node")[:i], slots(fanout, "node")[i + 1:]))
+        step = f"struct(concat_ws({left}) AS left, concat_ws({right}) AS right)"
+        return f"struct({', '.join([f'at * {fanout} + {i} AS at', f'node{i} AS node', f'concat(array({step}), path) AS path', *[f'{c}{i} AS {c}' for c in carry]])})"
+    one = F.expr(f"explode(filter(array({', '.join(map(child, range(fanout)))}), c -> c.node IS NOT NULL)) AS c")
     return parents.select("g", "subroot", one).select("g", "subroot", "c.*")
 
 
