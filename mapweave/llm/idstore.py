@@ -39,7 +39,9 @@ SAMPLE = 512
 #: Ids in a file; a document is never split, so a longer one makes a longer file.
 FILE_IDS = 1 << 22
 #: Bytes of text that are encoded together, and units of text kept by a task (about 0.3 GB).
-SLICE, UNITS = 1 << 25, 2_000_000
+SLICE, UNITS = 1 << 24, 2_000_000
+#: Units that are encoded as one text, and ids that are put together at once.
+JOINED, GATHER = 64, 1 << 20
 _state: dict[str, "Units"] = {}
 
 # Classes of bytes: 0 part of a longer character, 1 letter, 2 digit, 3 other sign, 4 white space but 5 the space.
@@ -63,20 +65,34 @@ class Units:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a sign of a token stands for a byte
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
 
     def learn(self, units: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        """New units go to the tokenizer; those of a space and ASCII signs in joined texts, in which their bytes part the ids again."""
+        joined = [u for u in units if len(u) > 1 and u[0] == 32 and SOLID[CLASS[u[1]]] and u.isascii()]
+        taken = set(joined)
+        single = [u for u in units if u not in taken]
+        alone, groups = self.ids_of(single), self.ids_of([b"".join(joined[i:i + JOINED]) for i in range(0, len(joined), JOINED)])
+        ids = np.concatenate([*groups, *alone, np.zeros(0, np.uint32)])
+        whole = sum(map(len, groups))
+        ends = np.searchsorted(np.cumsum(self.bytes[ids[:whole]]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))) + 1
+        size = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int32)
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.number.update(zip(joined + single, range(len(self.number), len(self.number) + len(units))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[offsets[i]:offsets[i + 1]], each ended by id 0, and the len + 1 offsets of the ids."""
@@ -98,22 +114,25 @@ class Units:
         starts[offsets] = True
         starts[len(data)] = True
         cuts = np.flatnonzero(starts)
+        del starts
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(whole)]) if len(data) else pa.array([], pa.large_binary())
         coded = units.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.number) + len(names) > UNITS:
             self.clear()
         self.learn([u for u in names if u not in self.number])
-        code = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
-        size = self.size[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        code = np.fromiter(map(self.number.__getitem__, names), np.int32, len(names))[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
+        del units, coded, names
+        ends = np.concatenate([[0], np.cumsum(self.size[code], dtype=np.int64)])
         bounds = ends[np.searchsorted(cuts, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
-        bounds = bounds + np.arange(len(offsets))
-        out = np.zeros(int(bounds[-1]), np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[bounds[1:] - 1] = False
-        out[keep] = self.flat[np.repeat(self.start[code] - ends[:-1], size) + np.arange(int(ends[-1]))]
-        return out, bounds
+        ids = np.zeros(int(ends[-1]), np.uint32)
+        for a in range(0, len(code), GATHER):
+            part = code[a:a + GATHER]
+            size = self.size[part]
+            at = np.repeat(self.start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            ids[ends[a]:ends[a + len(part)]] = self.flat[at]
+        # id 0 at the end of every text
+        return np.insert(ids, bounds[1:], 0), bounds + np.arange(len(offsets))
 
 
 def packed_bits(values: np.ndarray, width: int) -> bytes:
