@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ HEAD = 9
 SAMPLE = 512
 #: Ids in a file; a document is never split, so a longer one makes a longer file.
 FILE_IDS = 1 << 22
-#: Bytes of text that are encoded together, and units of text kept by a task (about 0.3 GB).
+#: Bytes of text that are encoded together, and units of text kept by a task (about 0.1 GB).
 SLICE, UNITS = 1 << 24, 2_000_000
 #: Units that are encoded as one text, and ids that are put together at once.
 JOINED, GATHER = 64, 1 << 20
@@ -72,18 +73,17 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def learn(self, units: list[bytes]) -> None:
-        """New units go to the tokenizer; those of a space and ASCII signs in joined texts, in which their bytes part the ids again."""
-        joined = [u for u in units if len(u) > 1 and u[0] == 32 and SOLID[CLASS[u[1]]] and u.isascii()]
-        taken = set(joined)
-        single = [u for u in units if u not in taken]
+    def learn(self, units: list[bytes]) -> np.ndarray:
+        """Numbers of new units. Those of a space and ASCII signs go to the tokenizer in joined texts, in which their bytes part the ids again."""
+        spaced = np.fromiter((len(u) > 1 and u[0] == 32 and SOLID[CLASS[u[1]]] and u.isascii() for u in units), bool, len(units))
+        joined, single = ([units[i] for i in np.flatnonzero(m)] for m in (spaced, ~spaced))
         alone, groups = self.ids_of(single), self.ids_of([b"".join(joined[i:i + JOINED]) for i in range(0, len(joined), JOINED)])
         ids = np.concatenate([*groups, *alone, np.zeros(0, np.uint32)])
         whole = sum(map(len, groups))
@@ -92,7 +92,10 @@ class Units:
         self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
-        self.number.update(zip(joined + single, range(len(self.number), len(self.number) + len(units))))
+        out = np.zeros(len(units), np.int32)
+        out[np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])] = len(self.known) + np.arange(len(units))
+        self.known = pa.concat_arrays([self.known, pa.array(joined + single, pa.large_binary())])
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[offsets[i]:offsets[i + 1]], each ended by id 0, and the len + 1 offsets of the ids."""
@@ -117,12 +120,15 @@ class Units:
         del starts
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(whole)]) if len(data) else pa.array([], pa.large_binary())
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.number) + len(names) > UNITS:
+        names = coded.dictionary
+        if len(self.known) + len(names) > UNITS:
             self.clear()
-        self.learn([u for u in names if u not in self.number])
-        code = np.fromiter(map(self.number.__getitem__, names), np.int32, len(names))[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
-        del units, coded, names
+        found = pc.index_in(names, self.known)
+        new = np.flatnonzero(found.is_null())
+        number = found.fill_null(0).to_numpy().copy()
+        number[new] = self.learn(names.take(pa.array(new)).to_pylist())
+        code = number[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
+        del units, coded, names, found
         ends = np.concatenate([[0], np.cumsum(self.size[code], dtype=np.int64)])
         bounds = ends[np.searchsorted(cuts, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
         ids = np.zeros(int(ends[-1]), np.uint32)
