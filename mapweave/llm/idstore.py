@@ -40,9 +40,9 @@ SAMPLE = 512
 #: Ids in a file; a document is never split, so a longer one makes a longer file.
 FILE_IDS = 1 << 22
 #: Bytes of text that are encoded together, and units of text kept by a task (about 0.1 GB).
-SLICE, UNITS = 1 << 24, 2_000_000
-#: Units that are encoded as one text, and ids that are put together at once.
-JOINED, GATHER = 64, 1 << 20
+SLICE, UNITS = 1 << 23, 2_000_000
+#: Units that are encoded as one text, texts that go to the tokenizer at once, and ids that are put together at once.
+JOINED, CALL, GATHER = 64, 512, 1 << 19
 _state: dict[str, "Units"] = {}
 
 # Classes of bytes: 0 part of a longer character, 1 letter, 2 digit, 3 other sign, 4 white space but 5 the space.
@@ -77,8 +77,11 @@ class Units:
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        out = []
+        for i in range(0, len(texts), CALL):
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[i:i + CALL]], add_special_tokens=False)
+            out += [np.array(e.ids, np.uint32) for e in found]
+        return out
 
     def learn(self, units: list[bytes]) -> np.ndarray:
         """Numbers of new units. Those of a space and ASCII signs go to the tokenizer in joined texts, in which their bytes part the ids again."""
@@ -227,6 +230,7 @@ def _encode(path: str, file_ids: int):
             own = b.column("key").to_pylist()
             for s, e in slices(offsets, SLICE):
                 found, bounds = units.encode(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
+                pa.default_memory_pool().release_unused()
                 at = 0
                 while at < e - s:  # as many documents as the open file still takes, at least one
                     end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + file_ids - have, "right")) - 1)
