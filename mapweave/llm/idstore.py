@@ -25,12 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import raw, saved, slices
+from mapweave.llm.common import Rolling, raw, saved, slices
 from mapweave.sources.shared import shared_folder
 
 MAGIC = b"IDEF0001"
@@ -39,8 +38,8 @@ HEAD = 9
 SAMPLE = 512
 #: Ids in a file; a document is never split, so a longer one makes a longer file.
 FILE_IDS = 1 << 22
-#: Bytes of text that are encoded together, and units of text kept by a task (about 0.1 GB).
-SLICE, UNITS = 1 << 23, 2_000_000
+#: Bytes of text that are encoded together, units kept by a task (about 0.1 GB), and the bytes of the longest unit kept.
+SLICE, UNITS, LONGEST = 1 << 22, 2_000_000, 256
 #: Units that are encoded as one text, texts that go to the tokenizer at once, and ids that are put together at once.
 JOINED, CALL, GATHER = 64, 512, 1 << 19
 _state: dict[str, "Units"] = {}
@@ -59,12 +58,13 @@ class Units:
     Such a tokenizer first cuts a text into words, each with the one space before it, numbers, runs of signs and white space,
     and looks at nothing behind a cut. A unit ends where two ASCII signs prove a cut; letters after an apostrophe, which can
     be a contraction, and characters beyond ASCII never do. So the ids of a text are those of its units in a row. Known
-    units are kept, only new ones go to the tokenizer. A text that spells one of the tokenizer's added tokens is one unit.
+    units are kept, named by two 64-bit hashes; only new ones go to the tokenizer. A text that spells one of the tokenizer's added tokens is one unit.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.names = Rolling(12), Rolling(13)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -73,7 +73,7 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.large_binary())
+        self.known, self.check, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)  # by rising hash
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -96,8 +96,27 @@ class Units:
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
         out = np.zeros(len(units), np.int32)
-        out[np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])] = len(self.known) + np.arange(len(units))
-        self.known = pa.concat_arrays([self.known, pa.array(joined + single, pa.large_binary())])
+        out[np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])] = len(self.size) - len(units) + np.arange(len(units))
+        return out
+
+    def numbers(self, units: pa.Array) -> np.ndarray:
+        """Numbers of different units; new ones are learned, those over LONGEST bytes only for now."""
+        data, offsets = raw(units)
+        name, check = np.zeros((2, len(units)), np.uint64)
+        for s, e in slices(offsets, 1 << 16):
+            if e - s > 1 or offsets[e] - offsets[s] <= LONGEST:
+                own, at = data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s]
+                name[s:e], check[s:e] = (r.of(r.prefix(own), at[:-1], at[1:]) for r in self.names)
+        at = np.minimum(np.searchsorted(self.known, name), max(len(self.known) - 1, 0))
+        found = (self.known[at] == name) & (self.check[at] == check) if len(self.known) else np.zeros(len(name), bool)
+        found &= np.diff(offsets) <= LONGEST
+        out = self.number[at] if len(self.known) else np.zeros(len(name), np.int32)
+        new = np.flatnonzero(~found)
+        out[new] = self.learn(units.take(pa.array(new)).to_pylist())
+        kept = new[np.diff(offsets)[new] <= LONGEST]
+        kept = kept[np.argsort(name[kept], kind="stable")]
+        at = np.searchsorted(self.known, name[kept])
+        self.known, self.check, self.number = np.insert(self.known, at, name[kept]), np.insert(self.check, at, check[kept]), np.insert(self.number, at, out[kept])
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +142,10 @@ class Units:
         del starts
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(whole)]) if len(data) else pa.array([], pa.large_binary())
         coded = units.dictionary_encode()
-        names = coded.dictionary
-        if len(self.known) + len(names) > UNITS:
+        if len(self.size) + len(coded.dictionary) > UNITS:
             self.clear()
-        found = pc.index_in(names, self.known)
-        new = np.flatnonzero(found.is_null())
-        number = found.fill_null(0).to_numpy().copy()
-        number[new] = self.learn(names.take(pa.array(new)).to_pylist())
-        code = number[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int32)
-        del units, coded, names, found
+        code = self.numbers(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+        del units, coded
         ends = np.concatenate([[0], np.cumsum(self.size[code], dtype=np.int64)])
         bounds = ends[np.searchsorted(cuts, offsets)] if len(data) else np.zeros(len(offsets), np.int64)
         ids = np.zeros(int(ends[-1]), np.uint32)
@@ -141,7 +155,7 @@ class Units:
             at = np.repeat(self.start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             ids[ends[a]:ends[a + len(part)]] = self.flat[at]
         # id 0 at the end of every text
-        return np.insert(ids, bounds[1:], 0), bounds + np.arange(len(offsets))
+        return np.insert(ids, bounds[1:], 0).astype(f"<u{self.width}"), bounds + np.arange(len(offsets))
 
 
 def packed_bits(values: np.ndarray, width: int) -> bytes:
