@@ -1,7 +1,8 @@
 """Token ids in binary files: a concatenated id array with Elias-Fano coded document boundaries.
 
-File (numbers little-endian): `MAGIC`, a head of nine 64-bit numbers (part, number in the part, documents, ids, bytes of an
-id, low bits of a boundary, bytes of the upper bits, documents with a key, base of the keys), then
+A file holds up to `FRAMES` frames, each ended by a line end. Frame (numbers little-endian): `MAGIC`, a head of nine 64-bit
+numbers (part, number in the part, documents, ids, bytes of an id, low bits of a boundary, bytes of the upper bits, documents
+with a key, base of the keys), then
 
 * the documents' keys as differences from the base, 64 bits each (documents without a key come first and have none),
 * the boundaries: the end of document i, a number of ids, split into its low bits, packed, and its upper bits as a bit
@@ -12,9 +13,9 @@ id, low bits of a boundary, bytes of the upper bits, documents with a key, base
 A boundary takes about 2 + log2(ids / documents) bits and the select structure 1/16 bit a bit, in place of 64. select(i) finds
 the stretch by its count of ones, then the one inside the stretch.
 
-Writing: documents are dealt out by ranges of the key and sorted, so that files follow each other by part and number; a task
-encodes its texts and closes a file at `FILE_IDS` ids. Spark's text writer stores a file to a row, which a line end closes.
-Reading: a task takes one file at a time; where a file starts among all ids is the sum of the ids in the files before it.
+Writing: documents are dealt out by ranges of the key and sorted, so that frames follow each other by part and number; a task
+encodes its texts and closes a frame at `FRAME_IDS` ids. Spark's text writer stores a frame to a row.
+Reading: a task takes one file at a time; where a frame starts among all ids is the sum of the ids in the frames before it.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ MAGIC = b"IDEF0001"
 HEAD = 9
 #: Bits of the upper vector to one count of the select structure.
 SAMPLE = 512
-#: Ids in a file; a document is never split, so a longer one makes a longer file.
-FILE_IDS = 1 << 22
+#: Ids in a frame, and frames in a file. A document is never split, so a longer one makes a longer frame.
+FRAME_IDS, FRAMES = 1 << 18, 32
 #: Bytes of text that are encoded together, units kept by a task (about 0.1 GB), and the bytes of the longest unit kept.
 SLICE, UNITS, LONGEST = 1 << 22, 2_000_000, 256
 #: Units that are encoded as one text, texts that go to the tokenizer at once, and ids that are put together at once.
@@ -196,7 +197,7 @@ class Boundaries:
         return out
 
 
-def file_of(part: int, number: int, keys: list[int | None], sizes: np.ndarray, ids: np.ndarray, width: int) -> bytes:
+def frame_of(part: int, number: int, keys: list[int | None], sizes: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     known = np.array([k for k in keys if k is not None], np.int64)
     base = int(known[0]) if len(known) else 0
     ends = Boundaries.of(np.cumsum(sizes), len(ids))
@@ -204,17 +205,18 @@ def file_of(part: int, number: int, keys: list[int | None], sizes: np.ndarray, i
     return b"".join([MAGIC, head.tobytes(), (known - base).astype("<i8").tobytes(), ends.low.tobytes(), ends.upper.tobytes(), ends.before.tobytes(), ids.astype(f"<u{width}").tobytes()])
 
 
-class File:
-    """A file's head, keys, boundaries and ids; ValueError if it isn't whole."""
+class Frame:
+    """A frame's head, keys, boundaries and ids, from byte `at` of a file; `end` is where the next begins. ValueError if it isn't whole."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC or len(data) < 8 + 8 * HEAD:
-            raise ValueError("no file of ids")
-        self.part, self.number, self.docs, self.ids, self.width, low_bits, upper, known, base = (int(x) for x in np.frombuffer(data, "<i8", HEAD, 8))
-        at = 8 + 8 * HEAD
+    def __init__(self, data: memoryview, at: int = 0) -> None:
+        if bytes(data[at:at + 8]) != MAGIC or len(data) < at + 8 + 8 * HEAD:
+            raise ValueError("no frame of ids")
+        self.part, self.number, self.docs, self.ids, self.width, low_bits, upper, known, base = (int(x) for x in np.frombuffer(data, "<i8", HEAD, at + 8))
+        at += 8 + 8 * HEAD
         sizes = [8 * known, -(-self.docs * low_bits // 8), upper, upper * 8 // SAMPLE * 4, self.ids * self.width]
-        if at + sum(sizes) + 1 != len(data):  # the line end of the writer
-            raise ValueError("a file of ids is cut off")
+        self.end = at + sum(sizes) + 1
+        if bytes(data[self.end - 1:self.end]) != b"\n":
+            raise ValueError("a frame of ids is cut off")
         parts = []
         for n in sizes:
             parts.append(data[at:at + n])
@@ -224,13 +226,22 @@ class File:
         self.values = np.frombuffer(parts[4], f"<u{self.width}")
 
     def bounds(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end among the file's ids of its i-th documents."""
+        """Start and end among the frame's ids of its i-th documents."""
         ends = self.ends.select(i)
         starts = np.where(i > 0, self.ends.select(np.maximum(i - 1, 0)), 0)
         return starts, ends
 
 
-def _encode(path: str, file_ids: int):
+def frames(data: memoryview):
+    """The frames of a file."""
+    at = 0
+    while at < len(data):
+        frame = Frame(data, at)
+        at = frame.end
+        yield frame
+
+
+def _encode(path: str, frame_ids: int):
     def run(batches):
         if path not in _state:
             _state[path] = Units(path)
@@ -238,7 +249,7 @@ def _encode(path: str, file_ids: int):
         keys, sizes, ids, have = [], [], [], 0
 
         def closed():
-            return pa.RecordBatch.from_arrays([pa.array([file_of(part, number, keys, np.concatenate(sizes), np.concatenate(ids), units.width)], pa.binary())], names=["file"])
+            return pa.RecordBatch.from_arrays([pa.array([frame_of(part, number, keys, np.concatenate(sizes), np.concatenate(ids), units.width)], pa.binary())], names=["frame"])
         for b in batches:
             data, offsets = raw(b.column("text"))
             own = b.column("key").to_pylist()
@@ -246,15 +257,15 @@ def _encode(path: str, file_ids: int):
                 found, bounds = units.encode(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
                 pa.default_memory_pool().release_unused()
                 at = 0
-                while at < e - s:  # as many documents as the open file still takes, at least one
-                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + file_ids - have, "right")) - 1)
+                while at < e - s:  # as many documents as the open frame still takes, at least one
+                    end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + frame_ids - have, "right")) - 1)
                     end = min(end, e - s)
                     keys += own[s + at:s + end]
                     sizes.append(np.diff(bounds[at:end + 1]))
                     ids.append(found[bounds[at]:bounds[end]])
                     have += int(bounds[end] - bounds[at])
                     at = end
-                    if have >= file_ids or at < e - s:
+                    if have >= frame_ids or at < e - s:
                         yield closed()
                         keys, sizes, ids, have, number = [], [], [], 0, number + 1
         if keys:
@@ -266,17 +277,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", frame_ids: int = FRAME_IDS) -> None:
     """Write the ids of every text, ended by id 0, to files under path in ascending order of the key.
 
     tokenizer: a byte-level tokenizer file of the tokenizers library, at the same place on every executor. A null text is
     empty and gives id 0 alone. Rows without a key come first; rows with equal keys follow each other by a hash of the text,
-    then by the text, and may lie in several files. An empty table makes no file. Other columns are ignored, whatever their names.
+    then by the text, and may lie in several frames. An empty table makes no file. Other columns are ignored, whatever their names.
     """
     rows = docs.select(named(key).cast("long").alias("key"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.asc_nulls_first("key"), "tie").sortWithinPartitions(F.asc_nulls_first("key"), "tie", "text").select("key", "text")
-    files = rows.mapInArrow(_encode(tokenizer, file_ids), "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = rows.mapInArrow(_encode(tokenizer, frame_ids), "frame binary")
+    found.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FRAMES).text(path)
 
 
 RESULT = "part long, number long, key long, start long, n_tokens long, ids_crc32 long"
@@ -286,18 +297,18 @@ def _read(batches):
     names = [x.split()[0] for x in RESULT.split(", ")]
     for b in batches:
         for content in b.column("content"):
-            f = File(content.as_buffer().to_pybytes())
-            starts, ends = f.bounds(np.arange(f.docs))
-            sums = [zlib.crc32(f.values[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
-            columns = [np.full(f.docs, f.part), np.full(f.docs, f.number), f.keys, starts, ends - starts, sums]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            for f in frames(memoryview(content.as_buffer())):
+                starts, ends = f.bounds(np.arange(f.docs))
+                sums = [zlib.crc32(f.values[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
+                columns = [np.full(f.docs, f.part), np.full(f.docs, f.number), f.keys, starts, ends - starts, sums]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document in the files under path; start counts the ids of all documents before it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     found = saved(files.mapInArrow(_read, RESULT), "id-files")
-    # a row per file, then a row per part: neither grows with the documents of a part
+    # a row per frame, then a row per part: neither grows with the documents of a part
     sizes = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("ids"))
     parts = dict(sizes.groupBy("part").agg(F.sum("ids")).collect())
     first = [0]

@@ -105,10 +105,10 @@ def test_select_structure(n):
         assert len(code.low) + len(code.upper) + 4 * len(code.before) < 8 * n / 3.5
 
 
-@pytest.mark.parametrize("file_ids", [1 << 22, 50])
-def test_id_files_round_trip(spark, file_ids):
+@pytest.mark.parametrize("frame_ids", [1 << 18, 50])
+def test_id_files_round_trip(spark, frame_ids):
     docs = documents(spark, rows=list(enumerate(HARD * 3)))
-    got = sorted((tuple(r) for r in idstore.stored(docs, BYTES, file_ids=file_ids).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in idstore.stored(docs, BYTES, frame_ids=frame_ids).collect()), key=lambda r: r[1])
     tokenizer, at = Tokenizer.from_file(BYTES), 0
     want = {}
     for i, t in [(r.doc_id, r.text) for r in docs.collect()]:
@@ -123,11 +123,12 @@ def test_id_files_round_trip(spark, file_ids):
 
 
 def test_broken_id_file():
-    data = idstore.file_of(0, 0, [None, 4], np.array([2, 3]), np.arange(5), 2) + b"\n"
-    assert idstore.File(data).keys == [None, 4] and idstore.File(data).bounds(np.array([1]))[0].tolist() == [2]
+    data = idstore.frame_of(0, 0, [None, 4], np.array([2, 3]), np.arange(5), 2) + b"\n"
+    two = list(idstore.frames(memoryview(data * 2)))
+    assert [f.keys for f in two] == [[None, 4]] * 2 and two[1].bounds(np.array([1]))[0].tolist() == [2]
     for bad in (data[:-3], b"x" + data, data + b"z"):
         with pytest.raises(ValueError):
-            idstore.File(bad)
+            list(idstore.frames(memoryview(bad)))
 
 
 def middle_by_hand(text, key, rate, spm):
