@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from mapweave.operators.keyword import K1, LENGTH_PART
 from mapweave.params import GLOBAL_SCOPES, STRUCTURED_WEIGHTS, Params
 
 CONTROL_TYPE = list(STRUCTURED_WEIGHTS).index("control_type")
@@ -67,6 +68,17 @@ def _jaccard(left, right):
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0), union > 0
 
 
+def keyword(s: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
+    """Raw BM25 scores. Frequencies are in the source's weights; the mean length of its pool shapes the target's."""
+    raw = np.zeros((len(s), len(t)))
+    for avg_len, rows in s.groupby("avg_len").indices.items():
+        part = s.iloc[rows]
+        length = 1 - LENGTH_PART + LENGTH_PART * t["doc_len"].to_numpy() / avg_len
+        weight = [np.asarray(tf) * (K1 + 1) / (np.asarray(tf) + K1 * n) for tf, n in zip(t["term_tf"], length)]
+        raw[rows] = matches(part["term_list"], t["term_list"], list(part["term_weight"]), weight)
+    return raw
+
+
 def signals(s: pd.DataFrame, t: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
     shape = (len(s), len(t))
     zero = np.zeros(shape)
@@ -78,8 +90,7 @@ def signals(s: pd.DataFrame, t: pd.DataFrame, p: Params) -> dict[str, np.ndarray
         elif a.any() and b.any():
             raise ValueError("embeddings of different length")
     if p.use_keyword:
-        raw = matches(s["term_list"], t["term_list"], list(s["term_weight"]), list(t["term_weight"]))
-        out["keyword"] = np.round(raw / s["keyword_best"].to_numpy()[:, None], DIGITS)
+        out["keyword"] = np.round(keyword(s, t) / s["keyword_best"].to_numpy()[:, None], DIGITS)
     if p.use_structured:
         total, weight = np.zeros(shape), np.zeros(shape)
         for i, w in enumerate(STRUCTURED_WEIGHTS.values()):

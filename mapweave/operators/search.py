@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from mapweave.operators import blocks as B
+from mapweave.operators.keyword import with_keywords
 from mapweave.params import DEFAULTS, FAMILY_AFFINITY, GLOBAL_SCOPES, STRUCTURED_WEIGHTS, Params
 from mapweave.sources.shared import saved
 
 SIGNALS = ["semantic", "keyword", "structured", "action_object", "control_type", "category_prior", "combined"]
 # everything that decides a score, an affinity or a pool; equal values mean the same profile
 FEATURES = ["vec", "sets", "ao", "control_family", "primary_key", "secondary_keys", "confidence", "low_confidence",
-            "keys", "id_family", "term_list", "term_weight"]
-SOURCE_ONLY = ["affine_families", "keyword_best"]
+            "keys", "id_family", "term_list", "term_tf", "doc_len"]
+SOURCE_ONLY = ["affine_families", "term_weight", "avg_len", "keyword_best"]
 BITS = 32768  # bits of a cell's token bitmap (the size Spark's bitmap aggregates use)
 
 
@@ -341,7 +342,7 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
     different contents (for all of them with all_rrf).
     """
     if p.use_keyword:
-        sources, targets = with_bm25(sources, targets, p)
+        sources, targets = with_keywords(sources, targets, p)
     if p.affinity_enabled:
         table = affinity if affinity is not None else sources.sparkSession.createDataFrame(
             list(FAMILY_AFFINITY.items()), "key string, families array<string>")
@@ -382,74 +383,3 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
         "source_id", "source_order", F.col("atomic_id").alias("candidate_id"),
         F.col("order_no").alias("candidate_order"), *[F.col(s).alias(f"{s}_score") for s in SIGNALS], "rrf_score",
         gate.alias("hard_gate"), "rank", "injected", "in_scoring", "in_review")
-
-
-# ---- BM25 ---------------------------------------------------------------------------------------
-K1, LENGTH_PART = 1.5, 0.75
-
-
-def bm25_terms(targets: DataFrame) -> DataFrame:
-    """(atomic_id, term_list, term_weight): the BM25 weight of every distinct term of a target.
-
-    Document frequencies are counted once over the pool; a row then meets only its own terms.
-    """
-    stats = targets.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("terms")).alias("_len"))
-    tf = (targets.select("atomic_id", F.size("terms").alias("_dl"), F.explode("terms").alias("term"))
-          .groupBy("atomic_id", "_dl", "term").agg(F.count(F.lit(1)).alias("_tf")))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    avg = F.col("_len") / F.col("_n")
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    length = 1 - LENGTH_PART + LENGTH_PART * F.col("_dl") / avg
-    weight = idf * (F.col("_tf") * (K1 + 1)) / (F.col("_tf") + K1 * length)
-    rows = tf.join(df, "term").join(F.broadcast(stats))  # stats is a single row
-    return rows.groupBy("atomic_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("w")))).alias("_t")).select(
-        "atomic_id", F.col("_t.term").alias("term_list"), F.col("_t.w").alias("term_weight"))
-
-
-def with_bm25(sources: DataFrame, targets: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Adds term weights to both sides and each source's best raw score (the divisor of its BM25 scores)."""
-    empty = F.array().cast("array<string>"), F.array().cast("array<double>")
-    t = targets.join(bm25_terms(targets), "atomic_id", "left").withColumns(
-        {"term_list": F.coalesce("term_list", empty[0]), "term_weight": F.coalesce("term_weight", empty[1])})
-    distinct = F.array_distinct("terms")
-    # a repeated query term counts as often as it occurs
-    times = F.transform(distinct, lambda x: F.size(F.filter("terms", lambda y: y == x)).cast("double"))
-    s = sources.withColumns({"term_list": distinct, "term_weight": times, "keyword_best": F.lit(1.0)})
-    t = checkpointed(t)
-    best = bm25_top(s, t, p, 1).groupBy("source_id").agg(F.max("raw_score").alias("_b"))
-    s = (s.drop("keyword_best").join(best, s["atomic_id"] == best["source_id"], "left").drop("source_id")
-         .withColumn("keyword_best", F.when(F.col("_b") > 0, F.col("_b")).otherwise(1.0)).drop("_b"))
-    return checkpointed(s), t
-
-
-def bm25_top(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
-    """(source_id, candidate_id, order_no, raw_score): k best targets by raw BM25 score, ties by input order."""
-    n_blocks = max(1, math.ceil(targets.count() / p.target_block_rows))
-    n_chunks = max(1, math.ceil(sources.count() / p.source_block_rows))
-    left = (sources.select(F.col("atomic_id").alias("source_id"), "term_list", "term_weight")
-            .withColumn("chunk", F.pmod(F.xxhash64("source_id"), F.lit(n_chunks)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    right = (targets.select("atomic_id", "order_no", "term_list", "term_weight")
-             .withColumn("block", F.pmod(F.xxhash64("atomic_id"), F.lit(n_blocks)).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
-
-    def kernel(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if s.empty or t.empty:
-            return pd.DataFrame(columns=["source_id", "candidate_id", "order_no", "raw_score"])
-        t = t.sort_values("order_no", kind="stable")
-        raw = np.round(B.matches(s["term_list"], t["term_list"], list(s["term_weight"]), list(t["term_weight"])),
-                       B.SCORE_DIGITS)
-        # rows are in input order, so a stable sort keeps the first k of equal scores: exactly the k best here
-        top = np.argsort(-raw, axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(s)), top.shape[1])
-        j = top.ravel()
-        return pd.DataFrame({"source_id": s["source_id"].to_numpy()[i], "candidate_id": t["atomic_id"].to_numpy()[j],
-                             "order_no": t["order_no"].to_numpy()[j], "raw_score": raw[i, j]})
-
-    schema = "source_id string, candidate_id string, order_no long, raw_score double"
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(kernel, schema)
-    w = Window.partitionBy("source_id").orderBy(F.desc("raw_score"), "order_no")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-__all__ = ["search", "bm25_top", "bm25_terms", "with_bm25", "rank_counts", "checkpointed"]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from mapweave.functions.text import tokens
+from mapweave.operators import keyword as KW
 from mapweave.operators import retrieval as RT
 from mapweave.operators import search as SE
 from mapweave.operators import similarity as SI
@@ -200,13 +202,36 @@ def _(spark, d):
     source_id) AS best, row_number() OVER (PARTITION BY source_id ORDER BY raw DESC, order_no) AS rank FROM r)
   WHERE rank <= 8""")
 def _(spark, d):
-    s, t = ((x.withColumn("keyword_text", F.col("atomic_requirement"))) for x in (
-        FX.searchable(FX.source_atoms(spark, d)), FX.searchable(FX.atoms(spark, d))))
-    p = replace(DOC_PARAMS, use_keyword=True, weight_keyword=0.2)
-    s, t = SE.with_bm25(SI.with_features(s, p), SI.with_features(t, p), p)
-    best = s.select(F.col("atomic_id").alias("source_id"), "keyword_best")
-    top = SE.bm25_top(s, t, p, 8).filter("raw_score > 0").join(best, "source_id")
-    return top.select("source_id", "candidate_id", F.round(F.col("raw_score") / F.col("keyword_best"), 6).alias("score"), "rank")
+    return keyword_top(spark, d, replace(DOC_PARAMS, use_keyword=True, weight_keyword=0.2))
+
+
+def keyword_top(spark, d, p):
+    """The eight best by keywords, scores divided by the best one of the source."""
+    def side(atoms):
+        return atoms.select("atomic_id", (F.col("pos") * 1000000 + F.col("atom_no")).alias("order_no"), tokens(F.col("atomic_requirement")).alias("terms"),
+                            SI.category_keys(F.col("primary_category"), F.col("category"), F.col("secondary_categories")).alias("keys"))
+    top = KW.Index(side(FX.source_atoms(spark, d)), side(FX.atoms(spark, d)), p).top(8)
+    best = F.max("raw_score").over(Window.partitionBy("source_id"))
+    return top.select("source_id", "candidate_id", F.round(F.col("raw_score") / best, 6).alias("score"), "rank")
+
+
+_POOLED = """SELECT pool, atomic_id, order_no, k FROM (SELECT DISTINCT ks AS pool FROM s) JOIN t ON len(list_intersect(pool, t.ks)) > 0"""
+
+
+@query("J4_bm25_category_pool", f"""WITH s AS MATERIALIZED (SELECT atomic_id, {X.toks('atomic_requirement')} AS k, CASE WHEN category = 'fr' THEN ['fr'] WHEN pos % 5 = 0
+    THEN ['en', 'fr'] ELSE ['en'] END AS ks FROM ({FX.SOURCE_ATOMS})),
+  t AS MATERIALIZED (SELECT atomic_id, pos * 1000000 + atom_no AS order_no, {X.toks('atomic_requirement')} AS k, {_KEYS} AS ks FROM ({FX.DOC_ATOMS})),
+  m AS MATERIALIZED ({_POOLED}), st AS (SELECT pool, count(*) AS n, sum(len(k)) / count(*) AS avgdl FROM m GROUP BY 1),
+  tf AS (SELECT pool, atomic_id, order_no, term, dl, count(*) AS tf FROM (SELECT pool, atomic_id, order_no, len(k) AS dl, unnest(k) AS term FROM m) GROUP BY ALL),
+  df AS (SELECT pool, term, count(*) AS df FROM tf GROUP BY 1, 2),
+  w AS MATERIALIZED (SELECT pool, atomic_id, order_no, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5)
+    / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (pool, term) JOIN st USING (pool)),
+  q AS (SELECT atomic_id AS source_id, ks AS pool, term, count(*) AS c FROM (SELECT atomic_id, ks, unnest(k) AS term FROM s) GROUP BY ALL),
+  r AS (SELECT source_id, atomic_id AS candidate_id, order_no, round(sum(c * w), 9) AS raw FROM q JOIN w USING (pool, term) GROUP BY ALL)
+  SELECT source_id, candidate_id, round(raw / best, 6) AS score, rank::INT AS rank FROM (SELECT *, max(raw) OVER (PARTITION BY
+    source_id) AS best, row_number() OVER (PARTITION BY source_id ORDER BY raw DESC, order_no) AS rank FROM r) WHERE rank <= 8""")
+def _(spark, d):
+    return keyword_top(spark, d, replace(DOC_PARAMS, use_keyword=True, weight_keyword=0.2, match_scope="same_category"))
 
 
 _VEC_RANKED = sql_ranked("SELECT *, 0.0 AS structured, 0.0 AS action_object FROM (" + VECTOR_PAIRS + ")")
