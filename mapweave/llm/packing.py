@@ -35,6 +35,8 @@ class Tokens:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer = self.tokenizer.normalizer
+        self.normalise = normalizer.normalize_str if normalizer else str
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -46,9 +48,13 @@ class Tokens:
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def parts(self, word: str) -> tuple[str, ...]:
-        """A word cut where the tokenizer surely cuts it, at punctuation after letters; one that may hold more cuts stays whole."""
+        """A word cut where the tokenizer surely cuts it, at punctuation after letters; one that may hold more cuts stays whole.
+
+        What counts are the letters as the tokenizer normalises them: some become a letter and a combining mark, which it
+        joins to the punctuation behind.
+        """
         core = word.rstrip(PUNCTUATION)
-        if not core.isalpha():
+        if not core.isalpha() or not (core.isascii() or self.normalise(core).isalpha()):
             return (word,) if core else ("", word)
         return (core.lower() if core.isascii() else core, word[len(core):])
 

@@ -323,3 +323,21 @@ def test_hash_of_equal_stretches():
     r = common.Rolling(1)
     h = r.of(r.prefix(data), np.array([0, 3, 1]), np.array([3, 6, 4]))
     assert h[0] == h[1] != h[2]
+
+
+def test_words_of_all_letters_before_punctuation():
+    """Every letter outside the large blocks, and each tenth of those, before every punctuation mark, has the tokenizer's ids."""
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L" and (c < 0x3400 or 0xA000 <= c < 0xAC00 or c > 0xD7A3 and (c < 0x17000 or c > 0x18D08) or c % 10 == 0)]
+    assert len(letters) > 27_000
+    marks = packing.PUNCTUATION
+    words = [f"{x}{marks[i % len(marks)]}" for i, x in enumerate(letters)] + [f"a{x}{m}" for x in "\u0130\u0958\u095f\u09dc\u09dd\u09df\u00e9\u1e9b\ufb1d" for m in marks] + [f"{x}{x}.!" for x in letters[::7]]
+    ids, offsets = packing.Tokens(path).encode(pa.array(words))
+    tokenizer = Tokenizer.from_file(path)
+    bad = [w for w, e, s, z in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), offsets, offsets[1:]) if ids[s:z].tolist() != [*e.ids, 0]]
+    assert not bad, bad[:20]
