@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import partitions, saved
+from mapweave.llm.common import partitions, raw, saved, slices
 
 #: Words kept by a task, about 0.4 GB; then it begins anew.
 CACHE_WORDS = 2_000_000
+#: Bytes of text whose words are looked up together: a word is looked up once in them.
+SLICE = 1 << 23
 PUNCTUATION = ".,!?;:%&*$#|"
 _state: dict[str, "Tokens"] = {}
 
@@ -106,11 +108,10 @@ def _pieces(path: str, limit: int):
         tokens = _state[path]
         for b in batches:
             texts = b.column("text").fill_null("")
-            for at in range(0, len(texts), 250):
-                part = texts.slice(at, 250)
-                ids, offsets = tokens.encode(part)
+            for at, end in slices(raw(texts)[1], SLICE):
+                ids, offsets = tokens.encode(texts.slice(at, end - at))
                 out = [[], [], [], [], []]
-                for key, a, z in zip(b.column("doc_id").slice(at, 250).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                for key, a, z in zip(b.column("doc_id").slice(at, end - at).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     for n, s in enumerate(range(a, z, limit)):
                         e = min(s + limit, z)
                         for c, v in zip(out, (key, n, s - a, e - s, zlib.crc32(ids[s:e].astype("<u4").tobytes()))):
