@@ -1,23 +1,26 @@
-"""Classification into a taxonomy of a few cards.
+"""Classification into the cards of a taxonomy.
 
-Cards, override rules and built-in rules are small dimensions (checked on load). They become literals of one
-row expression, so classifying a table is a narrow projection without any join.
+Cards and override rules are dimension tables without a limit of rows: the driver reads them, and blocks of bounded size go to
+the tasks, where one automaton for each block finds all their terms in a text (terms.py). Classifying a table stays a narrow
+projection without any join.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from mapweave.functions.text import casefold, category_key, category_norm, collapse, literal_array, split_terms, token_set
+from mapweave.functions.text import casefold, category_key, category_norm, collapse, literal_array, split_terms
+from mapweave.operators import terms as TM
 from mapweave.params import DEFAULTS, STOP_WORDS, Params
 
-MAX_CARDS, MAX_RULES = 200, 2000
 # Weights of the term groups and the built-in rules (number, words, veto words, boost).
 GROUP_WEIGHTS = [("positive", 0.075), ("actions", 0.045), ("objects", 0.050), ("examples", 0.055), ("subcategories", 0.030),
                  ("negative", -0.10), ("counterexamples", -0.08)]
-JACCARD_WEIGHT, NUMBER_WEIGHT, NAME_WEIGHT = 0.18, 0.16, 0.18
+JACCARD_WEIGHT, NUMBER_WEIGHT, NAME_WEIGHT, MOST = 0.18, 0.16, 0.18, 1.25
 BUILTIN_RULES = [
     ("11", ["pr.aa", "access right", "access rights", "accès", "droits d'accès", "droit d'accès", "identity", "identité",
             "authentication", "authentification", "authorization", "autorisation", "account", "compte", "privileg",
@@ -56,25 +59,15 @@ BUILTIN_RULES = [
 ]
 
 
-def small_rows(df: DataFrame, order: list, limit: int, what: str) -> list[Row]:
-    """Bring a dimension to the driver, refusing one that is not small."""
-    rows = df.orderBy(*order).limit(limit + 1).collect()
+def collect_cards(cards: DataFrame) -> list[Row]:
+    rows = list(cards.orderBy("card_pos").toLocalIterator())
     if not rows:
-        raise ValueError(f"no {what} found")
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} {what}")
+        raise ValueError("no taxonomy cards found")
     return rows
 
 
-def collect_cards(cards: DataFrame) -> list[Row]:
-    return small_rows(cards, ["card_pos"], MAX_CARDS, "taxonomy cards")
-
-
 def collect_overrides(rules: DataFrame) -> list[Row]:
-    rows = rules.orderBy(F.desc("priority"), "rule_pos").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} override rules")
-    return rows
+    return list(rules.orderBy(F.desc("priority"), "rule_pos").toLocalIterator())
 
 
 def _terms(card: Row, group: str) -> list[str]:
@@ -90,42 +83,37 @@ def card_tokens(card: Row) -> list[str]:
     return sorted(set(found) - set(STOP_WORDS))
 
 
-def _hit(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w.casefold()))
-    return out
-
+def _weighted(card: Row) -> list[tuple[str, float]]:
+    return [(w, weight) for group, weight in GROUP_WEIGHTS for w in _terms(card, group)] + [(card.category.casefold(), NAME_WEIGHT)]
 
-def card_score(card: Row, text: Column, words: Column, rules=BUILTIN_RULES) -> Column:
-    own = card_tokens(card)
-    inter = F.size(F.array_intersect(words, literal_array(own)))
-    score = F.lit(JACCARD_WEIGHT) * inter / F.greatest(F.size(words) + len(own) - inter, F.lit(1))
-    for group, weight in GROUP_WEIGHTS:
-        for w in _terms(card, group):
-            score = score + F.when(F.contains(text, F.lit(w)), weight).otherwise(0.0)
-    if card.number:
-        score = score + F.when(text.rlike(rf"\b{card.number}\b"), NUMBER_WEIGHT).otherwise(0.0)
-    score = score + F.when(F.contains(text, F.lit(card.category.casefold())), NAME_WEIGHT).otherwise(0.0)
-    for number, positives, vetoes, boost in rules:
-        if number == card.number:
-            score = score + F.when(_hit(text, positives) & ~_hit(text, vetoes), boost).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.25), score))
 
+def with_scores(df: DataFrame, cards: list[Row], text: str = "full_text", rules=BUILTIN_RULES, least: int | None = 5) -> DataFrame:
+    """Adds `ranked`: array of (score, category), best first, card order among equals; scores to nine digits.
 
-def with_scores(df: DataFrame, cards: list[Row], text: str = "full_text", rules=BUILTIN_RULES) -> DataFrame:
-    """Adds `ranked`: array of (score, category), best first, card order among equals; scores to nine digits."""
+    It holds all cards that score above 0, and the first of the others where it would have fewer than `least` entries; with
+    least=None all cards.
+    """
     low = casefold(collapse(F.col(text)))
+    coded = [(i, c.category, c.number, _weighted(c), card_tokens(c)) for i, c in enumerate(cards)]
+    folded = [(number, [w.casefold() for w in yes], [w.casefold() for w in no], boost) for number, yes, no, boost in rules]
+    found = []
+    for block in TM.blocks(coded, lambda c: sum(len(t) for t, _ in c[3]) + sum(map(len, c[4])), TM.BLOCK_CHARS):
+        scores = TM.Scores(block, folded, JACCARD_WEIGHT, NUMBER_WEIGHT, STOP_WORDS, MOST, least)
+
+        def scored(texts: pa.Array, scores=scores) -> pa.Array:
+            return scores(texts)
 
-    def rank(v: Column) -> Column:
-        entries = [F.struct((-F.round(card_score(c, v["low"], v["words"], rules), 9)).alias("k"), F.lit(i).alias("i"),
-                            F.lit(c.category).alias("category")) for i, c in enumerate(cards)]
-        return F.transform(F.array_sort(F.array(*entries)), lambda e: F.struct(
-            (-e["k"]).alias("score"), e["category"].alias("category")))
+        found.append(F.arrow_udf(_one(scored), "array<struct<k:double,i:int,category:string>>")(low))
+    # entries sort by -score, then place; one block is sorted already
+    ranked = F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
+    return df.withColumn("ranked", ranked).withColumn("ranked", F.transform("ranked", lambda e: F.struct((-e["k"]).alias("score"), e["category"].alias("category"))))
 
-    # bound once, so a filter pushed below this projection does not repeat the text work for every term
-    context = F.struct(low.alias("low"), token_set(low).alias("words"))
-    return df.withColumn("ranked", F.transform(F.array(context), rank)[0])
+
+def _one(fn):
+    """fn as a function of one Arrow array, the form that Spark takes."""
+    def run(texts: pa.Array) -> pa.Array:
+        return fn(texts)
+    return run
 
 
 def score_confidence(top: Column, second: Column) -> Column:
@@ -147,16 +135,16 @@ def secondary_categories(primary: Column, p: Params = DEFAULTS) -> Column:
         F.array().cast("array<string>"))
 
 
+def _table(entries: list[tuple[str, str]]) -> Column:
+    """A map of constants; of equal keys the first counts."""
+    return F.from_json(F.lit(json.dumps(dict(reversed(entries)))), "map<string,string>")
+
+
 def resolve(value: Column, cards: list[Row]) -> Column:
     """Category named by key, or by leading number; null when unknown."""
     key, number = category_key(value), F.regexp_extract(value, r"^\s*(\d+)", 1)
-    out = F.lit(None).cast("string")
-    for c in reversed(cards):
-        if c.number:
-            out = F.when(number == c.number, c.category).otherwise(out)
-    for c in reversed(cards):
-        out = F.when(key == c.card_key, c.category).otherwise(out)
-    return out
+    by_key, by_number = _table([(c.card_key, c.category) for c in cards]), _table([(c.number, c.category) for c in cards if c.number])
+    return F.coalesce(F.try_element_at(by_key, key), F.try_element_at(by_number, number))
 
 
 def merge_secondary(primary: Column, values: Column, cards: list[Row], n: int = 2) -> Column:
@@ -164,11 +152,17 @@ def merge_secondary(primary: Column, values: Column, cards: list[Row], n: int =
     return F.slice(F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (v != primary))), 1, n)
 
 
-def _resolve_here(value: str, cards: list[Row]) -> str | None:
-    key = re.sub("[^a-z0-9]+", " ", " ".join((value or "").split()).casefold()).strip()
-    number = re.match(r"^\s*(\d+)", value or "")
-    hits = [c.category for c in cards if c.card_key == key] + [c.category for c in cards if number and c.number == number.group(1)]
-    return hits[0] if hits else None
+class _Names:
+    """resolve() for values at hand."""
+
+    def __init__(self, cards: list[Row]) -> None:
+        self.by_key = {c.card_key: c.category for c in reversed(cards)}
+        self.by_number = {c.number: c.category for c in reversed(cards) if c.number}
+
+    def of(self, value: str | None) -> str | None:
+        key = re.sub("[^a-z0-9]+", " ", " ".join((value or "").split()).casefold()).strip()
+        number = re.match(r"^\s*(\d+)", value or "")
+        return self.by_key.get(key) or (self.by_number.get(number.group(1)) if number else None)
 
 
 CONTEXTS = {"id": "control_id", "control_id": "control_id", "title": "title", "original_category": "original_category",
@@ -176,51 +170,53 @@ CONTEXTS = {"id": "control_id", "control_id": "control_id", "title": "title", "o
             "keywords": "keywords_text"}
 
 
+DECISION = "primary string, secondary array<string>, confidence double, reason string"
+
+
 def override_decision(overrides: list[Row], cards: list[Row], low: Column) -> Column:
     """The first rule, in priority order, whose pattern matches its context; null when none does."""
-    out = F.lit(None).cast("struct<primary:string,secondary:array<string>,confidence:double,reason:string>")
-    for o in reversed(overrides):
-        primary = _resolve_here(o.primary_category, cards)
+    names, known = _Names(cards), []
+    for o in overrides:
+        primary = names.of(o.primary_category)
         if primary is None:
             continue
-        text = casefold(F.col(CONTEXTS[o.applies_to])) if o.applies_to in CONTEXTS else low
-        cond = F.contains(text, F.lit(o.pattern.casefold()))
-        if o.match_mode == "exact":
-            cond = F.trim(text) == o.pattern.casefold().strip()
-        elif o.match_mode == "regex":
-            try:
-                re.compile(o.pattern)
-                cond = text.rlike("(?iu)" + o.pattern)
-            except re.error:
-                pass  # an unreadable pattern is taken literally
-        seconds = []
-        for v in o.secondary_categories or []:
-            r = _resolve_here(v, cards)
-            if r and r != primary and r not in seconds:
-                seconds.append(r)
-        value = F.struct(F.lit(primary).alias("primary"), literal_array(seconds[:2]).alias("secondary"),
-                         F.lit(float(o.confidence)).alias("confidence"), F.lit(o.reason).alias("reason"))
-        out = F.when(cond, value).otherwise(out)
-    return out
+        seconds = [r for v in o.secondary_categories or [] if (r := names.of(v)) and r != primary]
+        pattern = o.pattern if o.match_mode == "regex" else o.pattern.casefold()
+        known.append(((CONTEXTS.get(o.applies_to, ""), o.match_mode, pattern), (primary, list(dict.fromkeys(seconds))[:2], float(o.confidence), o.reason)))
+    out = []
+    for block in TM.blocks(known, lambda r: len(r[0][2]), TM.BLOCK_CHARS):
+        columns = sorted({rule[0] for rule, _ in block})
+        index = TM.Rules([(columns.index(c), mode, pattern) for (c, mode, pattern), _ in block], len(columns))
+        texts = F.array(*[casefold(F.col(c)) if c else low for c in columns])
+        # rules are looked up by number, so a table of them is a constant of the plan, not a tree of conditions
+        values = F.from_json(F.lit(json.dumps([dict(zip(("primary", "secondary", "confidence", "reason"), v)) for _, v in block])), f"array<struct<{DECISION}>>")
+        out.append(F.try_element_at(values, _first_of(index)(texts) + 1))
+    return F.coalesce(*out) if out else F.lit(None).cast(f"struct<{DECISION}>")
+
+
+def _first_of(index: TM.Rules):
+    def run(texts: pa.Array) -> pa.Array:
+        wide = index.contexts
+        flat = texts.flatten()
+        return index(*(flat.take(pa.array(range(i, len(flat), wide), pa.int64())) for i in range(wide)))
+    return F.arrow_udf(run, "int")
 
 
 def full_text() -> Column:
     return collapse(F.concat_ws(" ", "framework", "control_id", "title", "original_category", "requirement", "fields_json", "keywords_text"))
 
 
-def classify(df: DataFrame, cards: list[Row], overrides: list[Row] = (), p: Params = DEFAULTS, rules=BUILTIN_RULES) -> DataFrame:
+def classify(df: DataFrame, cards: list[Row], overrides: list[Row] = (), p: Params = DEFAULTS, rules=BUILTIN_RULES,
+             least: int | None = 5) -> DataFrame:
     """Adds primary_category, secondary_categories, category_confidence, category_status, category_method,
     category_scores: exact category first, then overrides, then the best score.
 
     Columns read: framework, control_id, title, original_category, requirement, fields_json, keywords_text.
     """
-    df = with_scores(df.withColumn("full_text", full_text()), cards, "full_text", rules)
-    key = category_key(F.col("original_category"))
-    exact = F.lit(None).cast("string")
-    for c in reversed(cards):
-        exact = F.when(key == c.card_key, c.category).otherwise(exact)
+    df = with_scores(df.withColumn("full_text", full_text()), cards, "full_text", rules, least)
+    exact = F.try_element_at(_table([(c.card_key, c.category) for c in cards]), category_key(F.col("original_category")))
     exact = F.lit(None).cast("string") if p.category_force else exact
-    df = df.withColumns({"_exact": exact, "_over": F.transform(F.array(casefold(F.col("full_text"))), lambda v: override_decision(list(overrides), cards, v))[0]})
+    df = df.withColumns({"_exact": exact, "_over": override_decision(list(overrides), cards, casefold(F.col("full_text")))})
     top, second = F.col("ranked")[0]["score"], F.coalesce(F.try_element_at("ranked", F.lit(2))["score"], F.lit(0.0))
     conf = score_confidence(top, second)
     by_exact, by_over = F.col("_exact").isNotNull(), F.col("_over").isNotNull()
