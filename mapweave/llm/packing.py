@@ -23,6 +23,8 @@ from mapweave.llm.common import partitions, raw, saved, slices
 CACHE_WORDS = 2_000_000
 #: Bytes of text whose words are looked up together: a word is looked up once in them.
 SLICE = 1 << 23
+#: Pieces of words whose ids are put together at once.
+GATHER = 1 << 19
 PUNCTUATION = ".,!?;:%&*$#|"
 _state: dict[str, "Tokens"] = {}
 
@@ -39,6 +41,7 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         normalizer = self.tokenizer.normalizer
         self.normalise = normalizer.normalize_str if normalizer else str
+        self.plain: set[str] = set()  # letters that stay letters
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -47,7 +50,7 @@ class Tokens:
     def clear(self) -> None:
         self.entry: dict[str, int] = {"": 0}  # piece -> number; number 0 is empty
         self.words: dict[str, int] = {}  # word -> numbers of its two pieces in one
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def parts(self, word: str) -> tuple[str, ...]:
         """A word cut where the tokenizer surely cuts it, at punctuation after letters; one that may hold more cuts stays whole.
@@ -56,30 +59,47 @@ class Tokens:
         joins to the punctuation behind.
         """
         core = word.rstrip(PUNCTUATION)
-        if not core.isalpha() or not (core.isascii() or self.normalise(core).isalpha()):
+        if not core.isalpha() or not (core.isascii() or self.plain.issuperset(core) or self.stays_letters(core)):
             return (word,) if core else ("", word)
         return (core.lower() if core.isascii() else core, word[len(core):])
 
+    def stays_letters(self, core: str) -> bool:
+        if not self.normalise(core).isalpha():
+            return False
+        self.plain.update(core)
+        return True
+
     def learn(self, words: list[str]) -> None:
         cut = [self.parts(w) for w in words]
         single = list({p for c in cut if len(c) == 2 for p in c} - self.entry.keys())
-        found: list = []
-        for i in range(0, len(single), 200):  # pieces of letters or of punctuation alone end with their first word-end token
-            group = single[i:i + 200]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype=np.uint32)
-            some = np.split(ids, np.nonzero(self.word_end[ids])[0][:-1] + 1)
-            found += some if len(some) == len(group) else [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+        groups, ids, sizes = [single[i:i + 200] for i in range(0, len(single), 200)], [], []
+        for i in range(0, len(groups), 100):  # pieces of letters or of punctuation alone end with their first word-end token
+            for group, e in zip(groups[i:i + 100], self.batch([" ".join(g) for g in groups[i:i + 100]])):
+                found = np.array(e.ids, dtype=np.uint32)
+                ends = np.nonzero(self.word_end[found])[0]
+                if len(ends) == len(group):
+                    ids.append(found[:ends[-1] + 1])
+                    sizes.append(np.diff(ends, prepend=-1))
+                else:
+                    self.add(self.batch(group), ids, sizes)
         whole = [c[0] for c in cut if len(c) == 1]
-        found += [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        if found:
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *[np.asarray(x, dtype=np.uint32) for x in found]])
-            self.entry.update(zip(single + whole, range(len(self.size) - len(found), len(self.size))))
+        self.add(self.batch(whole), ids, sizes)
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int32)
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.entry.update(zip(single + whole, range(len(self.size) - len(size), len(self.size))))
         entry = self.entry
         self.words.update((w, entry[c[0]] << 32 | (entry[c[1]] if len(c) == 2 else 0)) for w, c in zip(words, cut))
 
+    def batch(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    @staticmethod
+    def add(found: list, ids: list, sizes: list) -> None:
+        ids += [np.array(e.ids, dtype=np.uint32) for e in found]
+        sizes.append(np.fromiter((len(i) for i in ids[len(ids) - len(found):]), np.int64, len(found)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each ended by id 0, and the len + 1 offsets."""
         split = pc.ascii_split_whitespace(texts)
@@ -90,15 +110,16 @@ class Tokens:
         self.learn([w for w in names if w not in self.words])
         code = np.array([self.words[w] for w in names], dtype=np.int64)[coded.indices.to_numpy()]
         code = np.stack([code >> 32, code & 0xFFFFFFFF], axis=1).ravel()
-        size = self.size[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        ends = np.concatenate([[0], np.cumsum(self.size[code], dtype=np.int64)])
         bounds = split.offsets.to_numpy()
-        offsets = ends[2 * (bounds - bounds[0])] + np.arange(len(texts) + 1)
-        out = np.zeros(int(offsets[-1]), np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = self.flat[np.repeat(self.start[code] - ends[:-1], size) + np.arange(int(ends[-1]))]
-        return out, offsets
+        bounds = ends[2 * (bounds - bounds[0])]
+        ids = np.zeros(int(ends[-1]), np.uint32)
+        for a in range(0, len(code), GATHER):
+            part = code[a:a + GATHER]
+            size = self.size[part]
+            at = np.repeat(self.start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            ids[ends[a]:ends[a + len(part)]] = self.flat[at]
+        return np.insert(ids, bounds[1:], 0), bounds + np.arange(len(texts) + 1)
 
 
 def _pieces(path: str, limit: int):
