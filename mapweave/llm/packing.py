@@ -73,17 +73,17 @@ class Tokens:
         cut = [self.parts(w) for w in words]
         single = list({p for c in cut if len(c) == 2 for p in c} - self.entry.keys())
         groups, ids, sizes = [single[i:i + 200] for i in range(0, len(single), 200)], [], []
-        for i in range(0, len(groups), 100):  # pieces of letters or of punctuation alone end with their first word-end token
-            for group, e in zip(groups[i:i + 100], self.batch([" ".join(g) for g in groups[i:i + 100]])):
+        for i in range(0, len(groups), 20):  # pieces of letters or of punctuation alone end with their first word-end token
+            for group, e in zip(groups[i:i + 20], self.batch([" ".join(g) for g in groups[i:i + 20]])):
                 found = np.array(e.ids, dtype=np.uint32)
                 ends = np.nonzero(self.word_end[found])[0]
                 if len(ends) == len(group):
                     ids.append(found[:ends[-1] + 1])
                     sizes.append(np.diff(ends, prepend=-1))
                 else:
-                    self.add(self.batch(group), ids, sizes)
+                    self.add(group, ids, sizes)
         whole = [c[0] for c in cut if len(c) == 1]
-        self.add(self.batch(whole), ids, sizes)
+        self.add(whole, ids, sizes)
         size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int32)
         self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
@@ -95,10 +95,11 @@ class Tokens:
     def batch(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    @staticmethod
-    def add(found: list, ids: list, sizes: list) -> None:
-        ids += [np.array(e.ids, dtype=np.uint32) for e in found]
-        sizes.append(np.fromiter((len(i) for i in ids[len(ids) - len(found):]), np.int64, len(found)))
+    def add(self, texts: list[str], ids: list, sizes: list) -> None:
+        for i in range(0, len(texts), 2000):
+            found = [np.array(e.ids, dtype=np.uint32) for e in self.batch(texts[i:i + 2000])]
+            ids.append(np.concatenate(found))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each ended by id 0, and the len + 1 offsets."""
@@ -131,6 +132,7 @@ def _pieces(path: str, limit: int):
             texts = b.column("text").fill_null("")
             for at, end in slices(raw(texts)[1], SLICE):
                 ids, offsets = tokens.encode(texts.slice(at, end - at))
+                pa.default_memory_pool().release_unused()
                 out = [[], [], [], [], []]
                 for key, a, z in zip(b.column("doc_id").slice(at, end - at).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     for n, s in enumerate(range(a, z, limit)):
