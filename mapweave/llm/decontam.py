@@ -147,7 +147,7 @@ NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 def blocks(benchmark: DataFrame, text: str, item: str, block_bytes: int):
     """Blocks of at most about block_bytes of benchmark text, one after the other."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for i in range(n):
@@ -155,11 +155,19 @@ def blocks(benchmark: DataFrame, text: str, item: str, block_bytes: int):
         yield i == n - 1 == 0, [tuple(r) for r in part.toLocalIterator()]
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, made longer until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: int, block_bytes: int, item: str, columns: list[str], clean_only: bool) -> DataFrame:
     spark = docs.sparkSession
     kept = [f for f in docs.schema.fields if f.name in columns]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ([] if clean_only else [RESULT]))
     names = [f.name for f in kept]
+    body, row, other, words, runs, items = (free(n, names) for n in ("__text", "__row", "__other", "__words", "__runs", "__items"))
 
     def answer(b, texts, judged):
         cols = [b.column(n) for n in names]
@@ -168,38 +176,39 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: in
             return pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], names=names)
         return pa.RecordBatch.from_arrays(cols + [pa.array(x, t) for x, t in zip(zip(*judged) if judged else [[]] * 5, [pa.int64()] * 3 + [pa.string(), pa.bool_()])], names=names + NAMES)
 
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text"))
+    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias(body))
     parts, numbered = [], None
     for alone, rows in blocks(benchmark, item=item, text="text", block_bytes=block_bytes):
         sent = spark.sparkContext.broadcast(Block(rows, k, window))
         if alone:
             def run(batches, sent=sent):
                 for b in batches:
-                    texts = b.column("__text")
+                    texts = b.column(body)
                     yield answer(b, texts, [verdict(*x) for x in _scan(texts, sent.value)])
             return source.mapInArrow(run, schema)
         if numbered is None:  # row numbers must be the same for every block, so they are written once
-            numbered = saved(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+            numbered = saved(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
         def run(batches, sent=sent):
             for b in batches:
                 found = [(r, n, x, sorted(i)) for r, (n, x, i) in zip(b.column("__row").to_pylist(), _scan(b.column("__text"), sent.value))]
                 yield pa.RecordBatch.from_pylist([{"__row": r, "n": n, "runs": [{"a": p, "b": q} for p, q in x], "items": i} for r, n, x, i in found], schema=PART)
-        parts.append(numbered.select("__row", "__text").mapInArrow(run, "__row long, n long, runs array<struct<a: long, b: long>>, items array<long>"))
+        parts.append(numbered.select(F.col(row).alias("__row"), F.col(body).alias("__text")).mapInArrow(run, "__row long, n long, runs array<struct<a: long, b: long>>, items array<string>"))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
     every = every.groupBy("__row").agg(F.max("n").alias("n"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
-    joined = numbered.drop("__text").join(every, "__row")
+    every = every.select(F.col("__row").alias(other), F.col("n").alias(words), F.col("runs").alias(runs), F.col("items").alias(items))
+    joined = numbered.drop(body).join(every, F.col(row) == F.col(other))
 
     def finish(batches):
         for b in batches:
-            judged = [verdict(n, merged([(x["a"], x["b"]) for x in r]), set(i)) for n, r, i in zip(b.column("n").to_pylist(), b.column("runs").to_pylist(), b.column("items").to_pylist())]
+            judged = [verdict(n, merged([(x["a"], x["b"]) for x in r]), set(i)) for n, r, i in zip(b.column(words).to_pylist(), b.column(runs).to_pylist(), b.column(items).to_pylist())]
             yield answer(b, None, judged)
     return joined.mapInArrow(finish, schema)
 
 
-PART = pa.schema([("__row", pa.int64()), ("n", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+PART = pa.schema([("__row", pa.int64()), ("n", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", k: int = 5, window: int = 13, block_bytes: int = 1 << 23) -> DataFrame:

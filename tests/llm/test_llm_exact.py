@@ -341,3 +341,17 @@ def test_words_of_all_letters_before_punctuation():
     tokenizer = Tokenizer.from_file(path)
     bad = [w for w, e, s, z in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), offsets, offsets[1:]) if ids[s:z].tolist() != [*e.ids, 0]]
     assert not bad, bad[:20]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 23, 300])
+def test_contamination_with_named_items_and_clashing_columns(spark, block_bytes):
+    """Ids of any type in one block and in many; columns with the names that the code itself adds are kept."""
+    rng = random.Random(6)
+    items = [(f"item-{i}", prose(rng, 40)) for i in range(8)]
+    rows = [(i, prose(rng, 20) + " " + items[i][1] if i < 5 else prose(rng, 30), "x", "y", "z") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text string, __row string, __words string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, bench, block_bytes=block_bytes).collect()}
+    assert all(got[i].n_items == 1 and got[i].contaminated and got[i].items_sha256 == hashlib.sha256(f"item-{i}".encode()).hexdigest() for i in range(5))
+    kept = decontam.decontaminated(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[5:])
