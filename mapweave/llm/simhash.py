@@ -230,16 +230,31 @@ def wide_fingerprint(s: np.ndarray) -> list[int]:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of 2 to 4 bits a shingle, 64 or more: a bit is the parity of the shingles that fall on it."""
+    bits = 1 << max(6, math.ceil(math.log2(max(1, 2 * len(s)))))
+    at = (mixed(s) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, by their bitmaps: shared shingles cancel out."""
+    x, y = sorted((np.frombuffer(z, np.uint8) for z in (x, y)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # the longer one folded to the length of the other
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def _wide(shingle: int):
-    """Rows (doc_id, text) -> digest and size of the set of shingles, and its SimHash."""
+    """Rows (doc_id, text) -> digest and size of the set of shingles, its SimHash and its bitmap."""
     def run(batches):
         for b in batches:
             out = []
             for s in shingle_sets(b.column("text"), shingle):
                 sums = [int(mixed(s ^ U(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                out.append((*sums, len(s), *wide_fingerprint(s)))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "d", "e", "n", "a", "b"])
+                out.append((*sums, len(s), *wide_fingerprint(s), parity(s)))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "d", "e", "n", "a", "b", "p"])
     return run
 
 
@@ -308,9 +323,10 @@ def _shingles(shingle: int):
     return run
 
 
-def common_shingles(texts: DataFrame, shingle: int, rows: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, ids: DataFrame, shingle: int, rows: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a bounded sample hold, and how many; they only order the shingles, so they bear on time, not on results."""
-    part = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0).select("text")
+    chosen = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0
+    part = texts.where(chosen).join(ids.where(chosen), "id", "left_semi").select("text")
     counts = part.mapInArrow(_shingles(shingle), "token long").groupBy("token").count().where("count > 2")
     found = counts.orderBy(F.desc("count"), "token").limit(most).toArrow()  # at most `most` rows
     token, n = (found.column(i).to_numpy() for i in range(2))
@@ -331,21 +347,26 @@ def prefix(s: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: flo
     return s[:len(s) - math.ceil(similarity * len(s) - 1e-6) + 1] if len(s) else s
 
 
-def _postings(shingle: int, similarity: float, known: np.ndarray, counts: np.ndarray):
-    """Rows (id, root, text) -> (token, id, root, size, place) of each shingle of the prefix."""
+def _prefixes(shingle: int, similarity: float, known: np.ndarray, counts: np.ndarray):
+    """Rows (id, text) -> (id, firsts): the shingles of the prefix, in order."""
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                c = b.slice(at, 500)
-                sets = list(shingle_sets(c.column("text"), shingle))
-                firsts = [prefix(s, known, counts, similarity) for s in sets]
-                n = [len(f) for f in firsts]
-                cols = [np.concatenate(firsts).view(np.int64), *(np.repeat(c.column(k).to_numpy(), n) for k in ("id", "root")),
-                        np.repeat(np.array([len(s) for s in sets], np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "id", "root", "size", "place"])
+            firsts = [prefix(s, known, counts, similarity).tobytes() for s in shingle_sets(b.column("text"), shingle)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(firsts, pa.binary())], names=["id", "firsts"])
     return run
 
 
+def _postings(batches):
+    """Rows (id, root, size, firsts) -> (token, id, root, size, place) of each shingle of the prefix."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            c = b.slice(at, 500)
+            firsts = [np.frombuffer(f.as_py(), np.int64) for f in c.column("firsts")]
+            n = [len(f) for f in firsts]
+            cols = [np.concatenate(firsts), *(np.repeat(c.column(k).to_numpy(), n) for k in ("id", "root", "size")), np.concatenate([np.arange(k, dtype=np.int32) for k in n])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "id", "root", "size", "place"])
+
+
 def _prefix_pairs(similarity: float, chunk: int):
     """Postings in order -> all pairs of different roots whose places and sizes allow the similarity."""
     def run(batches):
@@ -387,13 +408,55 @@ def _alike(similarity: float):
     return run
 
 
+def _sift(similarity: float):
+    """Rows (u, v, nu, pu, nv, pv) -> the pairs that their bitmaps do not rule out, with the least number of shingles apart."""
+    def run(batches):
+        for b in batches:
+            nu, nv = (b.column(c).to_numpy() for c in ("nu", "nv"))
+            apart = np.array([least_apart(x.as_py(), y.as_py()) for x, y in zip(b.column("pu"), b.column("pv"))], np.int64)
+            keep = pa.array(apart <= nu + nv - 2 * least_common(nu, nv, similarity))
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep), pa.array(apart).filter(keep)], names=["u", "v", "apart"])
+    return run
+
+
+def sifted(pairs: DataFrame, classes: DataFrame, similarity: float, name: str) -> DataFrame:
+    """The pairs (u, v) of classes (id, n, p) that can have the similarity: no such pair is lost, few others stay."""
+    end = [classes.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("p").alias(f"p{e}")) for e in "uv"]
+    return saved(pairs.join(end[0], "u").join(end[1], "v").select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(_sift(similarity), "u long, v long, apart long"), name)
+
+
+def among(texts: DataFrame, nodes: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of texts whose id is in nodes (id, distinct). A filter of 2**bits bits is sent to all tasks (2**(bits - 6) rows
+    at most, whatever the number of nodes), so that most other texts are not shuffled; the join then decides."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    words = nodes.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
+    likely = texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word")
+    return likely.where(F.call_function("getbit", "bits", "bit") == 1).select("id", "text").join(nodes, "id")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
     """The pairs (u, v) whose texts (id, text) have the similarity, each tested by its sets of shingles."""
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = saved(texts.join(nodes, "id").select("id", "text").mapInArrow(_sets(shingle), "id long, s binary"), "sets")
+    nodes = saved(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "nodes")
+    sets = saved(among(texts, nodes).select("id", "text").mapInArrow(_sets(shingle), "id long, s binary"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     links = saved(joined.mapInArrow(_alike(similarity), "u long, v long"), name)
     discard(sets)
+    discard(nodes)
+    return links
+
+
+def nearest_links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (u, v) out of pairs (u, v, apart), not one for each pair: each v is tested with the u that seems nearest,
+    then each two trees that are still apart with the pair that seems nearest. What stays apart is left to the next pass."""
+    first = verified(pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"), texts, shingle, similarity, "alike")
+    roots = components(first, "trees")
+    for e in "uv":
+        pairs = pairs.join(roots.select(F.col("node").alias(e), F.col("root").alias(f"r{e}")), e, "left").withColumn(f"r{e}", F.coalesce(f"r{e}", e))
+    apart = pairs.where("ru != rv").groupBy(F.least("ru", "rv"), F.greatest("ru", "rv")).agg(F.min(F.struct("apart", "u", "v")).alias("x")).select("x.u", "x.v")
+    apart = saved(apart, "apart")
+    links = first.union(verified(apart, texts, shingle, similarity, "alike"))
+    discard(apart)
     return links
 
 
@@ -404,7 +467,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     these sets that share a 16-bit slice give first pairs, in each shard a forest of the nearest; those that pass the test of their
     sets join classes. Then every class sends its prefix, the rarest of its shingles, at least one of which any partner at the
     similarity has in its own prefix. All pairs that meet, are not joined yet and whose sizes and places allow the similarity are
-    tested by their sets. Texts without words are equal to each other. Repeated keys count as one document with the text that
+    compared by bitmaps, which rule out only pairs below the similarity; what is left is tested by the sets. Texts without words are equal to each other. Repeated keys count as one document with the text that
     sorts first.
     """
     spark = docs.sparkSession
@@ -413,24 +476,29 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     repeated = saved(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         rows = rows.join(repeated, "doc_id", "left_anti").union(rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text")))
-    prints = saved(rows.mapInArrow(_wide(shingle), "doc_id long, d long, e long, n long, a long, b long"), "wide")
-    classes = saved(prints.groupBy("d", "e", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    prints = saved(rows.mapInArrow(_wide(shingle), "doc_id long, d long, e long, n long, a long, b long, p binary"), "wide")
+    classes = saved(prints.groupBy("d", "e", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("a", "b", "p")]), "classes")
     texts = rows.withColumnRenamed("doc_id", "id")
 
     visits = classes.where("n > 0").mapInArrow(_slice_visits, "place long, id long, a long, b long")
     pairs = saved(visits.repartition(n, "place").sortWithinPartitions("place").mapInArrow(_slice_pairs(chunk), "u long, v long").distinct(), "nearest")
-    links = verified(pairs, texts, shingle, similarity, "alike")
+    near = sifted(pairs, classes, similarity, "near")
     discard(pairs)
+    links = nearest_links(near, texts, shingle, similarity)
+    discard(near)
     roots = components(links, "similar")
-    placed = saved(classes.where("n > 0").join(roots, classes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root")), "placed")
+    placed = classes.where("n > 0").join(roots, classes.id == roots.node, "left")
+    placed = saved(placed.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("int").alias("size")), "placed")
 
-    texts = texts.join(placed, "id").select("id", "root", "text")
-    known, counts = common_shingles(texts, shingle, placed.count())
-    postings = texts.mapInArrow(_postings(shingle, similarity, known, counts), "token long, id long, root long, size int, place int")
+    known, counts = common_shingles(texts, placed.select("id"), shingle, placed.count())
+    firsts = texts.mapInArrow(_prefixes(shingle, similarity, known, counts), "id long, firsts binary").join(placed, "id")
+    postings = firsts.mapInArrow(_postings, "token long, id long, root long, size int, place int")
     pairs = postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_prefix_pairs(similarity, chunk), "u long, v long").distinct()
     pairs = saved(pairs, "candidates")
-    links = links.union(verified(pairs, texts, shingle, similarity, "alike"))
+    left = sifted(pairs, classes, similarity, "left")
     discard(pairs)
+    links = links.union(verified(left.select("u", "v"), texts, shingle, similarity, "alike"))
+    discard(left)
     roots = components(links, "similar")
     named = classes.join(roots, classes.id == roots.node, "left").select("d", "e", "n", F.coalesce("root", "id").alias("component_id"))
     return prints.join(named, ["d", "e", "n"]).select("doc_id", "component_id")

@@ -125,6 +125,33 @@ def test_similar_texts_with_much_filler(spark):
     assert want == list(range(20)) and got == want
 
 
+def test_bitmaps_rule_out_no_similar_sets():
+    rng = np.random.default_rng(15)
+    for n in (1, 3, 31, 32, 33, 200, 5000):
+        for other in (0, 1, n // 9, n // 3, n):
+            for more in (0, n // 5, 2 * n):
+                x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                y = np.unique(np.concatenate([x[other:], rng.integers(0, 2**63, other + more, dtype=np.uint64)]))
+                apart = len(np.setxor1d(x, y))
+                found = simhash.least_apart(simhash.parity(x), simhash.parity(y))
+                assert found <= apart and found == simhash.least_apart(simhash.parity(y), simhash.parity(x))
+                assert (apart - found) % 2 == 0 and (apart > 1 or found == apart)
+                common = len(np.intersect1d(x, y))
+                if common >= 0.8 * (len(x) + len(y) - common):
+                    assert found <= len(x) + len(y) - 2 * simhash.least_common(len(x), len(y), 0.8)
+                if other == n >= 200 and not more:  # sets that share nothing
+                    assert found > len(x) + len(y) - 2 * simhash.least_common(len(x), len(y), 0.8)
+
+
+def test_among_keeps_all_asked_rows(spark):
+    texts = spark.range(3000).selectExpr("id", "string(id) text")
+    nodes = spark.range(0, 3000, 7)
+    for bits in (6, 10, 23):
+        got = simhash.among(texts, nodes, bits).collect()
+        assert sorted((r.id, r.text) for r in got) == [(i, str(i)) for i in range(0, 3000, 7)]
+    assert simhash.among(texts, nodes.where("id < 0")).count() == 0
+
+
 def test_similar_texts_of_repeated_passages(spark):
     """Nearly equal sets of shingles, one text repeats a passage; and many lone pairs just above the similarity."""
     rng, rows = random.Random(14), []
