@@ -10,7 +10,7 @@ into two at level 2L, so shards over the capacity are split further, down to sin
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +209,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 #: Eight slices of 16 bits; pairs of 128-bit hashes that meet in one and differ in at most NEAR bits are tried first.
 SLICE_BITS, NEAR = 16, 34
+#: Rows of a chunk that are compared with another chunk at once.
+STRIP = 256
 
 
 def shingle_sets(texts: pa.Array, shingle: int):
@@ -296,6 +298,11 @@ def grouped(batches):
                 yield [c[s:e] for c in cols]
 
 
+def strips(first: int, chunk: int):
+    """Slices of STRIP rows of a chunk: the comparison with another chunk needs memory for these only."""
+    return (slice(at, min(at + STRIP, first + chunk)) for at in range(first, first + chunk, STRIP))
+
+
 def _slice_pairs(chunk: int):
     """Shards in order -> of each shard a forest of its nearest pairs."""
     def run(batches):
@@ -303,14 +310,18 @@ def _slice_pairs(chunk: int):
             a, b = a.view(np.uint64), b.view(np.uint64)
             for o in range(0, len(ids), chunk):
                 for p in range(0, o + 1, chunk):
-                    m, n = slice(o, o + chunk), slice(p, p + chunk)
-                    d = np.bitwise_count(a[m, None] ^ a[None, n]) + np.bitwise_count(b[m, None] ^ b[None, n])
-                    i, j = np.nonzero(d <= NEAR)
-                    x, y, e = ids[m][i], ids[n][j], d[i, j]
-                    keep = x < y if o == p else x != y
-                    if keep.any():
-                        x, y = x[keep], y[keep]
-                        t = tree_of(x, y, e[keep])
+                    n, found = slice(p, p + chunk), []
+                    for m in strips(o, chunk):
+                        d = np.bitwise_count(a[m, None] ^ a[None, n]) + np.bitwise_count(b[m, None] ^ b[None, n])
+                        i, j = np.nonzero(d <= NEAR)
+                        x, y, e = ids[m][i], ids[n][j], d[i, j]
+                        keep = x < y if o == p else x != y
+                        x, y, e = x[keep], y[keep], e[keep]
+                        t = tree_of(x, y, e)
+                        found.append((x[t], y[t], e[t]))
+                    x, y, e = (np.concatenate(c) for c in zip(*found))
+                    if len(x):
+                        t = tree_of(x, y, e)
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[t], y[t])), pa.array(np.maximum(x[t], y[t]))], names=["u", "v"])
     return run
 
@@ -375,8 +386,8 @@ def _prefix_pairs(similarity: float, chunk: int):
                 continue
             rest = size - place  # shingles from this one on
             for o in range(0, len(ids), chunk):
-                for p in range(0, o + 1, chunk):
-                    m, n = slice(o, o + chunk), slice(p, p + chunk)
+                for p, m in product(range(0, o + 1, chunk), strips(o, chunk)):
+                    n = slice(p, p + chunk)
                     ok = np.minimum(rest[m, None], rest[None, n]) >= least_common(size[m, None], size[None, n], similarity)
                     i, j = np.nonzero(ok & (roots[m, None] != roots[None, n]))
                     x, y = ids[m][i], ids[n][j]
