@@ -19,7 +19,7 @@ ESC, STAND_IN = "\u0001", "\u0002"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9./-]?[0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])",
@@ -157,28 +157,30 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", length: str
     """docs with personal data in text replaced by pseudonyms; other columns stay, the column of lengths is brought up to date.
 
     counts adds n_email, n_date, n_ip, n_ssn, n_phone, n_card (long). A null text stays null with counts 0, an empty one stays empty.
-    Card numbers need a right check digit, dates must exist, numbers in an address must be below 256. Rows are handled one by
+    Card numbers need a right check digit, dates must exist, numbers in an address must be below 256 and have no leading zeros. Rows are handled one by
     one, so null and repeated keys are kept as they are.
     """
     value = F.col(f"`{text}`").cast("string")
     safe = F.replace(F.replace(value, F.lit(STAND_IN), F.lit(STAND_IN + "b")), F.lit(ESC), F.lit(STAND_IN + "a"))
     # every value holds a digit or an at sign
     pieces = F.split(F.when(value.rlike("[0-9@]"), F.regexp_replace(safe, f"({EVERY})", f"{ESC}$1{ESC}")).otherwise(safe), ESC)
-    marked = docs.withColumn("__pieces", pieces)
+    taken = {c.lower() for c in docs.columns}
+    held, made = (next(n for n in (f"_{kind}{i}" for i in range(len(taken) + 1)) if n not in taken) for kind in ("pieces", "new"))
+    marked = docs.withColumn(held, pieces)
     # every second piece is a value; texts without one have a single piece
-    named = F.transform("__pieces", lambda x, i: F.struct(x.alias("x"), F.when(i % 2 == 1, kind_of(x)).alias("k")))
-    marked = marked.withColumn("__pieces", F.when(F.size("__pieces") > 1, named))
+    named = F.transform(held, lambda x, i: F.struct(x.alias("x"), F.when(i % 2 == 1, kind_of(x)).alias("k")))
+    marked = marked.withColumn(held, F.when(F.size(held) > 1, named))
 
     def new(p: Column) -> Column:
         out = None
         for k, f in KINDS.items():
             out = F.when(p["k"] == F.lit(k), f(p["x"], secret)) if out is None else out.when(p["k"] == F.lit(k), f(p["x"], secret))
         return out.otherwise(F.replace(F.replace(p["x"], F.lit(STAND_IN + "a"), F.lit(ESC)), F.lit(STAND_IN + "b"), F.lit(STAND_IN)))
-    fresh = F.when(F.col("__pieces").isNull(), value).otherwise(F.array_join(F.transform("__pieces", new), ""))
-    out = marked.withColumn("__new", fresh)
-    cols = [F.col("__new").alias(text) if n == text else F.when(F.col("__pieces").isNull(), F.col(f"`{n}`")).otherwise(F.length("__new")).cast(docs.schema[n].dataType).alias(n) if n == length else F.col(f"`{n}`") for n in docs.columns]
+    fresh = F.when(F.col(held).isNull(), value).otherwise(F.array_join(F.transform(held, new), ""))
+    out = marked.withColumn(made, fresh)
+    cols = [F.col(made).alias(text) if n == text else F.when(F.col(held).isNull(), F.col(f"`{n}`")).otherwise(F.length(made)).cast(docs.schema[n].dataType).alias(n) if n == length else F.col(f"`{n}`") for n in docs.columns]
 
     def tally(k: str) -> Column:
-        found = F.size(F.filter("__pieces", lambda p: p["k"] == F.lit(k)))
-        return F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(found).cast("long").alias(f"n_{k}")
+        found = F.size(F.filter(held, lambda p: p["k"] == F.lit(k)))
+        return F.when(F.col(held).isNull(), F.lit(0)).otherwise(found).cast("long").alias(f"n_{k}")
     return out.select(*cols, *[tally(k) for k in KINDS if counts])

@@ -10,6 +10,7 @@ from mapweave.llm import decontam, embed, idstore, merkle, middle, packing, pii,
 LIMIT = 2048
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+#: A stand-in for the secret, which a caller passes as `key`.
 PII_KEY = "rotate-me"
 
 
@@ -49,8 +50,8 @@ def op8_secret_scan(spark, d):
     return secrets.secrets(table(spark, d, "documents"))
 
 
-def op9_pii_pseudonyms(spark, d):
-    out = pii.pseudonymised(table(spark, d, "documents"), PII_KEY, counts=True)
+def op9_pii_pseudonyms(spark, d, key=PII_KEY):
+    out = pii.pseudonymised(table(spark, d, "documents"), key, counts=True)
     return out.select("doc_id", "text", *[F.col(f"n_{k}") for k in pii.KINDS])
 
 

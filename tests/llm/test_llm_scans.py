@@ -183,8 +183,15 @@ def test_pseudonyms_are_permutations(spark):
     assert pseudonyms(spark, ips) == pseudonyms(spark, ips)
 
 
+def test_pseudonyms_overwrite_no_column(spark):
+    names = ["doc_id", "text", "n_chars", "__pieces", "__new", "_pieces0", "_NEW0", "a.b"]
+    df = spark.createDataFrame([(1, "call +1 (319) 555-5132", 22, "p", "n", "q", "m", "d")], names)
+    got = pii.pseudonymised(df, "k")
+    assert got.columns == names and list(got.first())[3:] == ["p", "n", "q", "m", "d"] and got.first().text != df.first().text
+
+
 def test_refuted_values_stay(spark):
-    values = ["4799134681044207", "0000000000000000", "2023-02-30", "256.1.1.1", "1.2.3.4.5", "version 2.0.", "000-12-3456", "a@b", "12345", "1/2", "\x01 odd \x02 \x02a marks"]
+    values = ["01.2.3.4", "1.2.3.04", "1.02.3.4", "4799134681044207", "0000000000000000", "2023-02-30", "256.1.1.1", "1.2.3.4.5", "version 2.0.", "000-12-3456", "a@b", "12345", "1/2", "\x01 odd \x02 \x02a marks"]
     assert pseudonyms(spark, values) == values
 
 
