@@ -95,7 +95,7 @@ def decide(sources: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         F.when(is_gap, "No candidate passed the retrieval/scope gates.").otherwise(F.concat(
             F.lit("combined="), two_digits(combined), F.lit("; action_object="), two_digits(ao))).alias("scoring_rationale"),
         F.lit(None).cast("boolean").alias("same_functional_domain"), F.lit("").alias("b_contribution"),
-        none().alias("gap_dimensions"))
+        none().alias("gap_dimensions"), F.lit("").alias("dimension_scores"))
 
 
 JUDGEMENT = ("struct<selected_candidate_ids:string,relation_type:string,equivalence_level:string,coverage_level:string,"
@@ -151,6 +151,8 @@ def decisions_from_judgements(sources: DataFrame, judgements: DataFrame, p: Para
         "gap_items": gap_items(gaps), "mapping_risk": text("mapping_risk"),
         "scoring_rationale": text("scoring_rationale"), "same_functional_domain": tri_bool(j["same_functional_domain"]),
         "b_contribution": text("b_contribution"), "gap_dimensions": id_list(F.coalesce(j["gap_dimensions"], F.lit(""))),
+        # the JSON text of an object; anything else, and an empty object, counts as none
+        "dimension_scores": F.when(j["dimension_scores"].rlike(r"^\{[^}]"), j["dimension_scores"]).otherwise(""),
     }
     # sources without candidates never reach the judge
     asked = (F.size("candidates") > 0) & ~is_obvious_gap(F.try_element_at("candidates", F.lit(1)), p)

@@ -35,6 +35,9 @@ def check_common(compared: DataFrame) -> None:
         raise ValueError("no id occurs on both sides")
 
 
+METRICS = ["n", "exact", "within_one", "exact_rate", "within_rate", "over", "under", "mean_signed_error"]
+
+
 def metrics(compared: DataFrame, *by: Column) -> DataFrame:
     d, n = F.col("diff"), F.count(F.lit(1))
     return compared.groupBy(*by).agg(

@@ -154,19 +154,48 @@ def _(spark, d):
 
 
 # ---- output tables ------------------------------------------------------------------------------
-@query("K1_parent_table", f"""SELECT parent AS source_control_id, {X.bucket('cov')} AS coverage_level, array_to_string(ts, ', ') AS target_control_ids,
-  CASE WHEN cov % 3 = 0 THEN 'x Fully covers this requirement.' ELSE 'Gap.' END AS gap, '' AS detailed_gap FROM ({RQ.PARENTS})""")
+def written(spark, tables: dict, name: str):
+    """One of the tables, read back after all were published."""
+    path = SH.new_folder(spark, "output")
+    K.publish(tables, path, "run")
+    return K.published(spark, path, name)
+
+
+_LABEL = f"CASE {X.bucket('cov')} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in L.BUCKET_LABELS.items()) + " END"
+
+
+@query("K1_parent_table", f"""SELECT 'A' AS source_regulation, parent AS source_control_id, req AS source_requirement, domain AS category, 'B' AS target_regulation,
+  array_to_string(ts, ', ') AS target_control_ids, array_to_string([('Text of ' || t) FOR t IN ts], chr(10) || '---' || chr(10)) AS target_requirements,
+  {_LABEL} AS coverage_relationship, {X.bucket('cov')} AS coverage_level, CASE WHEN cov % 3 = 0 THEN 'x Fully covers this requirement.' ELSE 'Gap.' END AS gap,
+  '' AS detailed_gap, CASE WHEN cov < 99.5 AND cov % 3 <> 0 AND length(parent) > 3 THEN '• do this.' || chr(10) || '• and that!' ELSE '' END AS action_plan,
+  risk AS review_priority FROM ({RQ.PARENTS})""")
 def _(spark, d):
-    t = K.parent_table(planned(spark, d).withColumn("review_priority", F.lit("Low")), "A", "B")
-    return t.select("source_control_id", "coverage_level", "target_control_ids", "gap", "detailed_gap")
+    rows = planned(spark, d).withColumn("review_priority", F.col("mapping_risk"))
+    return written(spark, {"parents": K.parent_table(rows, "A", "B")}, "parents")
 
 
-@query("K2_atomic_table", f"""SELECT regexp_replace(source_id, '__row_\\d+', '', 'g') AS source_atomic_id, array_to_string(targets, ', ') AS target_atomic_ids, cov AS coverage_level,
-  len(targets) AS n_targets FROM ({DQ.RULE_DECISIONS})""")
+_KIND = X.lookup("regexp_replace(lower(trim(gt)), '[^a-z0-9]+', '_', 'g')", L.PARENT_GAP_ALIASES, "CASE WHEN trim(gt) = '' THEN '' ELSE 'partial_gap' END")
+_LINE = """{i} || '. ' || id{i} || ' | combined=' || c{i} || ' | action_object=' || ao{i} || ' | semantic=' || s{i} || ' | gate=pass'"""
+
+
+@query("K2_atomic_table", f"""SELECT 'A' AS source_regulation, regexp_replace(source_id, '__row_\\d+', '', 'g') AS source_atomic_id,
+  regexp_replace(source_parent_id, '__row_\\d+', '', 'g') AS source_parent_id, 'text ' || k AS source_requirement, source_category, 'B' AS target_regulation,
+  array_to_string(targets, ', ') AS target_atomic_ids, array_to_string([('text of ' || t) FOR t IN targets], chr(10) || '---' || chr(10)) AS target_requirements,
+  CASE WHEN lower(rel) = 'conflict' OR kind = 'conflict_gap' THEN 'Conflicting' WHEN lower(rel) = 'not_covered' THEN 'Not covered' WHEN cov >= 99.5 THEN 'Exact coverage'
+    WHEN cov >= 80 THEN CASE WHEN kind = 'implementation_detail_gap' THEN 'Implementation details missing' ELSE 'Mostly covered' END WHEN cov >= 60 THEN 'Largely covered'
+    WHEN cov >= 40 THEN CASE WHEN kind = 'implementation_detail_gap' THEN 'Implementation details missing' ELSE 'Partially covered' END
+    WHEN cov >= 20 THEN 'Indirectly covered' WHEN cov >= 10 THEN 'Very weakly covered' ELSE 'Not covered' END AS coverage_relationship,
+  gt AS gap_type, cov::INT AS coverage_level, mt AS match_type, CASE WHEN k % 3 = 0 THEN '{{"action":' || (k % 101) || '}}' ELSE '' END AS dimension_scores,
+  CASE WHEN k % 2 = 0 THEN 'scope; actor' ELSE '' END AS gap_dimensions, gap, '' AS recommendation, '' AS scoring_rationale,
+  CASE WHEN has_c THEN {_LINE.format(i=1)} || chr(10) || {_LINE.format(i=2)} ELSE '' END AS candidate_diagnostics
+  FROM (SELECT *, {_KIND} AS kind FROM ({DQ.RULE_DECISIONS}))""")
 def _(spark, d):
-    t = K.atomic_table(DQ.rule_decisions(spark, d), "A", "B")
-    n = F.when(F.col("target_atomic_ids") == "", 0).otherwise(F.size(F.split("target_atomic_ids", ", ")))
-    return t.select("source_atomic_id", "target_atomic_ids", "coverage_level", n.cast("long").alias("n_targets"))
+    k = F.col("k")
+    rows = DQ.rule_decisions(spark, d).withColumns({
+        "source_requirement": F.concat(F.lit("text "), k.cast("string")),
+        "dimension_scores": F.when(k % 3 == 0, F.concat(F.lit('{"action":'), (k % 101).cast("string"), F.lit("}"))).otherwise(""),
+        "gap_dimensions": F.when(k % 2 == 0, F.array(F.lit("scope"), F.lit("actor"))).otherwise(none())})
+    return written(spark, {"atoms": K.atomic_table(rows, "A", "B")}, "atoms")
 
 
 Q["K3_coverage_by_category"], S["K3_coverage_by_category"] = RQ.Q["A10_coverage_by_category"], RQ.S["A10_coverage_by_category"]
@@ -178,17 +207,75 @@ def _(spark, d):
     return K.category_quality_table(FX.decisions(spark, d))
 
 
-@query("K5_consolidated_table", f"""SELECT 'CONS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS consolidated_id, a AS source_id_a,
-  replace(b, ',', ', ') AS source_ids_b, origin, cov AS coverage_a_to_b FROM (SELECT *, row_number() OVER (ORDER BY pass_no, group_order, a, b) AS n FROM ({RQ.U_ROWS}))""")
+_NUMBERED = f"SELECT *, row_number() OVER (ORDER BY pass_no, group_order, a, b) AS n FROM ({RQ.U_ROWS})"
+_CONS = "'CONS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS consolidated_id"
+
+
+def merged_table(spark, d, name):
+    return written(spark, K.consolidated_tables(SH.saved(RQ.merged(spark, d), "merged"), "Left", "Right"), name)
+
+
+@query("K5_consolidated_table", f"""SELECT {_CONS}, n.category, text AS consolidated_text, origin, cov AS coverage_a_to_b, a AS source_id_a,
+  CASE WHEN pass_no = 1 THEN ga.requirement ELSE '' END AS source_text_a, replace(b, ',', ', ') AS source_ids_b,
+  CASE WHEN pass_no = 1 THEN array_to_string([('Text of ' || t) FOR t IN ga.ts[1:2]], ' | ') ELSE gb.requirement END AS source_text_b,
+  CASE WHEN pass_no = 1 THEN array_to_string(ga.bc[1:3], ' ') ELSE '' END AS b_contribution, gap AS gap_a_to_b
+  FROM ({_NUMBERED}) n LEFT JOIN ({RQ.GROUPS_A}) ga ON n.a = ga.parent LEFT JOIN ({RQ.GROUPS_B}) gb ON pass_no > 1 AND n.b = gb.parent""")
+def _(spark, d):
+    return merged_table(spark, d, "consolidated")
+
+
+@query("K5_traceability", f"SELECT {_CONS}, category, origin, cov AS coverage_a_to_b, a AS source_id_a, replace(b, ',', ', ') AS source_ids_b FROM ({_NUMBERED})")
 def _(spark, d):
-    return K.traceability_table(RQ.merged(spark, d)).select("consolidated_id", "source_id_a", "source_ids_b", "origin", "coverage_a_to_b")
+    return merged_table(spark, d, "traceability")
 
 
-@query("K6_category_examples", f"""{TQ.FULL} SELECT doc_id::VARCHAR AS control_id, primary_category AS category, secondary FROM z
-  WHERE status = 'multi_domain' OR secondary <> '' ORDER BY doc_id LIMIT 200""")
+@query("K5_summary", f"""SELECT u.position::INT AS position, ['source_framework_a', 'source_framework_b', 'total', 'a_enriched', 'b_only', 'b_supplemental', 'avg_coverage_a_to_b'][u.position] AS metric,
+  v[u.position] AS value FROM (SELECT ['Left', 'Right', count(*)::VARCHAR, (count(*) FILTER (origin = 'A_enriched'))::VARCHAR, (count(*) FILTER (origin = 'B_only'))::VARCHAR,
+  (count(*) FILTER (origin = 'B_supplemental'))::VARCHAR, round_even(avg(cov) FILTER (origin = 'A_enriched'), 0)::INT || '%'] AS v FROM ({RQ.U_ROWS})), unnest(range(1, 8)) AS u(position)
+  WHERE v[u.position] IS NOT NULL""")
 def _(spark, d):
-    a = T.apply_to_atoms(TQ.classified(spark, d))
-    return K.category_examples(a, "multi", order="doc_id").select("control_id", "category", F.replace("secondary", F.lit("; "), F.lit(",")).alias("secondary"))
+    return merged_table(spark, d, "summary")
+
+
+def quality_table(spark, d, name):
+    atoms = SH.saved(T.apply_to_atoms(TQ.classified(spark, d)), "atoms")
+    return written(spark, K.category_report(atoms, "doc_id"), name)
+
+
+_EXAMPLE = """SELECT doc_id::VARCHAR AS control_id, oc AS original_category, primary_category AS category, replace(secondary, ',', '; ') AS secondary,
+  round(confidence, 6) AS category_confidence, status AS category_status, method AS category_method FROM z"""
+
+
+def examples(spark, d, kind):
+    return quality_table(spark, d, kind).withColumn("category_confidence", F.round("category_confidence", 6))
+
+
+@query("K6_category_examples", f"{TQ.FULL} {_EXAMPLE} WHERE status = 'multi_domain' OR secondary <> '' ORDER BY doc_id LIMIT 200")
+def _(spark, d):
+    return examples(spark, d, "multi")
+
+
+@query("K6_low_confidence", f"{TQ.FULL} {_EXAMPLE} WHERE confidence < 0.6 ORDER BY doc_id LIMIT 200")
+def _(spark, d):
+    return examples(spark, d, "low")
+
+
+@query("K6_changed", f"{TQ.FULL} {_EXAMPLE} WHERE oc <> '' AND oc <> primary_category ORDER BY doc_id LIMIT 200")
+def _(spark, d):
+    return examples(spark, d, "changed")
+
+
+@query("K6_distribution", f"{TQ.FULL} SELECT primary_category AS category, count(*) AS atoms FROM z GROUP BY 1")
+def _(spark, d):
+    return quality_table(spark, d, "distribution")
+
+
+@query("K6_summary", f"""{TQ.FULL} SELECT u.position::INT AS position, ['framework', 'total_atoms', 'low_confidence', 'medium_confidence', 'changed', 'multi_domain', 'recommended_match_scope'][u.position]
+  AS metric, v[u.position] AS value FROM (SELECT ['A', count(*)::VARCHAR, (count(*) FILTER (confidence < 0.6))::VARCHAR, (count(*) FILTER (confidence >= 0.6 AND confidence < 0.85))::VARCHAR,
+  (count(*) FILTER (oc <> '' AND oc <> primary_category))::VARCHAR, (count(*) FILTER (status = 'multi_domain' OR secondary <> ''))::VARCHAR, 'soft_enisa'] AS v FROM z),
+  unnest(range(1, 8)) AS u(position)""")
+def _(spark, d):
+    return quality_table(spark, d, "summary")
 
 
 @query("K7_keyed_append", """SELECT user_id AS key, arg_min(event_type, event_id) AS decision, count(DISTINCT user_id) AS n FROM events GROUP BY 1""")
@@ -200,14 +287,53 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("key", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("K8_run_report", f"""SELECT 'steps.' || step || '.' || status || '.n' AS metric, count(*)::VARCHAR AS value FROM ({RQ.LOG}) GROUP BY step, status
-  UNION ALL SELECT 'categories.' || category || '.n', count(*)::VARCHAR FROM ({RQ.CAND}) GROUP BY category""")
+def _long(prefix: str, sql: str, values: list[str], *keys: str) -> str:
+    """Rows of sql as (metric, value), named as `run_report` names them."""
+    name = " || '.' || ".join([X.q(prefix), *keys])
+    return " UNION ALL ".join(f"""SELECT {name} || '.{v}' AS metric, "{v}"::VARCHAR AS value FROM ({sql})""" for v in values)
+
+
+_REPORT = [
+    _long("summary", f"""SELECT count(*) AS events, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (step = 'candidate_generation') AS candidate_events
+      FROM ({RQ.LOG})""", ["events", "errors", "candidate_events"]),
+    _long("steps", RQ.S["L1_step_counts"], ["n"], "step", "status"), _long("scores", RQ.S["L2_score_stats"], ["avg", "min", "max"], "metric"),
+    _long("buckets", RQ.S["L3_score_buckets"], ["n", "percent"], "bucket"), _long("zero_action_object", RQ.S["L4_zero_action_object"], ["zero", "events", "percent"]),
+    _long("reuse", RQ.S["L5_reuse_stats"], ["miss", "hit", "shortcut", "no_candidate"]),
+    _long("corrections", RQ.S["L6_correction_rate"], ["corrected", "reviewed", "rate", "alert"]),
+    _long("categories", RQ.S["L8_events_per_category"], ["n"], "category"),
+    _long("stages", RQ.S["L7_stage_timing"] , ["seconds"], "stage")]
+
+
+@query("K8_run_report", f"SELECT * FROM ({' UNION ALL '.join(_REPORT)}) WHERE metric <> 'stages.Reviews.seconds'")
 def _(spark, d):
-    r = K.run_report(RQ.run_log(spark, d))
-    return r.filter(F.startswith("metric", F.lit("steps.")) | F.startswith("metric", F.lit("categories.")))
+    return written(spark, K.run_tables(RQ.run_log(spark, d)), "report")
+
 
+Q["K8_errors"], S["K8_errors"] = lambda spark, d: written(spark, K.run_tables(RQ.run_log(spark, d)), "errors"), RQ.S["L1_errors"]
+Q["K8_batches"], S["K8_batches"] = lambda spark, d: written(spark, K.run_tables(RQ.run_log(spark, d)), "batches"), RQ.S["L6_batch_rows"]
 
-Q["K9_agreement_detail"], S["K9_agreement_detail"] = RQ.Q["E4_differences"], RQ.S["E4_differences"]
+
+def agreement(spark, d, name):
+    return written(spark, K.agreement_tables(SH.saved(RQ.agent(spark, d), "agent"), SH.saved(RQ.gold(spark, d), "gold")), name)
+
+
+@query("K9_agreement_detail", RQ.S["E4_differences"])
+def _(spark, d):
+    return agreement(spark, d, "detail")
+
+
+_MEASURES = ["n", "exact", "within_one", "exact_rate", "within_rate", "over", "under", "mean_signed_error", "agent_ids", "gold_ids"]
+
+
+@query("K9_agreement_metrics", " UNION ALL ".join(f"""SELECT {i} AS position, '{m}' AS metric, "{m}"::VARCHAR AS value FROM (SELECT *, (SELECT count(*) FROM ({RQ.AGENT})) AS agent_ids,
+  (SELECT count(*) FROM ({RQ.GOLD})) AS gold_ids FROM ({RQ.S['E5_E6_agreement']}))""" for i, m in enumerate(_MEASURES, 1)))
+def _(spark, d):
+    return agreement(spark, d, "metrics")
+
+
+@query("K9_one_sided", RQ.S["E7_one_sided"])
+def _(spark, d):
+    return agreement(spark, d, "one_sided")
 
 
 # ---- stream -------------------------------------------------------------------------------------
