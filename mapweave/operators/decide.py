@@ -16,7 +16,7 @@ from mapweave.functions.values import (GAP_ITEM, first_text, gap_items, number_t
                                        tolerant_float, tolerant_int,
                                        tri_bool)
 from mapweave.operators.ranking import position_rank
-from mapweave.operators.rules import TEXTS, append, correct, gap_item, none, two_digits
+from mapweave.operators.rules import TEXTS, append, correct, fold, gap_item, none, state_of, two_digits, with_state  # noqa: F401
 from mapweave.params import DEFAULTS, Params
 
 CANDIDATE = ("struct<candidate_id:string,parent_id:string,requirement:string,parent_requirement:string,"
@@ -111,9 +111,9 @@ def id_list(c: Column) -> Column:
     return F.when(F.startswith(F.trim(c), F.lit("[")), F.coalesce(listed, none())).otherwise(split_list(c))
 
 
-def selected_targets(df: DataFrame, ids: Column) -> dict[str, Column]:
+def selected_targets(candidates: Column, ids: Column) -> dict[str, Column]:
     """Target columns for selected ids, looked up in the candidate array; parents distinct in order."""
-    chosen = F.transform(ids, lambda i: F.filter("candidates", lambda c: c["candidate_id"] == i)[0])
+    chosen = F.transform(ids, lambda i: F.filter(candidates, lambda c: c["candidate_id"] == i)[0])
     distinct = lambda f: F.array_distinct(F.filter(F.transform(chosen, f), lambda x: x != ""))
     return {
         "selected_ids": ids, "target_ids": ids,
@@ -142,7 +142,7 @@ def decisions_from_judgements(sources: DataFrame, judgements: DataFrame, p: Para
     gaps = first_text(F.when(j["gap_items"] != "[]", j["gap_items"]), j["residual_gaps"])
     kind = first_text(j["gap_type"], j["gap_classification"])
     judged = {
-        **selected_targets(df, ids),
+        **selected_targets(F.col("candidates"), ids),
         "relation_type": text("relation_type", "gap"), "equivalence_level": text("equivalence_level", "Gap"),
         "coverage_level": cov, "match_type": text("match_type", "None"), "confidence": tolerant_float(j["confidence"]),
         "justification": text("justification"), "gap": text("gap"),
@@ -216,38 +216,40 @@ def _whole(text: Column) -> Column:
     return F.when(F.abs(x) < 1e6, x).cast("int")
 
 
+def corrected(s, c: Column) -> dict[str, Column]:
+    """The fields that one correction changes; empty and unreadable ones change nothing."""
+    shown = F.transform(s("candidates"), lambda x: x["candidate_id"])
+    ids = F.filter(c["ids"], lambda i: F.array_contains(shown, i))
+    targets = {n: F.when(F.size(ids) > 0, v).otherwise(s(n)) for n, v in selected_targets(s("candidates"), ids).items()}
+    return {**{n: F.when(c[n] != "", c[n]).otherwise(s(n)) for n in OVERWRITABLE}, **targets,
+            **{n: F.coalesce(c[n], s(n)) for n in ("coverage_level", "confidence", "gap_items")}}
+
+
 def apply_corrections(decisions: DataFrame, corrections: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Supplied corrections (source_id, batch_no, position, correction JSON) on top of decisions.
 
-    Fields of all corrections of a decision apply in order of batch and position, so the latest non-empty value
-    of each field wins; then the rules run again without the action/object cap. Untouched rows pass unchanged.
+    The corrections of a decision apply one after another by batch and position, and after each the rules run without the
+    action/object cap, so a later one sees what the rules made of the earlier. Unreadable corrections count as none; the last
+    readable one is kept in review_notes. Untouched rows pass unchanged. The corrections of one decision, a row each time it
+    is reviewed, meet in one array.
     """
-    names = OVERWRITABLE + ["coverage_level", "confidence", "gap_items", "residual_gaps", "selected_candidate_ids", "target_ids"]
-    raw = F.from_json("correction", "map<string,string>")
+    read = F.from_json("correction", "map<string,string>")
     value = lambda n: first_text(F.col("_c")[n], F.col("_c")[f"corrected_{n}"])
-    rows = corrections.withColumn("_c", raw).filter(F.col("_c").isNotNull())
-    at = F.struct("batch_no", "position")
-    latest = rows.select("source_id", at.alias("_at"), "correction", *[value(n).alias(n) for n in names]).groupBy(
-        "source_id").agg(F.max_by("correction", "_at").alias("review_notes"), *[
-            F.coalesce(F.max_by(F.when(F.col(n) != "", F.col(n)), F.when(F.col(n) != "", F.col("_at"))), F.lit("")).alias(f"_{n}")
-            for n in names])
-    j = decisions.join(latest, "source_id", "left")
-    hit = F.col("review_notes").isNotNull()
+    items = first_text(F.col("_c")["gap_items"], F.col("_c")["residual_gaps"])
+    one = F.struct(
+        "batch_no", "position", *[value(n).alias(n) for n in OVERWRITABLE], _whole(value("coverage_level")).alias("coverage_level"),
+        value("confidence").try_cast("double").alias("confidence"), F.when(F.startswith(F.trim(items), F.lit("[")), gap_items(items)).alias("gap_items"),
+        id_list(first_text(value("selected_candidate_ids"), value("target_ids"))).alias("ids"), "correction")
+    ordered = corrections.withColumn("_c", read).filter(F.col("_c").isNotNull()).select("source_id", one.alias("_one")).groupBy("source_id").agg(
+        F.array_sort(F.collect_list("_one")).alias("_all"))
+    hit = F.col("_all").isNotNull()
+    j = decisions.join(ordered, "source_id", "left").withColumn("review_notes", F.try_element_at("_all", F.lit(-1))["correction"])
     if "pre_review_coverage" not in decisions.columns:
         j = j.withColumn("pre_review_coverage", F.lit(None).cast("int"))
     j = put(j, hit, pre_review_coverage=F.coalesce("pre_review_coverage", "coverage_level"))
-    j = put(j, hit, **{n: F.when(F.col(f"_{n}") != "", F.col(f"_{n}")).otherwise(F.col(n)) for n in OVERWRITABLE})
-    items = first_text(F.col("_gap_items"), F.col("_residual_gaps"))
-    ids = id_list(first_text(F.col("_selected_candidate_ids"), F.col("_target_ids")))
-    shown = F.transform("candidates", lambda c: c["candidate_id"])
-    j = j.withColumn("_ids", F.filter(ids, lambda i: F.array_contains(shown, i)))
-    j = put(j, hit, coverage_level=F.coalesce(_whole(F.col("_coverage_level")), F.col("coverage_level")),
-            confidence=F.coalesce(F.col("_confidence").try_cast("double"), F.col("confidence")),
-            gap_items=F.when(F.startswith(F.trim(items), F.lit("[")), gap_items(items)).otherwise(
-                F.col("gap_items").cast(f"array<{GAP_ITEM}>")))
-    j = put(j, hit & (F.size("_ids") > 0), **selected_targets(j, F.col("_ids")))
+    state = fold(state_of(j.columns), F.col("_all"), corrected, p, cap=False)
     keep = decisions.columns + [c for c in ("pre_review_coverage", "review_notes") if c not in decisions.columns]
-    return correct(j.select(*keep), p, cap=False, when=hit)
+    return with_state(j, state, hit).select(*keep)
 
 
 LAYOUT = ("target_block_rows", "source_block_rows", "max_pivots")

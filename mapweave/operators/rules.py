@@ -337,23 +337,48 @@ def cascade(p: Params, cap: bool) -> list:
     return steps + [label_not_covered, gap_taxonomy, relation_taxonomy, fill_texts]
 
 
-def correct(decisions: DataFrame, p: Params = DEFAULTS, cap: bool = True, when: Column | None = None) -> DataFrame:
-    """Run the rules in their fixed order; cap=False leaves out the action/object cap (reviewed rows).
-
-    With `when`, rows that do not satisfy it keep their columns.
-    """
+def state_of(columns) -> Column:
+    """The struct of a decision's columns that the rules read and change."""
     ruled = [F.col(n).cast(t).alias(n) for n, t in TYPES.items()]
-    state = F.struct(
-        *ruled, F.col("same_functional_domain"), F.col("candidates"), best_candidate(F.col("candidates")).alias("best"),
-        F.lit(False).alias("done"), F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("selected_ao"),
-        F.lit(None).cast("int").alias("upgrade"))
+    kept = [F.col(n) for n in columns if n in ("same_functional_domain", "candidates")]
+    return F.struct(*ruled, *kept, best_candidate(F.col("candidates")).alias("best"), *marks())
+
+
+def marks() -> list[Column]:
+    return [F.lit(False).alias("done"), F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("selected_ao"),
+            F.lit(None).cast("int").alias("upgrade")]
+
+
+def settle(state: Column, p: Params, cap: bool) -> Column:
+    """The struct after all rules in their fixed order."""
     for rule in cascade(p, cap):
         state = _bind(state, rule, p)
+    return state
+
+
+def fold(state: Column, changes: Column, change, p: Params, cap: bool) -> Column:
+    """Apply the changes of an array one after another, each followed by all rules.
+
+    change: function (State, element) -> values by column name.
+    """
+    def step(before: Column, element: Column) -> Column:
+        s = State(before)
+        return settle(s.put(F.lit(True), **change(s, element), done=False, kind=F.lit(None).cast("string"), selected_ao=0.0, upgrade=F.lit(None).cast("int")), p, cap)
+    return F.aggregate(changes, state, step)
+
+
+def with_state(decisions: DataFrame, state: Column, when: Column | None = None) -> DataFrame:
+    """decisions with the ruled columns of the struct; rows that do not satisfy `when` keep theirs."""
     out = decisions.withColumn("_s", F.when(when, state) if when is not None else state)
     done = lambda n: F.col(f"_s.{n}") if when is None else F.when(when, F.col(f"_s.{n}")).otherwise(
         F.col(n).cast(TYPES[n]))
     return out.select(*[done(c).alias(c) if c in TYPES else F.col(c) for c in decisions.columns])
 
 
+def correct(decisions: DataFrame, p: Params = DEFAULTS, cap: bool = True) -> DataFrame:
+    """Run the rules in their fixed order; cap=False leaves out the action/object cap (reviewed rows)."""
+    return with_state(decisions, settle(state_of(decisions.columns), p, cap))
+
+
 def _bind(state: Column, rule, p: Params) -> Column:
     return F.transform(F.array(state), lambda v: rule(State(v), p))[0]

@@ -374,15 +374,15 @@ def corrections(spark, d):
     return first.union(second)
 
 
-_CORRECTED = f"""SELECT * REPLACE (CASE WHEN hit THEN 'partial' ELSE rel END AS rel, CASE WHEN hit THEN (k * 3) % 11 * 10 ELSE cov END AS cov,
-    CASE WHEN hit AND k % 3 = 0 THEN 'Medium' WHEN hit THEN 'Low' ELSE risk END AS risk,
-    CASE WHEN hit AND k % 3 = 0 THEN 0 ELSE n_items END AS n_items, CASE WHEN hit AND k % 3 = 0 THEN false ELSE material END AS material,
-    CASE WHEN hit AND k % 3 = 0 AND has_c THEN [id2] ELSE targets END AS targets), coalesce(pre_review_coverage, cov) AS before
-  FROM (SELECT *, k % 4 <> 0 AS hit FROM ({RULE_DECISIONS}))"""
+#: The rules run after each correction: once over all corrected rows, again over those with a second one.
+_ONCE = sql_cascade(f"""SELECT * REPLACE ('partial' AS rel, (k * 3) % 11 * 10 AS cov, 'Low' AS risk), coalesce(pre_review_coverage, cov) AS before
+  FROM ({RULE_DECISIONS}) WHERE k % 4 <> 0""", cap=False)
+_TWICE = sql_cascade(f"""SELECT * EXCLUDE (bc, bs, bst, bao, bcp, bid, kind, done, mao) REPLACE ('Medium' AS risk, 0 AS n_items, false AS material,
+  CASE WHEN has_c THEN [id2] ELSE targets END AS targets) FROM ({_ONCE}) WHERE k % 3 = 0""", cap=False)
 
 
-@query("D20_apply_corrections", f"""SELECT {OUTCOME}, before AS pre_review_coverage FROM ({sql_cascade(_CORRECTED, cap=False)}) WHERE hit
-  UNION ALL SELECT {OUTCOME}, pre_review_coverage FROM ({RULE_DECISIONS}) WHERE k % 4 = 0""")
+@query("D20_apply_corrections", f"""SELECT {OUTCOME}, before AS pre_review_coverage FROM ({_ONCE}) WHERE k % 3 <> 0
+  UNION ALL SELECT {OUTCOME}, before FROM ({_TWICE}) UNION ALL SELECT {OUTCOME}, pre_review_coverage FROM ({RULE_DECISIONS}) WHERE k % 4 = 0""")
 def _(spark, d):
     r = D.apply_corrections(rule_decisions(spark, d), corrections(spark, d))
     return r.select(

@@ -154,6 +154,25 @@ def test_corrections_latest_wins(spark):
     assert (r.coverage_level, r.pre_review_coverage, r.mapping_risk) == (60, 40, "Low")
 
 
+def test_rules_run_after_each_correction(spark):
+    """Three corrections in one pass equal three passes of one; merged fields would give another result."""
+    steps = ['{"coverage_level": 0, "relation_type": "gap", "mapping_risk": ""}', '{"confidence": "0.9", "gap_items": [{"gap": "x", "severity": "major"}]}',
+             '{"coverage_level": 100, "equivalence_level": "Partial", "corrected_mapping_risk": "Low"}']
+    schema = "source_id string, batch_no int, position int, correction string"
+    cand = dict(combined_score=0.5, semantic_score=0.6, action_object_score=0.5)
+    d = decision(spark, target_ids=["t#1"], selected_ids=["t#1"], coverage_level=40, cand=cand)
+    rows = [("s", 2, 1, steps[2]), ("s", 1, 2, steps[1]), ("s", 1, 1, steps[0]), ("s", 3, 1, "no json")]
+    once = D.apply_corrections(d, spark.createDataFrame(rows, schema)).first()
+    step = d
+    for i, c in enumerate(steps):
+        step = D.apply_corrections(step, spark.createDataFrame([("s", 1, i, c)], schema))
+    step = step.first()
+    assert once.asDict(True) == step.asDict(True)
+    assert once.review_notes == steps[2] and once.pre_review_coverage == 40
+    alone = D.apply_corrections(d, spark.createDataFrame([("s", 2, 1, steps[2])], schema)).first()
+    assert alone.scoring_rationale != once.scoring_rationale or alone.gap_items != once.gap_items
+
+
 # ---- search against brute force ---------------------------------------------------------------------
 def features(spark, n, seed, prefix):
     rng = np.random.default_rng(seed)
