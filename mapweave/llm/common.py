@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,21 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
+def tokenizer_of(path: str):
+    """The tokenizer of a file, for one thread: a task has one core, and each further thread keeps memory of its own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
+def release() -> None:
+    """Give freed memory back to the system. Arrays of a few MB come and go with every slice of texts, and the allocator keeps them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes each; a longer row is a range of its own."""
     at, n = 0, len(offsets) - 1

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import Rolling, raw, saved, slices
+from mapweave.llm.common import Rolling, raw, release, saved, slices, tokenizer_of
 from mapweave.sources.shared import shared_folder
 
 MAGIC = b"IDEF0001"
@@ -63,8 +63,7 @@ class Units:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.names = Rolling(12), Rolling(13)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab()
@@ -255,7 +254,7 @@ def _encode(path: str, frame_ids: int):
             own = b.column("key").to_pylist()
             for s, e in slices(offsets, SLICE):
                 found, bounds = units.encode(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
-                pa.default_memory_pool().release_unused()
+                release()
                 at = 0
                 while at < e - s:  # as many documents as the open frame still takes, at least one
                     end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + frame_ids - have, "right")) - 1)
