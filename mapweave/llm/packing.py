@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import partitions, raw, saved, slices
+from mapweave.llm.common import partitions, raw, release, saved, slices, tokenizer_of
 
 #: Words kept by a task, about 0.4 GB; then it begins anew.
 CACHE_WORDS = 2_000_000
@@ -37,8 +37,7 @@ class Tokens:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         normalizer = self.tokenizer.normalizer
         self.normalise = normalizer.normalize_str if normalizer else str
         self.plain: set[str] = set()  # letters that stay letters
@@ -132,7 +131,7 @@ def _pieces(path: str, limit: int):
             texts = b.column("text").fill_null("")
             for at, end in slices(raw(texts)[1], SLICE):
                 ids, offsets = tokens.encode(texts.slice(at, end - at))
-                pa.default_memory_pool().release_unused()
+                release()
                 out = [[], [], [], [], []]
                 for key, a, z in zip(b.column("doc_id").slice(at, end - at).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     for n, s in enumerate(range(a, z, limit)):
