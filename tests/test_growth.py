@@ -22,3 +22,13 @@ def test_adjacent_atoms_are_prepared_once(spark):
 def test_fields_read_the_tokens_once(spark):
     fields = FX.atoms(spark, D).select("atomic_id", "fields")
     assert plan(fields, "optimizedPlan").count("regexp_extract_all") == 1
+
+
+def test_filters_stay_above_the_rules(spark):
+    """Each rule once, and only what the query shows: notes that nobody reads are not written, in no filter either."""
+    for name in ("D8_rescue", "D9_no_target", "D11_zero_with_target", "D12_exact_match", "D14_strong_upgrade", "D15_coverage_floor"):
+        found = plan(entry.queries()[name](spark, D), "optimizedPlan")
+        assert "Coverage capped by object/action gate" not in found
+        assert "lambda v" not in found
+        filters = [line for line in found.split("\n") if line.strip(" +-:").startswith("Filter")]
+        assert all(len(line) < 1000 for line in filters)
