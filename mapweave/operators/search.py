@@ -272,6 +272,19 @@ def _pool_profiles(sources: DataFrame, targets: DataFrame, p: Params, k: int) ->
     return _within(found, k, F.rank)
 
 
+def ahead(value: np.ndarray, order: np.ndarray, values: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """For each (values, orders): how many rows have a greater value, or the same one and a smaller order.
+
+    Only rows that can be ahead of some candidate are sorted, so the cost does not multiply with the candidates.
+    """
+    near = value >= values.min()
+    value, order = value[near], order[near]
+    at = np.lexsort((order, -value))
+    value, order = -value[at], order[at]
+    first, last = np.searchsorted(value, -values, "left"), np.searchsorted(value, -values, "right")
+    return np.array([a + np.searchsorted(order[a:b], o, "left") for a, b, o in zip(first.tolist(), last.tolist(), orders)], dtype=np.int64)
+
+
 def rank_counts(wanted: DataFrame, sources: DataFrame, targets: DataFrame, p: Params) -> DataFrame:
     """Exact rank of given candidates on each ranked signal within the whole pool.
 
@@ -279,6 +292,7 @@ def rank_counts(wanted: DataFrame, sources: DataFrame, targets: DataFrame, p: Pa
     how many of its rows beat each candidate, or tie with it and come earlier; the counts are then added up.
     """
     names = ["semantic", "keyword", "structured", "action_object"]
+    used = [x for x, on in zip(names, (p.use_semantic, p.use_keyword, p.use_structured, p.use_structured)) if on]  # rrf reads no other
     n = targets.count()
     n_blocks = max(1, math.ceil(n / p.target_block_rows))
     n_chunks = max(1, math.ceil(wanted.select("profile").distinct().count() / p.source_block_rows))
@@ -300,14 +314,10 @@ def rank_counts(wanted: DataFrame, sources: DataFrame, targets: DataFrame, p: Pa
         order = t["order_no"].to_numpy()
         out = []
         for i, (profile, cands) in enumerate(zip(s["profile"], s["cands"])):
-            for c in cands:
-                row = [profile, c["atomic_id"]]
-                for x in names:
-                    v = parts[x][i]
-                    beats = (v > c[x]) | ((v == c[x]) & (order < c["order_no"]))
-                    row.append(int((beats & pool[i]).sum()))
-                out.append(row)
-        return pd.DataFrame(out, columns=cols)
+            orders = np.array([c["order_no"] for c in cands])
+            found = {f"n_{x}": ahead(parts[x][i][pool[i]], order[pool[i]], np.array([c[x] for c in cands]), orders) if x in used else 0 for x in names}
+            out.append(pd.DataFrame({"profile": profile, "atomic_id": [c["atomic_id"] for c in cands]} | found))
+        return pd.concat(out, ignore_index=True)[cols]
 
     schema = "profile string, atomic_id string, " + ", ".join(f"n_{x} long" for x in names)
     counted = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(kernel, schema)

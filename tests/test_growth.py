@@ -1,6 +1,9 @@
 """Work that must not be done twice: read off the plans, not off the clock."""
 
+import numpy as np
+
 import __spark_entry__ as entry
+from mapweave.operators import search as SE
 from mapweave.plans import fixtures as FX
 from tests import oracle
 
@@ -32,3 +35,12 @@ def test_filters_stay_above_the_rules(spark):
         assert "lambda v" not in found
         filters = [line for line in found.split("\n") if line.strip(" +-:").startswith("Filter")]
         assert all(len(line) < 1000 for line in filters)
+
+
+def test_rows_ahead_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 3), (1, 1), (500, 40)):
+        value, order = rng.integers(0, 6, n) / 5, rng.permutation(n)
+        values, orders = rng.integers(0, 6, m) / 5, rng.integers(-1, n + 1, m)
+        want = [int(((value > v) | ((value == v) & (order < o))).sum()) for v, o in zip(values, orders)]
+        assert SE.ahead(value, order, values, orders).tolist() == want
