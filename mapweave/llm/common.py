@@ -71,6 +71,15 @@ def release() -> None:
         trim(0)
 
 
+def thrifty(run):
+    """run for mapInArrow, giving freed memory back to the system after each batch: workers live through all stages of a job."""
+    def each(batches):
+        for b in run(batches):
+            yield b
+            release()
+    return each
+
+
 def slices(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes each; a longer row is a range of its own."""
     at, n = 0, len(offsets) - 1

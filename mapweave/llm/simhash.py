@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import U, components, discard, forest, mixed, partitions, raw, saved, slices
+from mapweave.llm.common import U, components, discard, forest, mixed, partitions, raw, saved, slices, thrifty
 from mapweave.llm.decontam import Words
 
 #: Fixed vantage point and the levels of the tree: number of blocks -> bits of a distance in the shard key.
@@ -216,7 +216,7 @@ STRIP = 256
 def shingle_sets(texts: pa.Array, shingle: int):
     """The distinct shingle hashes of each text, as sorted numbers; a text of fewer words is one shingle."""
     data, offsets = raw(texts)
-    for s, e in slices(offsets, 1 << 20):
+    for s, e in slices(offsets, 1 << 19):
         w = Words(data[offsets[s]:offsets[e]], offsets[s:e + 1] - offsets[s])
         for first, n in zip(w.first.tolist(), w.count.tolist()):
             k = min(n, shingle)
@@ -260,6 +260,17 @@ def _wide(shingle: int):
     return run
 
 
+def shard_pairs(classes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (u, v) of classes (id, a) out of the vantage-point shards: they span all groups whose fingerprints a are linked at
+    radius or fewer differing bits, one pair for each class but the first of its group at most twice."""
+    fps = saved(classes.groupBy(F.col("a").alias("fp")).agg(F.min("id").alias("first")), "fps")
+    ends = [fps.select(F.col("fp").alias(e), F.col("first").alias(f"first_{e}")) for e in "uv"]
+    linked = linked_fingerprints(fps.select("fp"), radius).join(ends[0], "u").join(ends[1], "v")
+    linked = linked.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    same = classes.join(fps, classes.a == fps.fp).where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    return saved(same.union(linked).distinct(), "shards")
+
+
 def _slice_visits(batches):
     """A row for each slice of each fingerprint."""
     for b in batches:
@@ -433,7 +444,7 @@ def _sift(similarity: float):
 def sifted(pairs: DataFrame, classes: DataFrame, similarity: float, name: str) -> DataFrame:
     """The pairs (u, v) of classes (id, n, p) that can have the similarity: no such pair is lost, few others stay."""
     end = [classes.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("p").alias(f"p{e}")) for e in "uv"]
-    return saved(pairs.join(end[0], "u").join(end[1], "v").select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(_sift(similarity), "u long, v long, apart long"), name)
+    return saved(pairs.join(end[0], "u").join(end[1], "v").select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(thrifty(_sift(similarity)), "u long, v long, apart long"), name)
 
 
 def among(texts: DataFrame, nodes: DataFrame, bits: int = 23) -> DataFrame:
@@ -449,9 +460,9 @@ def among(texts: DataFrame, nodes: DataFrame, bits: int = 23) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
     """The pairs (u, v) whose texts (id, text) have the similarity, each tested by its sets of shingles."""
     nodes = saved(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "nodes")
-    sets = saved(among(texts, nodes).select("id", "text").mapInArrow(_sets(shingle), "id long, s binary"), "sets")
+    sets = saved(among(texts, nodes).select("id", "text").mapInArrow(thrifty(_sets(shingle)), "id long, s binary"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    links = saved(joined.mapInArrow(_alike(similarity), "u long, v long"), name)
+    links = saved(joined.mapInArrow(thrifty(_alike(similarity)), "u long, v long"), name)
     discard(sets)
     discard(nodes)
     return links
@@ -474,9 +485,10 @@ def nearest_links(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, chunk: int = 2048) -> DataFrame:
     """(doc_id, component_id) of the distinct non-null keys of docs, linked by shared word shingles. Links are exact.
 
-    Texts with the same set of distinct shingles are one class, named by a 128-bit digest of the set. SimHashes of 128 bits of
-    these sets that share a 16-bit slice give first pairs, in each shard a forest of the nearest; those that pass the test of their
-    sets join classes. Then every class sends its prefix, the rarest of its shingles, at least one of which any partner at the
+    Texts with the same set of distinct shingles are one class, named by a 128-bit digest of the set. The 64-bit SimHashes of
+    these sets go through the vantage-point shards of near_duplicates(); the linked ones that pass the test of their sets join
+    classes. Of each group one goes on: SimHashes of 128 bits that share a 16-bit slice give further pairs, in each shard a
+    forest of the nearest, tested likewise. Then every class sends its prefix, the rarest of its shingles, at least one of which any partner at the
     similarity has in its own prefix. All pairs that meet, are not joined yet and whose sizes and places allow the similarity are
     compared by bitmaps, which rule out only pairs below the similarity; what is left is tested by the sets. Texts without words are equal to each other. Repeated keys count as one document with the text that
     sorts first.
@@ -487,23 +499,30 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     repeated = saved(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         rows = rows.join(repeated, "doc_id", "left_anti").union(rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text")))
-    prints = saved(rows.mapInArrow(_wide(shingle), "doc_id long, d long, e long, n long, a long, b long, p binary"), "wide")
+    prints = saved(rows.mapInArrow(thrifty(_wide(shingle)), "doc_id long, d long, e long, n long, a long, b long, p binary"), "wide")
     classes = saved(prints.groupBy("d", "e", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("a", "b", "p")]), "classes")
     texts = rows.withColumnRenamed("doc_id", "id")
 
-    visits = classes.where("n > 0").mapInArrow(_slice_visits, "place long, id long, a long, b long")
+    worded = classes.where("n > 0").select("id", "a", "b")
+    pairs = shard_pairs(worded)
+    near = sifted(pairs, classes, similarity, "near")
+    discard(pairs)
+    joined = verified(near.select("u", "v"), texts, shingle, similarity, "alike")
+    discard(near)
+    inner = components(joined, "shards").where("node <> root").select(F.col("node").alias("id"))
+    visits = worded.join(inner, "id", "left_anti").mapInArrow(_slice_visits, "place long, id long, a long, b long")
     pairs = saved(visits.repartition(n, "place").sortWithinPartitions("place").mapInArrow(_slice_pairs(chunk), "u long, v long").distinct(), "nearest")
     near = sifted(pairs, classes, similarity, "near")
     discard(pairs)
-    links = nearest_links(near, texts, shingle, similarity)
+    links = joined.union(nearest_links(near, texts, shingle, similarity))
     discard(near)
     roots = components(links, "similar")
     placed = classes.where("n > 0").join(roots, classes.id == roots.node, "left")
     placed = saved(placed.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("int").alias("size")), "placed")
 
     known, counts = common_shingles(texts, placed.select("id"), shingle, placed.count())
-    firsts = texts.mapInArrow(_prefixes(shingle, similarity, known, counts), "id long, firsts binary").join(placed, "id")
-    postings = firsts.mapInArrow(_postings, "token long, id long, root long, size int, place int")
+    firsts = texts.mapInArrow(thrifty(_prefixes(shingle, similarity, known, counts)), "id long, firsts binary").join(placed, "id")
+    postings = firsts.mapInArrow(thrifty(_postings), "token long, id long, root long, size int, place int")
     pairs = postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_prefix_pairs(similarity, chunk), "u long, v long").distinct()
     pairs = saved(pairs, "candidates")
     left = sifted(pairs, classes, similarity, "left")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -107,6 +108,22 @@ def similar_roots(spark, rows):
     return [got[i] for i in range(len(rows))], linked(len(rows), pairs)
 
 
+def test_similar_texts_go_through_the_vantage_point_shards(spark, monkeypatch):
+    """The shards join the same groups as a comparison of all fingerprints, and the pipeline's stage asks them."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        words = prose(rng, 400).split()
+        texts += [" ".join(words)] + [" ".join(words[:k] + ["changed"] + words[k + 1:]) for k in range(3, 390, 60)]
+    prints = [simhash.wide_fingerprint(s)[0] for s in simhash.shingle_sets(pa.array(texts), 5)]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if bin((prints[i] ^ prints[j]) & ((1 << 64) - 1)).count("1") <= 2}
+    got = simhash.shard_pairs(spark.createDataFrame(list(enumerate(prints)), "id long, a long")).collect()
+    assert near and linked(len(texts), near) == linked(len(texts), [(r.u, r.v) for r in got])
+    monkeypatch.setattr(simhash, "shard_pairs", lambda classes: (_ for _ in ()).throw(KeyError("shards")))
+    with pytest.raises(KeyError, match="shards"):
+        simhash.similar_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_similar_texts_of_one_template(spark):
     """Most pairs share about 0.76, so a real pair often has nearer neighbours that are no copies."""
     rng = random.Random(12)
@@ -382,3 +399,16 @@ def test_contamination_with_named_items_and_clashing_columns(spark, block_bytes)
     assert all(got[i].n_items == 1 and got[i].contaminated and got[i].items_sha256 == hashlib.sha256(f"item-{i}".encode()).hexdigest() for i in range(5))
     kept = decontam.decontaminated(docs, bench, block_bytes=block_bytes)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[5:])
+
+
+def test_known_words_are_kept_in_arrays():
+    """Ids do not depend on what a task has seen, nor on when it begins anew, and a known word takes tens of bytes, not hundreds."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(["", ".", ","]) for _ in range(20_000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = packing.Tokens(path)
+    texts = [pa.array([" ".join(words[a:a + 2000])]) for a in range(0, len(words), 2000)]
+    want = [one.encode(t)[0].tolist() for t in texts]
+    assert [one.encode(t)[0].tolist() for t in texts] == want
+    assert [packing.Tokens(path).encode(t)[0].tolist() for t in texts] == want
+    assert one.words.nbytes + one.pieces.nbytes + one.codes.nbytes < 60 * len(words)
