@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import Rolling, U, raw, saved, slices, sliding_min
+from mapweave.llm.common import Rolling, U, raw, saved, slices, sliding_min, thrifty
 
 #: Byte -> lower-case word byte, or 0 outside words: ASCII letters and digits and all bytes beyond ASCII are words.
 WORD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
 BYTES, WORDS = Rolling(11), Rolling(12)
-SLICE, PLACE = 1 << 21, 26
+SLICE, PLACE = 1 << 19, 26
 
 
 class Words:
@@ -185,7 +185,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: in
                 for b in batches:
                     texts = b.column(body)
                     yield answer(b, texts, [verdict(*x) for x in _scan(texts, sent.value)])
-            return source.mapInArrow(run, schema)
+            return source.mapInArrow(thrifty(run), schema)
         if numbered is None:  # row numbers must be the same for every block, so they are written once
             numbered = saved(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
@@ -193,7 +193,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, text: str, k: int, window: in
             for b in batches:
                 found = [(r, n, x, sorted(i)) for r, (n, x, i) in zip(b.column("__row").to_pylist(), _scan(b.column("__text"), sent.value))]
                 yield pa.RecordBatch.from_pylist([{"__row": r, "n": n, "runs": [{"a": p, "b": q} for p, q in x], "items": i} for r, n, x, i in found], schema=PART)
-        parts.append(numbered.select(F.col(row).alias("__row"), F.col(body).alias("__text")).mapInArrow(run, "__row long, n long, runs array<struct<a: long, b: long>>, items array<string>"))
+        parts.append(numbered.select(F.col(row).alias("__row"), F.col(body).alias("__text")).mapInArrow(thrifty(run), "__row long, n long, runs array<struct<a: long, b: long>>, items array<string>"))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)

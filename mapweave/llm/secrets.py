@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mapweave.llm.common import thrifty
+
 #: Fixed patterns and least lengths of the base.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -166,7 +168,7 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     Rows are scanned one by one: null and repeated keys are kept as they are, other columns are not read.
     """
     rows = docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"cast(`{text}` as string) as text")
-    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(thrifty(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted_text(text: str | None, mark: str) -> str | None:
@@ -194,4 +196,4 @@ def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars", mark:
                 cols[length] = pa.array([n if x == y else len(y) for n, x, y in zip(cols[length].to_pylist(), before, after)], cols[length].type)
             cols[text] = pa.array(after, cols[text].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.llm.common import thrifty
 from mapweave.llm.learning import Scaled, fold, logistic, sampled, sigmoid
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+|[\"“”«»]")
@@ -182,7 +183,7 @@ def _scored(docs: DataFrame, grammar: Grammar, text: str) -> DataFrame:
         for b in batches:
             score = sent.value.scores(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(score)], names=names + ["__score"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.3, folds: int = 4, held: int = 2, **sizes) -> DataFrame:
