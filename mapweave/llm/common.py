@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapweave.functions.memory import release
 from mapweave.sources import shared
 
 U = np.uint64
@@ -63,14 +63,6 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
-def release() -> None:
-    """Give freed memory back to the system. Arrays of a few MB come and go with every slice of texts, and the allocator keeps them."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-    if trim is not None:
-        trim(0)
-
-
 def thrifty(run):
     """run for mapInArrow, giving freed memory back to the system after each batch: workers live through all stages of a job."""
     def each(batches):

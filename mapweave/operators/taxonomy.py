@@ -195,10 +195,13 @@ def override_decision(overrides: list[Row], cards: list[Row], low: Column) -> Co
 
 
 def _first_of(index: TM.Rules):
-    def run(texts: pa.Array) -> pa.Array:
+    def found(texts: pa.Array) -> pa.Array:
         wide = index.contexts
         flat = texts.flatten()
         return index(*(flat.take(pa.array(range(i, len(flat), wide), pa.int64())) for i in range(wide)))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return TM.in_parts(found, texts)
     return F.arrow_udf(run, "int")
 
 

@@ -13,8 +13,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from mapweave.functions.memory import release
+
 #: Characters of the terms in one block; its automaton takes some 60 bytes for each.
 BLOCK_CHARS = 2_000_000
+#: Rows that are looked at together: of more the words and scores are not held as Python objects at once.
+ROWS = 500
 TOKEN = re.compile(r"[a-zA-Z0-9_-]{2,}")
 NUMBER = re.compile(r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])")
 #: Signs that match i, s and k when case is ignored, but stay themselves in lower case.
@@ -35,6 +39,13 @@ def blocks(items: list, chars: Callable[[object], int], limit: int) -> Iterator[
         yield block
 
 
+def in_parts(fn: Callable[[pa.Array], pa.Array], texts: pa.Array) -> pa.Array:
+    """fn over ROWS rows at a time; then freed memory goes back to the system."""
+    out = pa.concat_arrays([fn(texts.slice(at, ROWS)) for at in range(0, max(1, len(texts)), ROWS)])
+    release()
+    return out
+
+
 class Terms:
     """Numbers of the terms that a text contains."""
 
@@ -113,6 +124,9 @@ class Scores:
         return [(-s, place) for s, place in out]
 
     def __call__(self, low: pa.Array) -> pa.Array:
+        return in_parts(self.scored, low)
+
+    def scored(self, low: pa.Array) -> pa.Array:
         rows = [self.of(t or "") for t in low.to_pylist()]
         flat = [x for r in rows for x in r]
         offsets, at = [0], 0

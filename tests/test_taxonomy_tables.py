@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -101,3 +102,13 @@ def test_many_overrides(spark, monkeypatch):
 def test_fragments_are_in_every_match():
     for pattern, part in [("^src1\\d$", "src1"), ("ab?cde", "cde"), ("(a|b)c", ""), ("x{2}y", ""), ("a\\.bcd+", "bcd"), ("[ab]c", ""), ("a*b", "b"), ("\\x41bc", ""), ("", "")]:
         assert TM.fragment(pattern) == part
+
+
+def test_a_batch_is_scored_in_parts(monkeypatch):
+    """No more than ROWS texts are Python objects at once; the parts together are the whole."""
+    scores = TM.Scores([(0, "a", "1", [("the", 0.1)], ["the"]), (1, "b", "2", [("und", 0.2)], [])], [], 0.18, 0.16, [], 1.25, None)
+    texts = pa.array(["the", None, "und 2", ""] * 600)
+    seen = []
+    monkeypatch.setattr(scores, "scored", lambda low, real=scores.scored: seen.append(len(low)) or real(low))
+    assert scores(texts).to_pylist() == scores(texts.slice(0, 4)).to_pylist() * 600
+    assert max(seen) <= TM.ROWS and len(scores(texts.slice(0, 0))) == 0
