@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mapweave.params import GLOBAL_SCOPES, Params
 from mapweave.sources.shared import saved
+from mapweave.sources.tables import partitions
 
 K1, LENGTH_PART = 1.5, 0.75
 DIGITS = 9
 #: Postings that the first round reads for each of the k wanted candidates; those of the strongest term in any case.
 FIRST_READ = 200
+#: Pairs that a task sums up at once, and parts of the targets out of which the k-th best sum is told.
+PAIRS, PARTS = 1 << 20, 400
 #: Sums in another order differ by less.
 SLACK = 1e-6
 
@@ -30,10 +33,12 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def term_counts(df: DataFrame, *key: str, among: DataFrame | None = None) -> DataFrame:
-    """(key..., term, tf) of the `terms` of every row; among: only terms of this table."""
-    terms = df.select(*key, F.explode("terms").alias("term"))
-    terms = terms if among is None else terms.join(among, "term", "left_semi")
-    return terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key..., term, tf) of the `terms` of every row, counted inside the row; among: only terms of this table."""
+    first = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    runs = df.select(*key, F.sort_array(F.array_compact("terms")).alias("_t")).where(F.size("_t") > 0).withColumn("_at", first)
+    entry = F.transform("_at", lambda at, j: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_t")) - at).cast("long").alias("tf")))
+    counts = runs.select(*key, F.inline(entry))
+    return counts if among is None else counts.join(among, "term", "left_semi")
 
 
 class Index:
@@ -52,14 +57,15 @@ class Index:
         no = F.monotonically_increasing_id()
         self.sources = saved(sources.select("atomic_id", "terms", *keys, pool.alias("pool")).withColumn("s_no", no), "keyword-sources")
         length = F.size("terms").cast("long").alias("dl")
-        self.targets = saved(targets.select("atomic_id", "order_no", "terms", *keys, length).withColumn("t_no", no), "keyword-targets")
+        profile = [F.coalesce(F.to_json("keys"), F.lit("")).alias("profile")] if self.keyed else []
+        self.targets = saved(targets.select("atomic_id", "order_no", "terms", *keys, *profile, length).withColumn("t_no", no), "keyword-targets")
         self.query = saved(term_counts(self.sources, "s_no", "pool").withColumnRenamed("tf", "c"), "keyword-query")
         asked = self.query.select("pool", "term").distinct()
-        counts = term_counts(self.targets, "t_no", "dl", among=asked.select("term").distinct())
+        counts = term_counts(self.targets, "t_no", "dl", *(["profile"] if self.keyed else []), among=asked.select("term").distinct())
         if self.keyed:
             members = saved(self._members(), "keyword-members")
-            sized = members.join(self.targets.select("t_no", "dl"), "t_no").groupBy("pool")
-            found = counts.join(members, "t_no").join(asked, ["pool", "term"], "left_semi")
+            sized = self.targets.select("profile", "dl").join(members, "profile").groupBy("pool")
+            found = counts.join(members, "profile").drop("profile").join(asked, ["pool", "term"], "left_semi")
         else:
             sized = self.targets.select(F.lit("[]").alias("pool"), "dl").groupBy("pool")
             found = counts.withColumn("pool", F.lit("[]"))
@@ -77,27 +83,33 @@ class Index:
             raise ValueError("two terms have one hash")
 
     def _members(self) -> DataFrame:
-        """(pool, t_no): by key, so a target meets only pools that share one."""
+        """(profile, pool): targets with the same keys are in the same pools, so their keys meet the pools once."""
         pools = self.sources.select("pool", "keys").dropDuplicates(["pool"])
-        by_key = self.targets.select("t_no", F.explode("keys").alias("key"))
-        shared = pools.select("pool", F.explode("keys").alias("key")).join(by_key, "key").select("pool", "t_no").distinct()
+        profiles = self.targets.select("profile", "keys").dropDuplicates(["profile"])
+        by_key = profiles.select("profile", F.explode("keys").alias("key"))
+        shared = pools.select("pool", F.explode("keys").alias("key")).join(by_key, "key").select("pool", "profile").distinct()
         if pools.where(F.size("keys") == 0).limit(1).count():
-            shared = shared.unionByName(self.targets.select(F.lit("[]").alias("pool"), "t_no"))
+            shared = shared.unionByName(profiles.select(F.lit("[]").alias("pool"), "profile"))
         return shared
 
     def _sums(self, terms: DataFrame) -> DataFrame:
         """(s_no, t_no, raw) over the postings of query terms (s_no, term_no, c).
 
         Postings are dealt out by target first: where the terms are few enough to be sent to all tasks, pairs need no shuffle.
+        The number of pairs is known before, so a task gets about PAIRS of them, however many there are.
         """
-        dealt = self.postings.repartition("t_no")
+        pairs = terms.agg(F.sum("df")).first()[0] or 0
+        asked = self.postings.join(terms.select("term_no").distinct(), "term_no", "left_semi")
+        dealt = asked.repartition(max(partitions(self.postings.sparkSession), -(-pairs // PAIRS)), "t_no")
         return dealt.join(terms.select("s_no", "term_no", "c"), "term_no").groupBy("t_no", "s_no").agg(F.sum(F.col("c") * F.col("w")).alias("raw"))
 
     @staticmethod
     def _reached(sums: DataFrame, k: int) -> DataFrame:
-        """(s_no, reached): the k-th best sum of a source so far, 0 where it has fewer. Each task first cuts to its own k best."""
-        best = F.row_number().over(Window.partitionBy("s_no").orderBy(F.desc("raw")))
-        return sums.withColumn("r", best).where(F.col("r") <= k).groupBy("s_no").agg(F.when(F.count(F.lit(1)) == k, F.min("raw")).otherwise(0.0).alias("reached"))
+        """(s_no, reached): a sum that k targets of a source reach, 0 where there are fewer. It is the k-th best of the best sums of
+        PARTS parts of the targets, seldom below the k-th best of all, and no task sorts or keeps its pairs for it."""
+        parts = sums.groupBy("s_no", F.pmod(F.xxhash64("t_no"), F.lit(max(PARTS, 50 * k))).alias("part")).agg(F.max("raw").alias("raw"))
+        best = parts.groupBy("s_no").agg(F.sort_array(F.collect_list("raw"), asc=False).alias("best"))
+        return best.select("s_no", F.coalesce(F.get("best", F.lit(k - 1)), F.lit(0.0)).alias("reached"))
 
     def top(self, k: int) -> DataFrame:
         """(source_id, candidate_id, order_no, raw_score, rank): the k best targets of the pool with a score above 0, ties by input order."""

@@ -73,3 +73,29 @@ def test_empty_tables(spark):
     some = spark.createDataFrame(atoms(random.Random(1), "t", 5, ["a"]), SCHEMA)
     for s, t in ((none, some), (some, none), (none, none)):
         assert KW.Index(s, t, Params()).top(3).count() == 0
+
+
+def test_counts_and_pools_shuffle_no_target(spark):
+    """Terms are counted inside a row, thresholds need no sort of the pairs, and tasks get a bounded number of pairs."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([*atoms(rng, "t", 50, ["a", "b"]), ("null", 99, None, [])], SCHEMA)
+    counts = KW.term_counts(rows, "atomic_id")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = {(r.atomic_id, w, n) for r in rows.collect() for w, n in Counter(r.terms or []).items()}
+    assert {tuple(r) for r in counts.collect()} == want
+    sums = spark.createDataFrame([(s, t, float(t % 97)) for s in range(3) for t in range(500)] + [(3, 1, 5.0)], "s_no long, t_no long, raw double")
+    reached = KW.Index._reached(sums, 4)
+    assert "Window" not in reached._jdf.queryExecution().optimizedPlan().toString()
+    got = dict(reached.collect())
+    assert got[3] == 0 and all(90 <= got[s] <= 96 for s in range(3))
+
+
+def test_tasks_get_a_bounded_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(KW, "PAIRS", 100)
+    rng = random.Random(6)
+    sources, targets = atoms(rng, "s", 20, ["a"]), atoms(rng, "t", 90, ["a"])
+    index = KW.Index(*(spark.createDataFrame(x, SCHEMA) for x in (sources, targets)), Params())
+    terms = index.query.join(index.heads, ["pool", "term"])
+    assert "RepartitionByExpression [t_no" in index._sums(terms)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = terms.agg({"df": "sum"}).first()[0]
+    assert f", {-(-pairs // 100)}" in index._sums(terms)._jdf.queryExecution().optimizedPlan().toString()
