@@ -123,10 +123,13 @@ class Index:
         limits = terms.groupBy("s_no").agg(F.first("reached").alias("reached"), left.alias("left"))
         near = F.col("raw") + F.col("left") >= F.col("reached") - SLACK
         able = saved(self._sums(terms.where("strong")).join(limits, "s_no").where(near), "keyword-pairs")
+        pairs = able.count()
         able = able.join(self._reached(able, k).withColumnRenamed("reached", "raised"), "s_no").withColumn("reached", F.greatest("reached", "raised"))
         able = able.where(near).select("s_no", "t_no", "raw")
-        rest = able.join(terms.where(~F.col("strong")).select("s_no", "term_no", "c"), "s_no").join(self.postings, ["term_no", "t_no"])
-        raw = able.unionByName(rest.select("s_no", "t_no", (F.col("c") * F.col("w")).alias("raw"))).groupBy("s_no", "t_no").agg(F.round(F.sum("raw"), DIGITS).alias("raw_score"))
+        n = max(partitions(able.sparkSession), -(-pairs // (PAIRS // 4)))
+        rest = able.join(terms.where(~F.col("strong")).select("s_no", "term_no", "c"), "s_no").repartition(n, "term_no", "t_no").join(self.postings, ["term_no", "t_no"])
+        both = able.unionByName(rest.select("s_no", "t_no", (F.col("c") * F.col("w")).alias("raw")))
+        raw = both.repartition(n, "t_no").groupBy("s_no", "t_no").agg(F.round(F.sum("raw"), DIGITS).alias("raw_score"))
         named = raw.where("raw_score > 0").join(self.targets.select("t_no", F.col("atomic_id").alias("candidate_id"), "order_no"), "t_no")
         rank = F.row_number().over(Window.partitionBy("s_no").orderBy(F.desc("raw_score"), "order_no", "candidate_id"))
         named = named.withColumn("rank", rank).where(F.col("rank") <= k)
