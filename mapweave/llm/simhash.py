@@ -345,15 +345,28 @@ def _shingles(shingle: int):
     return run
 
 
-def common_shingles(texts: DataFrame, ids: DataFrame, shingle: int, rows: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample hold, and how many; they only order the shingles, so they bear on time, not on results."""
-    chosen = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0
+def shingle_levels(texts: DataFrame, ids: DataFrame, shingle: int, share: int = 4, bits: int = 22) -> np.ndarray:
+    """How common shingles are, as a table of 2**bits places by hash: doublings of the most common one there, 0 for rare ones.
+
+    Counted in a fixed share of the texts: with a sample of fixed size a shingle of n texts is missed as soon as the table is large
+    enough, and all texts that hold it meet. The levels only order the shingles, so they bear on time, not on results; shingles
+    that fall on one place count as the more common of them. The driver gets at most a number for each place.
+    """
+    chosen = F.pmod(F.xxhash64("id"), F.lit(share)) == 0
     part = texts.where(chosen).join(ids.where(chosen), "id", "left_semi").select("text")
-    counts = part.mapInArrow(_shingles(shingle), "token long").groupBy("token").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "token").limit(most).toArrow()  # at most `most` rows
-    token, n = (found.column(i).to_numpy() for i in range(2))
-    at = np.argsort(token.view(np.uint64))
-    return token.view(np.uint64)[at], n[at]
+    counts = part.mapInArrow(thrifty(_shingles(shingle)), "token long").groupBy("token").count().where("count > 2")
+    level = F.floor(F.log2("count")).cast("tinyint").alias("level")
+    found = counts.select(F.shiftright("token", 64 - bits).cast("int").alias("place"), level).groupBy("place").agg(F.max("level").alias("level")).toArrow()
+    place, level = (found.column(i).to_numpy() for i in range(2))
+    levels = np.zeros(1 << bits, np.uint8)
+    levels[place + (1 << bits - 1)] = level
+    return levels
+
+
+def level_of(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The levels of shingles out of the table: the place is the upper bits, as of a signed number."""
+    bits = len(levels).bit_length() - 1
+    return levels[(s.view(np.int64) >> 64 - bits) + (len(levels) >> 1)]
 
 
 def least_common(a, b, similarity: float):
@@ -361,19 +374,17 @@ def least_common(a, b, similarity: float):
     return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
 
 
-def prefix(s: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(s: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, rare ones first: two sets as similar as asked share one of them."""
-    if len(known):
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+    s = s[np.argsort(level_of(s, levels), kind="stable")]
     return s[:len(s) - math.ceil(similarity * len(s) - 1e-6) + 1] if len(s) else s
 
 
-def _prefixes(shingle: int, similarity: float, known: np.ndarray, counts: np.ndarray):
-    """Rows (id, text) -> (id, firsts): the shingles of the prefix, in order."""
+def _prefixes(shingle: int, similarity: float, sent):
+    """Rows (id, text) -> (id, firsts): the shingles of the prefix, in order. sent: the broadcast table of levels."""
     def run(batches):
         for b in batches:
-            firsts = [prefix(s, known, counts, similarity).tobytes() for s in shingle_sets(b.column("text"), shingle)]
+            firsts = [prefix(s, sent.value, similarity).tobytes() for s in shingle_sets(b.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(firsts, pa.binary())], names=["id", "firsts"])
     return run
 
@@ -520,8 +531,8 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     placed = classes.where("n > 0").join(roots, classes.id == roots.node, "left")
     placed = saved(placed.select("id", F.coalesce("root", "id").alias("root"), F.col("n").cast("int").alias("size")), "placed")
 
-    known, counts = common_shingles(texts, placed.select("id"), shingle, placed.count())
-    firsts = texts.mapInArrow(thrifty(_prefixes(shingle, similarity, known, counts)), "id long, firsts binary").join(placed, "id")
+    levels = spark.sparkContext.broadcast(shingle_levels(texts, placed.select("id"), shingle))
+    firsts = texts.mapInArrow(thrifty(_prefixes(shingle, similarity, levels)), "id long, firsts binary").join(placed, "id")
     postings = firsts.mapInArrow(thrifty(_postings), "token long, id long, root long, size int, place int")
     pairs = postings.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_prefix_pairs(similarity, chunk), "u long, v long").distinct()
     pairs = saved(pairs, "candidates")

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from mapweave.llm import queries
+from mapweave.llm import queries, simhash
 from tests.llm.fixtures import prose
 from tests.oracle import connect, rows_of
 
@@ -43,3 +45,23 @@ def test_stages_take_effect(spark):
     assert 4 not in kept["benchmark_decontamination"] or len(bench.split()) < 13
     assert kept["secret_scan"][5] == "a [SECRET] end" and {1, 5, 6, 8} <= set(kept["secret_scan"])
 
+
+def test_levels_know_shingles_of_few_texts_in_a_large_table(spark):
+    """10,000 lines in 20 of 200,000 texts each: a sample of fixed size meets most of them once or never."""
+    docs = spark.range(200_000).selectExpr("id", "concat_ws(' ', 'a', 'line', 'of', 'five', concat('w', id % 10000)) AS text")
+    levels = simhash.shingle_levels(docs, docs.select("id"), 5)
+    lines = pa.array([f"a line of five w{i}" for i in range(10_000)])
+    known = simhash.level_of(np.concatenate(list(simhash.shingle_sets(lines, 5))), levels)
+    assert (known > 0).mean() > 0.8
+
+
+def test_stages_bound_the_rows_of_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("50", 50)):
+            spark.conf.set(name, given)
+            corpus_pipeline.redact_secrets(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"), SF)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
