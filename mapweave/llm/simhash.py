@@ -337,30 +337,72 @@ def _slice_pairs(chunk: int):
     return run
 
 
-def _shingles(shingle: int):
+#: Shingles are counted by the upper COUNTED bits of their hashes, in 2**BUCKETS stretches that are dealt to tasks, FLUSH at a time.
+COUNTED, BUCKETS, FLUSH = 32, 10, 1 << 20
+
+
+def _shingle_counts(shingle: int):
+    """Rows (text) -> (bucket, low): the shingles of all texts by the upper bits of their hashes, the rest of COUNTED bits as three bytes each."""
+    def packed(held):
+        at = np.sort(np.concatenate(held) >> U(64 - COUNTED)).astype(np.uint32)
+        bits = COUNTED - BUCKETS
+        bounds = np.searchsorted(at, np.arange((1 << BUCKETS) + 1, dtype=np.uint64) << U(bits))
+        low = np.ascontiguousarray((at & ((1 << bits) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+        some = np.nonzero(np.diff(bounds))[0]
+        parts = [low[bounds[i]:bounds[i + 1]].tobytes() for i in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "low"])
+
     def run(batches):
+        held, n = [], 0
         for b in batches:
             for s in shingle_sets(b.column("text"), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+                held.append(s)
+                n += len(s)
+                if n >= FLUSH:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+    return run
+
+
+def _bucket_levels(bits: int):
+    """Rows (bucket, low) in order -> (bucket, levels): for each place of the bucket the doublings of its most common shingle."""
+    def run(batches):
+        bucket, counts = None, None
+
+        def done():
+            most = counts.reshape(1 << bits - BUCKETS, -1).max(axis=1)
+            levels = np.where(most > 1, np.log2(np.maximum(most, 1)).astype(np.uint8), 0).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["bucket", "levels"])
+
+        for b in batches:
+            for at, low in zip(b.column("bucket").to_pylist(), b.column("low")):
+                if at != bucket:
+                    if bucket is not None:
+                        yield done()
+                    bucket, counts = at, np.zeros(1 << COUNTED - BUCKETS, np.int32)
+                x = np.frombuffer(low.as_py(), np.uint8).reshape(-1, 3).astype(np.uint32)
+                np.add.at(counts, x[:, 0] | x[:, 1] << 8 | x[:, 2] << 16, 1)
+        if bucket is not None:
+            yield done()
     return run
 
 
-def shingle_levels(texts: DataFrame, ids: DataFrame, shingle: int, share: int = 4, bits: int = 22) -> np.ndarray:
-    """How common shingles are, as a table of 2**bits places by hash: doublings of the most common one there, 0 for rare ones.
+def shingle_levels(texts: DataFrame, ids: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
+    """How common shingles are, as a table of 2**bits places by hash: doublings of the most common one there, 0 for those met once.
 
-    Counted in a fixed share of the texts: with a sample of fixed size a shingle of n texts is missed as soon as the table is large
-    enough, and all texts that hold it meet. The levels only order the shingles, so they bear on time, not on results; shingles
-    that fall on one place count as the more common of them. The driver gets at most a number for each place.
+    Every shingle of every text in ids is counted, by 32 bits of its hash. The levels only order the shingles, so they bear on time,
+    not on results; shingles that fall on one place count as the more common of them. Texts that only a likely() id lets in are
+    counted too. Tasks send about three bytes a shingle; the driver gets a byte for each place.
     """
-    chosen = F.pmod(F.xxhash64("id"), F.lit(share)) == 0
-    part = texts.where(chosen).join(ids.where(chosen), "id", "left_semi").select("text")
-    counts = part.mapInArrow(thrifty(_shingles(shingle)), "token long").groupBy("token").count().where("count > 2")
-    level = F.floor(F.log2("count")).cast("tinyint").alias("level")
-    found = counts.select(F.shiftright("token", 64 - bits).cast("int").alias("place"), level).groupBy("place").agg(F.max("level").alias("level")).toArrow()
-    place, level = (found.column(i).to_numpy() for i in range(2))
-    levels = np.zeros(1 << bits, np.uint8)
-    levels[place + (1 << bits - 1)] = level
-    return levels
+    n = partitions(texts.sparkSession)
+    low = likely(texts, ids).select("text").mapInArrow(thrifty(_shingle_counts(shingle)), "bucket int, low binary")
+    found = low.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(thrifty(_bucket_levels(bits)), "bucket int, levels binary")
+    levels = np.zeros((1 << BUCKETS, 1 << bits - BUCKETS), np.uint8)
+    for r in found.toLocalIterator():
+        levels[r.bucket] = np.frombuffer(r.levels, np.uint8)
+    return np.roll(levels.ravel(), 1 << bits - 1)  # places are the upper bits as of a signed number
 
 
 def level_of(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -458,14 +500,19 @@ def sifted(pairs: DataFrame, classes: DataFrame, similarity: float, name: str) -
     return saved(pairs.join(end[0], "u").join(end[1], "v").select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(thrifty(_sift(similarity)), "u long, v long, apart long"), name)
 
 
-def among(texts: DataFrame, nodes: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows of texts whose id is in nodes (id, distinct). A filter of 2**bits bits is sent to all tasks (2**(bits - 6) rows
-    at most, whatever the number of nodes), so that most other texts are not shuffled; the join then decides."""
+def likely(texts: DataFrame, nodes: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows (id, text) of texts whose id is in nodes (id, distinct), and a few others. A filter of 2**bits bits is sent to all tasks
+    (2**(bits - 6) rows at most, whatever the number of nodes); no text is shuffled."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
     words = nodes.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
-    likely = texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word")
-    return likely.where(F.call_function("getbit", "bits", "bit") == 1).select("id", "text").join(nodes, "id")
+    found = texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word")
+    return found.where(F.call_function("getbit", "bits", "bit") == 1).select("id", "text")
+
+
+def among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of texts whose id is in nodes (id, distinct). Only likely() ones are shuffled; the join then decides."""
+    return likely(texts, nodes).join(nodes, "id")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:

@@ -55,6 +55,17 @@ def test_levels_know_shingles_of_few_texts_in_a_large_table(spark):
     assert (known > 0).mean() > 0.8
 
 
+def test_levels_count_every_text(spark):
+    """A shingle of two texts is known as such, whichever texts they are; those of texts outside ids are not counted."""
+    rows = [(i, f"one line of five w{i // 2}") for i in range(400)] + [(1000 + i, f"alone in here is v{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows + [(i + 5000, "alone in here is v7") for i in range(9)], "id long, text string").repartition(7)
+    levels = simhash.shingle_levels(docs, docs.where("id < 5000").select("id"), 5)
+    known = lambda word, n: simhash.level_of(np.concatenate(list(simhash.shingle_sets(pa.array([f"{word}{i}" for i in range(n)]), 5))), levels)
+    assert (known("one line of five w", 200) == 1).all()
+    assert (known("alone in here is v", 400) == 0).mean() > 0.99
+    assert simhash.shingle_levels(docs.where("id < 0"), docs.where("id < 0").select("id"), 5).sum() == 0
+
+
 def test_stages_bound_the_rows_of_a_batch(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
