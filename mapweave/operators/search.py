@@ -1,28 +1,31 @@
 """Exact top-k target search without a pair table.
 
-1. Equal targets collapse to one profile (only the first k members of a profile can ever be among the k
-   best, because members tie on every signal and rank by input order), equal sources likewise.
-2. Target profiles are grouped into cells around pivot vectors, and cells are cut into blocks of bounded
-   size, so a huge cell or a huge group of copies never reaches one task.
-3. Every source gets an upper bound on its combined score per cell (angle bound for the vector part, a
-   token bitmap per cell for the field part). It first meets the cells with the best bounds; the k-th best
-   score found there decides which of the remaining cells can still matter, and only those are scored.
-4. Blocks are scored with array kernels and return only their k best per source, ties included; nothing
-   is dropped that could still rank.
+1. Targets are packed, where they are computed, into blocks of bounded size, equal ones as one row with its members: only the first
+   k members of a profile can ever be among the k best, because members tie on every signal and rank by input order. Equal
+   sources collapse to one profile and are packed into chunks likewise. No target is shuffled.
+2. Every chunk meets every block (in category scopes the part of it that shares a key with the chunk) as a product of two small
+   tables of packed rows. A task walks through its blocks and keeps the k best of each source so far, ties included.
+3. What a source has found bounds what it still looks at: a block is cut into strips of similar targets, and a strip whose upper
+   bound (angle bound for the vectors, tokens it holds for the fields) stays below is skipped. In the rest, scores in single
+   precision decide which pairs are scored exactly; nothing is dropped that could still rank. The kernels are in pairs.py.
+4. The work is quadratic where no strip can be skipped; memory, shuffles and tables written are not.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from mapweave.operators import blocks as B
+from mapweave.functions.memory import release
+from mapweave.operators import pairs as P
 from mapweave.operators.keyword import with_keywords
-from mapweave.params import DEFAULTS, FAMILY_AFFINITY, GLOBAL_SCOPES, STRUCTURED_WEIGHTS, Params
+from mapweave.params import DEFAULTS, FAMILY_AFFINITY, GLOBAL_SCOPES, Params
 from mapweave.sources.shared import saved
 
 SIGNALS = ["semantic", "keyword", "structured", "action_object", "control_type", "category_prior", "combined"]
@@ -30,7 +33,8 @@ SIGNALS = ["semantic", "keyword", "structured", "action_object", "control_type",
 FEATURES = ["vec", "sets", "ao", "control_family", "primary_key", "secondary_keys", "confidence", "low_confidence",
             "keys", "id_family", "term_list", "term_tf", "doc_len"]
 SOURCE_ONLY = ["affine_families", "term_weight", "avg_len", "keyword_best"]
-BITS = 32768  # bits of a cell's token bitmap (the size Spark's bitmap aggregates use)
+#: Chunks of sources that a task holds at once.
+CHUNKS = 8
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -57,182 +61,149 @@ def _collapse(df: DataFrame, k: int) -> DataFrame:
                                        *[F.first(c).alias(c) for c in _present(df)])
 
 
-def _tagged_col():
-    sets = F.flatten(F.transform("sets", lambda s, i: F.transform(s, lambda x: F.concat(i.cast("string"), F.lit(":"), x))))
-    return F.concat(sets, F.transform("ao", lambda x: F.concat(F.lit("ao:"), x)))
-
-
-def _bit(c):
-    return F.pmod(F.xxhash64(c), F.lit(BITS))
-
-
-class Bounds:
-    """Pivots, radii, sizes and token bitmaps of at most max_pivots cells; shipped to the routing tasks."""
-
-    def __init__(self, p: Params, pivots: np.ndarray, rows: list):
-        self.p, self.pivots = p, pivots
-        self.cell = np.array([r.cell for r in rows])
-        self.rows = np.array([r.n for r in rows])
-        self.radius = np.array([r.radius for r in rows])
-        raw = [bytes(r.bitmap) if r.bitmap else b"" for r in rows]
-        self.bitmap = np.stack([np.frombuffer(b.ljust(BITS // 8, b"\0"), dtype=np.uint8) for b in raw])
-
-    def __call__(self, pdf: pd.DataFrame) -> np.ndarray:
-        """(sources, cells) upper bound of the combined score."""
-        p = self.p
-        bitmap = np.unpackbits(self.bitmap, axis=1, bitorder="little").astype(bool)
-        v = B.unit_rows(pdf["vec"])
-        angle = np.zeros((len(pdf), len(self.cell)))
-        if p.use_semantic and v.shape[1] == self.pivots.shape[1]:
-            # angle(source, target) >= angle(source, pivot) - angle(target, pivot)
-            to_pivot = np.arccos(np.clip(v @ self.pivots[self.cell].T, -1, 1))
-            angle = np.cos(np.maximum(0.0, to_pivot - np.arccos(np.clip(self.radius, -1, 1))[None, :] - 1e-7))
-            angle[~v.any(axis=1)] = 0.0
-        bound = p.weight_semantic * np.maximum(0.0, angle) if p.use_semantic else angle * 0
-        bound = bound + (p.weight_keyword if p.use_keyword else 0.0)
-        if p.use_structured:
-            weights = list(STRUCTURED_WEIGHTS.values())
-            for i, (bits, sets, ao) in enumerate(zip(pdf["bits"], pdf["sets"], pdf["ao"])):
-                hits = bitmap[:, np.asarray(bits, dtype=int)] if len(bits) else np.zeros((len(self.cell), 0), bool)
-                at, num, den, ct = 0, 0.0, 0.0, 0.0
-                for f, w in enumerate(weights):
-                    n = len(sets[f])
-                    if n:
-                        share = hits[:, at:at + n].sum(axis=1) / n
-                        num, den, at = num + w * share, den + w, at + n
-                        ct = share if f == B.CONTROL_TYPE else ct
-                structured = num / den if den else 0.0
-                n = len(ao)
-                action = np.minimum(1.0, hits[:, at:at + n].sum(axis=1) / n + 0.25) if n else 0.20
-                bound[i] += (p.weight_structured * structured + p.weight_action_object * action
-                             + p.weight_control_type * ct)
-        return np.minimum(1.0, bound / p.weight_sum + p.weight_category_prior) + 1e-6
-
-
-class Cells:
-    """Target profiles assigned to cells, with the bounded summary that routing needs."""
-
-    def __init__(self, profiles: DataFrame, p: Params):
-        self.p = p
-        n = profiles.count()
-        wanted = max(1, min(p.max_pivots, n // p.target_block_rows)) if p.use_semantic else 1
-        usable = profiles.filter(F.size("vec") > 0).orderBy(F.xxhash64("profile"), "profile").limit(wanted)
-        pivots = [r.vec for r in usable.select("vec").collect()]  # at most max_pivots vectors
-        self.pivots = B.unit_rows(pivots) if pivots else np.zeros((1, 1))
-        self.assigned = checkpointed(self._assign(profiles))
-        bits = (self.assigned.select("cell", F.explode(F.array_distinct(F.transform(_tagged_col(), _bit))).alias("bit"))
-                .groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
-        size = self.assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("closeness").alias("radius"))
-        rows = size.join(bits, "cell", "left").collect()  # at most max_pivots rows of 4 KB
-        self.bounds = Bounds(p, self.pivots, rows)
-        self.blocks = {r.cell: max(1, math.ceil(r.n / p.target_block_rows)) for r in rows}
-
-    def _assign(self, profiles: DataFrame) -> DataFrame:
-        pivots = self.pivots
-
-        @F.pandas_udf("cell int, closeness double")
-        def nearest(vec: pd.Series) -> pd.DataFrame:
-            v = B.unit_rows(vec)
-            if v.shape[1] != pivots.shape[1]:
-                return pd.DataFrame({"cell": np.zeros(len(v), dtype=int), "closeness": np.ones(len(v))})
-            cos = v @ pivots.T
-            # a zero vector has cosine 0 with everything, which no bound undercuts
-            return pd.DataFrame({"cell": cos.argmax(axis=1), "closeness": np.where(v.any(axis=1), cos.max(axis=1), 1.0)})
-
-        return profiles.withColumn("_n", nearest("vec")).select("*", "_n.cell", "_n.closeness").drop("_n")
-
-
-def _route(sources: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """Source rows with the cells to visit. Without a `reached` column: the best-bounded cells holding at
-    least k profiles. With it: all cells whose bound is not below what was already reached, minus those visited."""
-    first_round = "reached" not in sources.columns
-    bounds, floor = cells.bounds, cells.p.min_combined
-
-    def route(batches):
-        for pdf in batches:
-            ub = bounds(pdf)
-            order = np.argsort(-ub, axis=1, kind="stable")
-            seen = np.cumsum(bounds.rows[order], axis=1) - bounds.rows[order]
-            home = np.zeros_like(ub, dtype=bool)
-            np.put_along_axis(home, order, seen < k, axis=1)
-            if first_round:
-                visit = home & (ub >= floor)
-            else:
-                visit = ~home & (ub >= np.maximum(pdf["reached"].to_numpy(), floor)[:, None])
-            i, j = np.nonzero(visit)
-            yield pd.DataFrame({"profile": pdf["profile"].to_numpy()[i], "cell": bounds.cell[j]})
-
-    cols = ["profile", "vec", "sets", "ao", "bits"] + ([] if first_round else ["reached"])
-    return sources.select(*cols).mapInPandas(route, "profile string, cell int")
-
-
-RESULT = T.StructType([T.StructField("profile", T.StringType()), T.StructField("target", T.StringType()),
-                       T.StructField("affine", T.BooleanType())]
+def _stretches(batches, size: int):
+    """Batches as tables of size rows, the last one smaller."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, size - n)
+            held.append(part)
+            n, b = n + part.num_rows, b.slice(part.num_rows)
+            if n == size:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _packs(size: int, columns: list[str]):
+    """Rows -> a row for each `size` of them at most: the different profiles and, in order, all rows of them."""
+    def pack(table: pa.Table):
+        table = table.take(pc.sort_indices(table, sort_keys=[("order_no", "ascending"), ("atomic_id", "ascending")], null_placement="at_start"))
+        found = P.one(table["profile"]).dictionary_encode()
+        of = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        first = np.unique(of, return_index=True)[1]
+        profiles = table.select(["profile", *columns]).take(pa.array(first))
+        rows = pa.table({"profile": pa.array(of), "order_no": table["order_no"], "atomic_id": table["atomic_id"]})
+        return pa.RecordBatch.from_pydict({"id": [uuid.uuid4().hex], "profiles": pa.array([P.packed(profiles)], pa.binary()), "rows": pa.array([P.packed(rows)], pa.binary())})
+
+    def run(batches):
+        for table in _stretches(batches, size):
+            yield pack(table)
+            release()
+    return run
+
+
+PACKED = "id string, profiles binary, rows binary"
+
+
+def target_blocks(targets: DataFrame, p: Params) -> DataFrame:
+    """Blocks (id, profiles, rows) of p.target_block_rows targets at most."""
+    columns = [c for c in FEATURES if c in targets.columns]
+    packed = _profiled(targets).select("profile", F.col("order_no").cast("long").alias("order_no"), F.col("atomic_id").cast("string").alias("atomic_id"), *columns)
+    return checkpointed(packed.mapInArrow(_packs(p.target_block_rows, columns), PACKED))
+
+
+def _by_key(batches):
+    """Blocks -> a row for each key that targets of the block have, with these targets only."""
+    for b in batches:
+        for name, profiles, rows in zip(*(b.column(c) for c in ("id", "profiles", "rows"))):
+            profiles, rows = P.unpacked(profiles.as_buffer()), P.unpacked(rows.as_buffer())
+            keys = P.Lists.of(profiles["keys"])
+            values = keys.values.to_numpy(zero_copy_only=False)
+            of = P.one(rows["profile"]).to_numpy()
+            for key in sorted(set(values.tolist())):
+                mine = np.unique(keys.rows[values == key])
+                place = np.full(len(profiles), -1, np.int32)
+                place[mine] = np.arange(len(mine))
+                here = np.nonzero(place[of] >= 0)[0]
+                part = rows.take(pa.array(here)).set_column(0, "profile", pa.array(place[of[here]]))
+                yield pa.RecordBatch.from_pydict({"_key": [key], "id": [f"{name.as_py()} {key}"], "profiles": pa.array([P.packed(profiles.take(pa.array(mine)))], pa.binary()),
+                                                  "rows": pa.array([P.packed(part)], pa.binary())})
+
+
+def _chunked(size: int, columns: list[str], keyed: bool):
+    """Source rows -> a row for each `size` of them at most, by key."""
+    def run(batches):
+        for b in _stretches(batches, 16 * size if keyed else size):
+            keys = P.texts(b["_key"]) if keyed else np.zeros(len(b), object)
+            for key in dict.fromkeys(keys.tolist()):
+                at = np.nonzero(keys == key)[0]
+                for o in range(0, len(at), size):
+                    part = b.select(columns).take(pa.array(at[o:o + size]))
+                    yield pa.RecordBatch.from_pydict({**({"_key": [key]} if keyed else {}), "chunk": [uuid.uuid4().hex], "sources": pa.array([P.packed(part)], pa.binary())})
+    return run
+
+
+def source_chunks(sources: DataFrame, p: Params, extra: tuple = (), keyed: bool = False) -> DataFrame:
+    """Chunks ([_key,] chunk, sources) of p.source_block_rows sources at most; keyed: a source is in a chunk of each of its keys."""
+    columns = [*(["_key"] if keyed else []), "profile", *_present(sources), *extra]
+    if keyed:
+        sources = sources.withColumn("_key", F.explode(F.array_distinct("keys")))
+    parts = max(1, math.ceil(sources.count() / p.source_block_rows / CHUNKS))
+    dealt = sources.select(*columns).repartitionByRange(parts, *columns[:2 if keyed else 1])
+    return checkpointed(dealt.mapInArrow(_chunked(p.source_block_rows, columns, keyed), ("_key string, " if keyed else "") + "chunk string, sources binary"))
+
+
+def _meet(blocks: DataFrame, chunks: DataFrame, keyed: bool, begin, end, p: Params, schema) -> DataFrame:
+    """Every chunk with every block, with equal _key where keyed: begin(sources) makes what meets the blocks one after the other, and end(it)
+    gives its columns. Chunks and blocks are read where they meet; only the results are written."""
+    spark = blocks.sparkSession
+    parts = max(1, math.ceil(chunks.count() / CHUNKS))
+    blocks = blocks.coalesce(max(1, math.ceil(4 * spark.sparkContext.defaultParallelism / parts)))
+    if keyed:
+        blocks = blocks.mapInArrow(_by_key, f"_key string, {PACKED}")
+    small = chunks.repartition(parts).hint("shuffle_replicate_nl")  # a product: no block is sorted, shuffled or sent to the driver
+    pairs = (blocks.join(small, "_key") if keyed else blocks.crossJoin(small)).select("id", "profiles", "rows", "chunk", "sources")
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        held, block, at = {}, None, None
+        for b in batches:
+            for name, profiles, rows, chunk, sources in zip(*(b.column(c) for c in ("id", "profiles", "rows", "chunk", "sources"))):
+                if chunk.as_py() not in held:
+                    held[chunk.as_py()] = begin(P.unpacked(sources.as_buffer()))
+                if name.as_py() != at:
+                    at, block = name.as_py(), P.Block(P.unpacked(profiles.as_buffer()), P.unpacked(rows.as_buffer()), p)
+                held[chunk.as_py()].meet(block)
+        for one in held.values():
+            for columns in end(one):
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return checkpointed(pairs.mapInArrow(run, schema))
+
+
+MEMBERS = pa.list_(pa.struct([("order_no", pa.int64()), ("atomic_id", pa.string())]))
+RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("profile", "target", "key")] + [T.StructField("affine", T.BooleanType())]
+                      + [T.StructField("members", T.ArrayType(T.StructType([T.StructField("order_no", T.LongType()), T.StructField("atomic_id", T.StringType())])))]
                       + [T.StructField(s, T.DoubleType()) for s in SIGNALS])
 
 
-def _best_pairs(p: Params, k: int):
-    """Scores a block of sources with a block of targets; keeps the k best of each source, ties included."""
-    def kernel(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if s.empty or t.empty:
-            return pd.DataFrame(columns=[f.name for f in RESULT.fields])
-        parts = B.signals(s, t, p)
-        score = np.where(B.in_pool(s, t, p), parts["combined"], -1.0)
-        keep = B.best_cells(score, k, p.min_combined)
-        affine = np.zeros(score.shape, dtype=bool)
-        if p.affinity_enabled:
-            affine = B.affine(s, t)
-            keep |= B.best_cells(np.where(affine, score, -1.0), k, p.min_combined)
-        i, j = np.nonzero(keep)
-        out = {"profile": s["profile"].to_numpy()[i], "target": t["target"].to_numpy()[j], "affine": affine[i, j]}
-        return pd.DataFrame(out | {name: parts[name][i, j] for name in SIGNALS})
-
-    return kernel
-
-
-def _score_blocks(routes: DataFrame, sources: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """Meet the routed sources with the blocks of their cells; k best (ties included) per source and block."""
-    p = cells.p
-    spark = sources.sparkSession
-    load = {r.cell: r.n for r in routes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame(
-        [(int(c), cells.blocks[int(c)], max(1, math.ceil(n / p.source_block_rows))) for c, n in load.items()],
-        "cell int, n_blocks int, n_chunks int")  # at most max_pivots rows
-    key = ["cell", "block", "chunk"]
-    feats = [c for c in FEATURES if c in cells.assigned.columns]
-    own = _present(sources)
-    left = (routes.join(F.broadcast(plan), "cell").join(sources.select("profile", *own), "profile")
-            .withColumn("chunk", F.pmod(F.xxhash64("profile"), F.col("n_chunks")).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .select(*key, "profile", *own))
-    right = (cells.assigned.join(F.broadcast(plan), "cell")
-             .withColumn("block", F.pmod(F.xxhash64(F.lit(7), "profile"), F.col("n_blocks")).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-             .select(*key, F.col("profile").alias("target"), *feats))
-
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_pairs(p, k), RESULT)
-
-
-def _score_keys(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
-    """Category scopes: sources meet only targets that share a key with them. Large keys are cut into blocks on both sides.
-
-    A pair that shares several keys is scored once for each; its rows are equal and collapse.
-    """
-    feats, own = [c for c in FEATURES if c in targets.columns], _present(sources)
-    t, s = (df.withColumn("_key", F.explode(F.array_distinct("keys"))) for df in (targets, sources))
-    sizes = t.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / p.target_block_rows).cast("int").alias("n_blocks")).join(
-        s.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / p.source_block_rows).cast("int").alias("n_chunks")), "_key")
-    key = ["_key", "block", "chunk"]
-    left = (s.join(sizes, "_key").withColumn("chunk", F.pmod(F.xxhash64("profile"), F.col("n_chunks")).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*key, "profile", *own))
-    right = (t.join(sizes, "_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "profile"), F.col("n_blocks")).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-             .select(*key, F.col("profile").alias("target"), *feats))
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_pairs(p, k), RESULT).dropDuplicates(["profile", "target"])
+def _found(best: P.Best):
+    kinds = [pa.string()] * 3 + [pa.bool_(), MEMBERS] + [pa.float64()] * len(SIGNALS)
+    for rows in best.rows():
+        yield [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
+
+
+def _scored(blocks: DataFrame, sources: DataFrame, p: Params, k: int, keyed: bool) -> DataFrame:
+    """Targets (profile, target, affine, order_no, atomic_id, signals) that hold the k best of every source, overall and affine, with all
+    ties; of a target profile the first k. A pair that shares several keys is found in each of them and taken from the first."""
+    found = _meet(blocks, source_chunks(sources, p, keyed=keyed), keyed, lambda table: P.Best(table, p, k), _found, p, RESULT)
+    if keyed:
+        found = found.withColumn("_k", F.min("key").over(Window.partitionBy("profile", "target"))).where("key = _k")
+    rows = found.select("profile", "target", "affine", F.explode("members").alias("m"), *SIGNALS).select("profile", "target", "affine", "m.order_no", "m.atomic_id", *SIGNALS)
+    first_k = Window.partitionBy("profile", "target").orderBy("order_no", "atomic_id")
+    return rows.withColumn("_rn", F.row_number().over(first_k)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def _with_bits(sources: DataFrame) -> DataFrame:
-    return sources.withColumn("bits", F.transform(_tagged_col(), lambda x: _bit(x).cast("int")))
+def top_targets(blocks: DataFrame, sources: DataFrame, p: Params, k: int) -> DataFrame:
+    """Per source profile the targets with the k best combined scores, all ties included, and with injection the k best affine ones as
+    well. In category scopes only sources without a key search the whole pool."""
+    if p.match_scope in GLOBAL_SCOPES:
+        return _within(_scored(blocks, sources, p, k, False), k, F.rank)
+    found = _scored(blocks, sources.filter(F.size("keys") > 0), p, k, True)
+    rest = sources.filter(F.size("keys") == 0)
+    return _within(found if rest.isEmpty() else found.unionByName(_scored(blocks, rest, p, k, False)), k, F.rank)
 
 
 def _within(df: DataFrame, k: int, ranker) -> DataFrame:
@@ -243,35 +214,6 @@ def _within(df: DataFrame, k: int, ranker) -> DataFrame:
             .filter((F.col("_all") <= k) | (F.col("affine") & (F.col("_aff") <= k))).drop("_all", "_aff"))
 
 
-def top_profiles(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
-    """Per source profile the target profiles with the k best combined scores, all ties included, and with
-    injection the k best affine ones as well. In category scopes only sources without a key search the whole pool."""
-    if p.match_scope not in GLOBAL_SCOPES:
-        keyed = _within(checkpointed(_score_keys(sources.filter(F.size("keys") > 0), targets, p, k)), k, F.rank)
-        rest = sources.filter(F.size("keys") == 0)
-        return keyed if rest.limit(1).count() == 0 else keyed.unionByName(_pool_profiles(rest, targets, p, k))
-    return _pool_profiles(sources, targets, p, k)
-
-
-def _pool_profiles(sources: DataFrame, targets: DataFrame, p: Params, k: int) -> DataFrame:
-    cells = Cells(targets, p)
-    sources = _with_bits(sources)
-    first = checkpointed(_score_blocks(_route(sources, cells, k), sources, cells, k))
-    found = first
-    if len(cells.blocks) > 1:
-        # what a source has reached: its k-th best score, or its k-th best affine score where that is lower
-        top = lambda c: F.try_element_at(F.sort_array(F.collect_list(c), asc=False), F.lit(k))
-        kept = _within(first, k, F.row_number)
-        both = kept.groupBy("profile").agg(top(F.col("combined")).alias("_a"),
-                                           top(F.when(F.col("affine"), F.col("combined"))).alias("_f"))
-        limit = F.coalesce("_a", F.lit(0.0))
-        if p.affinity_enabled:
-            limit = F.least(limit, F.coalesce("_f", F.lit(0.0)))
-        again = sources.join(both.select("profile", limit.alias("reached")), "profile", "left").fillna(0.0, ["reached"])
-        found = first.unionByName(_score_blocks(checkpointed(_route(again, cells, k)), sources, cells, k))
-    return _within(found, k, F.rank)
-
-
 def ahead(value: np.ndarray, order: np.ndarray, values: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """For each (values, orders): how many rows have a greater value, or the same one and a smaller order.
 
@@ -285,43 +227,34 @@ def ahead(value: np.ndarray, order: np.ndarray, values: np.ndarray, orders: np.n
     return np.array([a + np.searchsorted(order[a:b], o, "left") for a, b, o in zip(first.tolist(), last.tolist(), orders)], dtype=np.int64)
 
 
-def rank_counts(wanted: DataFrame, sources: DataFrame, targets: DataFrame, p: Params) -> DataFrame:
+def rank_counts(wanted: DataFrame, sources: DataFrame, blocks: DataFrame, p: Params) -> DataFrame:
     """Exact rank of given candidates on each ranked signal within the whole pool.
 
-    `wanted`: profile (source), atomic_id, order_no and the candidate's signals. Every block of targets counts
-    how many of its rows beat each candidate, or tie with it and come earlier; the counts are then added up.
+    `wanted`: profile (source), atomic_id, order_no and the candidate's signals. Every task counts, over its blocks of targets,
+    how many beat each candidate, or tie with it and come earlier; the counts are then added up.
     """
-    names = ["semantic", "keyword", "structured", "action_object"]
-    used = [x for x, on in zip(names, (p.use_semantic, p.use_keyword, p.use_structured, p.use_structured)) if on]  # rrf reads no other
-    n = targets.count()
-    n_blocks = max(1, math.ceil(n / p.target_block_rows))
-    n_chunks = max(1, math.ceil(wanted.select("profile").distinct().count() / p.source_block_rows))
-    feats, own = _present(targets), _present(sources)
-    grouped = wanted.groupBy("profile").agg(F.collect_list(F.struct(
-        "atomic_id", "order_no", *names)).alias("cands"))
-    left = (grouped.join(sources.select("profile", *own), "profile")
-            .withColumn("chunk", F.pmod(F.xxhash64("profile"), F.lit(n_chunks)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    right = (targets.withColumn("block", F.pmod(F.xxhash64("atomic_id"), F.lit(n_blocks)).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-             .select("block", "chunk", "order_no", *feats))
-
-    def kernel(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = ["profile", "atomic_id"] + [f"n_{x}" for x in names]
-        if s.empty or t.empty:
-            return pd.DataFrame(columns=cols)
-        parts, pool = B.signals(s, t, p), B.in_pool(s, t, p)
-        order = t["order_no"].to_numpy()
-        out = []
-        for i, (profile, cands) in enumerate(zip(s["profile"], s["cands"])):
-            orders = np.array([c["order_no"] for c in cands])
-            found = {f"n_{x}": ahead(parts[x][i][pool[i]], order[pool[i]], np.array([c[x] for c in cands]), orders) if x in used else 0 for x in names}
-            out.append(pd.DataFrame({"profile": profile, "atomic_id": [c["atomic_id"] for c in cands]} | found))
-        return pd.concat(out, ignore_index=True)[cols]
-
-    schema = "profile string, atomic_id string, " + ", ".join(f"n_{x} long" for x in names)
-    counted = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(kernel, schema)
-    return counted.groupBy("profile", "atomic_id").agg(*[(F.sum(f"n_{x}") + 1).alias(f"rank_{x}") for x in names])
+    used = [x for x, on in zip(P.RANKED, (p.use_semantic, p.use_keyword, p.use_structured, p.use_structured)) if on]  # rrf reads no other
+    grouped = wanted.groupBy("profile").agg(F.collect_list(F.struct("atomic_id", "order_no", *P.RANKED)).alias("cands"))
+    chunks = source_chunks(sources.join(grouped, "profile"), p, ("cands",))
+    pooled = p.match_scope not in GLOBAL_SCOPES
+
+    def counts(ranks: P.Ranks):
+        yield [pa.array(ranks.profile, pa.string()), ranks.atomic_id, *(pa.array(ranks.ahead[x]) if x in used else pa.array(np.zeros(ranks.n, np.int64)) for x in P.RANKED)]
+
+    schema = T.StructType([T.StructField(x, T.StringType()) for x in ("profile", "atomic_id")] + [T.StructField(f"n_{x}", T.LongType()) for x in P.RANKED])
+    counted = _meet(blocks, chunks, False, lambda table: P.Ranks(table, p, used, pooled), counts, p, schema)
+    return counted.groupBy("profile", "atomic_id").agg(*[(F.sum(f"n_{x}") + 1).alias(f"rank_{x}") for x in P.RANKED])
+
+
+def open_ties(found: DataFrame) -> DataFrame:
+    """(profile, combined) of the ties that input order alone does not settle. Candidates of equal ranked signals follow each other in
+    input order on each of them, so the first has the better ranks; ids and orders must tell the candidates apart for that."""
+    equal = [F.min(x) == F.max(x) for x in P.RANKED]
+    plain = (F.count("order_no") == F.count(F.lit(1))) & (F.countDistinct("atomic_id") == F.count(F.lit(1)))
+    for e in equal:
+        plain = plain & e
+    return (found.groupBy("profile", "combined").agg(F.countDistinct("target").alias("_c"), plain.alias("_plain"))
+            .filter((F.col("_c") > 1) & ~F.col("_plain")).select("profile", "combined"))
 
 
 def rrf(p: Params):
@@ -349,7 +282,7 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
     affine candidates below the review cut). in_scoring marks the first top_k, in_review the first review_limit and the
     injected ones; the two cuts do not depend on each other. Rank is by combined score, then reciprocal-rank fusion, then input order. The fusion
     score only breaks ties, so exact pool ranks are counted just for candidates whose score ties across
-    different contents (for all of them with all_rrf).
+    different signals (for all of them with all_rrf).
     """
     if p.use_keyword:
         sources, targets = with_keywords(sources, targets, p)
@@ -362,18 +295,14 @@ def search(sources: DataFrame, targets: DataFrame, p: Params = DEFAULTS, affinit
     shown = max(p.top_k, p.review_limit)
     # at most `shown` affine candidates are taken already, so the next ones lie within shown + affinity_count
     k = shown + (p.affinity_count if p.affinity_enabled else 0)
-    src, tgt = checkpointed(_collapse(sources, 1)), checkpointed(_collapse(targets, k))
-    members = tgt.select(F.col("profile").alias("target"), "id_family", F.explode("members").alias("m"))
-    expanded = top_profiles(src, tgt, p, k).join(members, "target").select(
-        "profile", "target", "affine", "m.atomic_id", "m.order_no", "id_family", *SIGNALS)
-    expanded = checkpointed(_within(expanded, k, F.rank))
+    src, blocks = checkpointed(_collapse(sources, 1)), target_blocks(targets, p)
+    expanded = checkpointed(top_targets(blocks, src, p, k))
     ranked = expanded.withColumn("rrf_score", F.lit(None).cast("double"))
     if p.use_rrf:
-        tied = (expanded.groupBy("profile", "combined").agg(F.countDistinct("target").alias("_c"))
-                .filter(F.col("_c") > 1).select("profile", "combined"))
+        tied = open_ties(expanded)
         wanted = expanded if all_rrf else expanded.join(tied, ["profile", "combined"], "left_semi")
-        if all_rrf or tied.limit(1).count():
-            ranks = rank_counts(wanted, src, targets, p).withColumn("rrf_score", rrf(p))
+        if all_rrf or not tied.isEmpty():
+            ranks = rank_counts(wanted, src, blocks, p).withColumn("rrf_score", rrf(p))
             ranked = expanded.join(ranks, ["profile", "atomic_id"], "left")
     order = [F.desc("combined"), F.desc_nulls_last("rrf_score"), F.col("order_no")]
     overall = Window.partitionBy("profile").orderBy(*order)
