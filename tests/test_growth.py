@@ -88,3 +88,19 @@ def test_collapse_changes_white_space_only(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = f"[{TX.WHITE}]{{2,}}|[{TX.WHITE}&&[^ ]]"
     assert df.where(TX.collapse(F.col("t")) != F.trim(F.regexp_replace("t", plain, " "))).count() == 0
+
+
+def test_corrected_decisions_are_dealt_out_while_narrow(spark):
+    """What goes through a shuffle are the given columns of a decision, not its candidates and texts."""
+    def sent(node):
+        own = [a.name() for a in (node.output().apply(i) for i in range(node.output().size()))] if "Exchange" in node.nodeName() else []
+        return own + [x for i in range(node.children().size()) for x in sent(node.children().apply(i))]
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        names = sent(entry.queries()["D20_apply_corrections"](spark, D)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "source_id" in names and "k" in names
+    assert not {"candidates", "selected_ids", "target_requirements", "target_parent_requirements", "justification"} & set(names)
