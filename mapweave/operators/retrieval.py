@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from mapweave.operators.search import search
 from mapweave.operators.similarity import with_features
 from mapweave.params import DEFAULTS, GLOBAL_SCOPES, Params
+from mapweave.sources.shared import saved
 
 GUIDELINE = Params(weight_semantic=1.0, weight_structured=0.0, weight_action_object=0.0, weight_control_type=0.0,
                    weight_category_prior=0.0, use_structured=False, use_rrf=False, affinity_enabled=False,
@@ -41,18 +42,34 @@ SCORES = ["semantic_score", "keyword_score", "structured_score", "action_object_
           "category_prior_score", "combined_score"]
 
 
+def likely(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of df whose key is in wanted (one column), and a few others. A filter of 2**bits bits is sent to all tasks
+    (2**(bits - 6) rows at most, whatever the number of keys); no row of df is shuffled."""
+    def spots(c):
+        at = F.pmod(F.xxhash64(c), F.lit(1 << bits))
+        return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+
+    word, bit = spots(F.col(wanted.columns[0]))
+    words = wanted.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).groupBy("_word").agg(
+        F.bit_or(F.call_function("shiftleft", "_one", "_bit")).alias("_bits"))
+    word, bit = spots(F.col(key))
+    found = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word")
+    return found.where(F.call_function("getbit", "_bits", "_bit") == 1).select(*df.columns)
+
+
 def payloads(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source: its candidates in rank order as an array of structs, scores to four digits.
 
     The array holds the candidates of the review cut and the injected ones only, so its length is bounded by the parameters.
-    Target texts join here, after the cut.
+    Target texts join here, after the cut; only those of likely() candidates are shuffled for it, since a text carries its parent's.
     """
-    t = targets.select(F.col("atomic_id").alias("candidate_id"), "parent_id",
+    candidates = saved(candidates.where("in_review"), "payload")
+    t = likely(targets, "atomic_id", candidates.select("candidate_id")).select(F.col("atomic_id").alias("candidate_id"), "parent_id",
                        F.col("atomic_requirement").alias("requirement"), "parent_requirement", "category")
     entry = F.struct("rank", "candidate_id", "parent_id", "requirement", "parent_requirement", "category",
                      *[F.round(s, 4).alias(s) for s in SCORES], "hard_gate",
                      F.col("injected").alias("affinity_injected"))
-    return candidates.where("in_review").join(t, "candidate_id").groupBy("source_id").agg(
+    return candidates.join(t, "candidate_id").groupBy("source_id").agg(
         F.array_sort(F.collect_list(entry)).alias("candidates"))
 
 

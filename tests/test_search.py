@@ -126,3 +126,17 @@ def test_ties_of_equal_signals_need_no_counts(spark, monkeypatch):
                                  "profile string, combined double, target string, atomic_id string, order_no long, semantic double")
     rows = rows.withColumns({x: F.lit(0.0) for x in ("keyword", "structured", "action_object")})
     assert sorted(r.profile for r in SE.open_ties(rows).collect()) == ["b", "c", "d", "e"]
+
+
+def test_payloads_shuffle_likely_targets_only(spark):
+    """Texts of targets that are no candidates are left out before the join; none that is one is."""
+    from mapweave.operators import retrieval as RT
+    columns = {c: F.lit(0.5) for c in RT.SCORES}
+    c = spark.range(40).selectExpr("concat('s', id % 4) AS source_id", "concat('t', id * 25) AS candidate_id", "cast(id DIV 4 + 1 AS int) AS rank", "id <> 7 AS in_review",
+                                   "false AS injected", "'pass' AS hard_gate").withColumns(columns)
+    t = spark.range(3000).selectExpr("concat('t', id) AS atomic_id", "'p' AS parent_id", "concat('r', id) AS atomic_requirement", "repeat('x', 500) AS parent_requirement", "'en' AS category")
+    assert RT.likely(t, "atomic_id", c.select("candidate_id")).count() < 60
+    out = RT.payloads(c, t)
+    got = {(r.source_id, x.candidate_id, x["rank"]) for r in out.collect() for x in r.candidates}
+    assert got == {(f"s{i % 4}", f"t{25 * i}", i // 4 + 1) for i in range(40) if i != 7}
+    assert "getbit" in plan(out).split("collect_list")[-1]
